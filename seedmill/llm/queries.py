@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact, langid, licenses, lines, packing, simhash, token_files, toxicity
+from . import decontamination, exact, langid, licenses, lines, packing, simhash, suffixes, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.removals(documents(spark, sf_dir))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
