@@ -1,13 +1,62 @@
-"""The corpus pipeline: documents through the operators, stage by stage."""
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, benchmark decontamination, best-fit packing.
+
+Each stage works on all that the one before it kept, and is written as Parquet and read again. All but the last return the
+columns of documents. Rows without doc_id are never dropped as copies; rows that repeat a doc_id are that document again and
+share its fate.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seedmill.llm import decontamination, exact, langid, packing, simhash
+from seedmill.llm.common import Scratch
+from seedmill.llm.queries import TOKENIZER, remainder
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language compression can tell."""
+    keep = "_keep"
+    while keep in docs.columns:
+        keep = "_" + keep
+    model = langid.fit(docs, remainder(4) != 2)
+    return langid.keep_column(docs, model, keep).filter(keep).drop(keep)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (white space aside) the one with the least doc_id."""
+    copies = exact.groups(docs).filter("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the least doc_id."""
+    copies = simhash.groups(docs).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences and places."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
 
-STAGES: list = []
+#: SQL can't express language ID by compression, SimHash or the tokenizer; a test holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return docs

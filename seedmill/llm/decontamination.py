@@ -156,35 +156,53 @@ class Windows:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), [x for f in found for x in f[2]]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, text, n_words, items (sorted ids of items found) and spans to remove (words and bytes)."""
-    spark = docs.sparkSession
+FOUND = {"n_words": "bigint", "items": "array<string>", "spans": "array<struct<first:bigint,words:bigint,start:bigint,end:bigint>>"}
+
+
+def search(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+    """rows with n_words, items (sorted ids of items found) and spans to remove (words and bytes), named with prefix."""
+    spark = rows.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-int(total) // block_bytes))
-    out = id_text(docs, id_col, text_col).withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<first:bigint,words:bigint,start:bigint,end:bigint>>")})
+    empty = {"n_words": F.lit(0), "items": F.array(), "spans": F.array()}
+    out = rows.withColumns({prefix + k: empty[k].cast(t) for k, t in FOUND.items()})
     schema = out.schema
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()], window))
-        out = out.mapInArrow(map_rows(_searcher(held)), schema)
+        out = out.mapInArrow(map_rows(_searcher(held, text_col, prefix)), schema)
     return out
 
 
-def _searcher(held):
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc_id, text, n_words, items and spans."""
+    return search(id_text(docs, id_col, text_col), benchmark, window, "text", item_col, item_text_col, block_bytes)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no window occurs."""
+    prefix = "_found_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    found = search(docs, benchmark, window, text_col, prefix=prefix)
+    return found.filter(F.size(f"{prefix}spans") == 0).drop(*(prefix + k for k in FOUND))
+
+
+def _searcher(held, text_col: str, prefix: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         windows: Windows = held.value
-        texts = text_bytes(batch)
+        texts = text_bytes(batch, text_col)
         ids, counts = flat_ids(texts, windows.vocab.get)
         ends = np.cumsum(counts)
         where, size, names = windows.hits(ids, ends)
-        items, spans = column(batch, "items").to_pylist(), column(batch, "spans").to_pylist()
+        items, spans = column(batch, f"{prefix}items").to_pylist(), column(batch, f"{prefix}spans").to_pylist()
         if len(where):
             of = np.searchsorted(ends, where, "right")
             order = np.argsort(of, kind="stable")
             for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
                 _merge(int(of[mine[0]]), mine, where, size, names, ends, counts, texts, items, spans)
-        arrays = {"n_words": pa.array(counts), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(SPAN))}
+        arrays = {f"{prefix}n_words": pa.array(counts), f"{prefix}items": pa.array(items, pa.list_(pa.string())), f"{prefix}spans": pa.array(spans, pa.list_(SPAN))}
         return pa.RecordBatch.from_arrays([arrays.get(f.name, column(batch, f.name)) for f in batch.schema], [f.name for f in batch.schema])
 
     return run
