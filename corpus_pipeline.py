@@ -2,7 +2,7 @@
 
 Each stage works on all that the one before it kept, and is written as Parquet and read again. All but the last return the
 columns of documents. Rows without doc_id are never dropped as copies; rows that repeat a doc_id are that document again and
-share its fate.
+share its fate. Copies are never broadcast: they grow with the documents.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (white space aside) the one with the least doc_id."""
     copies = exact.groups(docs).filter("not kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the least doc_id."""
     copies = simhash.groups(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

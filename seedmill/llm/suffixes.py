@@ -371,7 +371,7 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
     # Grams with several contexts, one of them met only once: the edges of repeats.
     edges = contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m")
     wanted = contexts.join(edges, "g").select("at.doc_id", "at.nk", F.struct("g", "m", "n", "at.pos").alias("w")).groupBy("doc_id", "nk").agg(F.collect_list("w").alias("wanted"))
-    bodies = scratch.table(rows.join(wanted, ["doc_id", "nk"]).mapInArrow(_cut_contexts(length), CONTEXT), "bodies")
+    bodies = scratch.table(rows.join(wanted.hint("merge"), ["doc_id", "nk"]).mapInArrow(_cut_contexts(length), CONTEXT), "bodies")
     n = shuffle_partitions(spark)
     spans = twice.unionByName(scratch.table(bodies.filter(F.col("m") <= hot).select("g", "doc_id", "nk", "lo", "body").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_sorted_repeats(length, sort_bytes), SPAN), "sorted"))
     if bodies.filter(F.col("m") > hot).limit(1).count():
@@ -398,4 +398,4 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.join(per_doc, ["doc_id", "nk"], "left").mapInArrow(map_rows(run), schema)
+    return rows.join(per_doc.hint("merge"), ["doc_id", "nk"], "left").mapInArrow(map_rows(run), schema)
