@@ -84,7 +84,9 @@ def unindent(c: Column) -> Column:
     lines = splitlines(c)
     solid = F.filter(lines, lambda x: strip(x) != "")
     least = F.coalesce(F.array_min(F.transform(solid, lambda x: F.length(x) - F.length(F.regexp_replace(x, f"^{WS}+", "")))), F.lit(0))
-    return F.array_join(F.transform(lines, lambda x: F.substring(x, least + 1, F.length(x))), "\n")
+    # The least indentation goes along as an array, so that it isn't computed again for each line.
+    both = F.arrays_zip(lines.alias("x"), F.array_repeat(least, F.size(lines)).alias("n"))
+    return F.array_join(F.transform(both, lambda b: F.substring(b["x"], b["n"] + 1, F.length(b["x"]))), "\n")
 
 
 def split_docstring(c: Column) -> Column:
@@ -143,10 +145,11 @@ def without_comments(c: Column) -> Column:
 
     def clean(code: Column) -> Column:
         lines = F.split(code, "\n", -1)
+        pairs = F.arrays_zip(lines.alias("x"), F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(""))).alias("after"))
         is_comment = lambda x: F.startswith(F.regexp_replace(x, f"^{WS}+", ""), F.lit("#"))
         # The first line holds the block's tag.
-        kept = F.filter(lines, lambda x, i: (i == 0) | ~(is_comment(x) | ((strip(x) == "") & (i > 1) & (i + 1 < F.size(lines)) & is_comment(F.get(lines, i + 1)))))
-        return F.array_join(kept, "\n")
+        kept = F.filter(pairs, lambda p, i: (i == 0) | ~(is_comment(p["x"]) | ((strip(p["x"]) == "") & (i > 1) & is_comment(p["after"]))))
+        return F.array_join(F.transform(kept, lambda p: p["x"]), "\n")
 
     # Odd parts lie between an opening and a closing fence.
     return F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < n - 1), clean(x)).otherwise(x)), FENCE)

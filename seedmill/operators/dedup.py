@@ -68,8 +68,10 @@ def shingles(text: Column, size: int = 5) -> Column:
     """Distinct shingles of words (lower case, split at spaces and line ends); a shorter text is one shingle."""
     words = F.filter(F.split(F.lower(text), "[ \\n]+", -1), lambda w: w != "")
     n = F.size(words)
-    whole = F.array(F.array_join(words, " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, whole).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))))
+    # Shifted copies side by side: what stands inside of a lambda would be computed again for each element.
+    shifted = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(n - size + 1, F.lit(0))).alias(f"w{k}") for k in range(size)))
+    joined = F.transform(shifted, lambda x: F.concat_ws(" ", *(x[f"w{k}"] for k in range(size))))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(joined))
 
 
 def signatures(rows: DataFrame, text: str, id_col: str, permutations: int = 32, size: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived
@@ -346,14 +346,14 @@ def completion_truncate(spark, sf_dir):
     return responses(spark, sf_dir).select("id", T.cut_at(F.col("response"), T.FENCE).alias("head"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 10 IN (0, 1)")
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 10 IN (0, 1, 6)")
 def sanitize_raw(spark, sf_dir):
     return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(raw=True)).select("id")
 
 
 @query(R + " SELECT id, instruction, 'Think ' || id || '.' || chr(10) || chr(10) || '```python' || chr(10) || 'def f(x):' || chr(10) || '    return x + ' || id || chr(10) || '```' || chr(10) || chr(10) || 'It adds ' || id || '.' AS response FROM resp WHERE id % 10 IN (0, 1)")
 def sanitize_no_tests(spark, sf_dir):
-    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, no_comments=True))
+    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, no_comments=True, no_incomplete=True))
 
 
 @query(R + " SELECT id, instruction || chr(10) || chr(10) || 'Your code should pass the following test case:' || chr(10) || '```python' || chr(10) || 'def test_f():' || chr(10) || '    assert f(1)' || chr(10) || 'test_f()' || chr(10) || '```' AS instruction FROM resp WHERE id % 10 = 1")
@@ -404,7 +404,7 @@ def humaneval_prompt(spark, sf_dir):
 
 @query("SELECT item_id, trim(text) || '.' || chr(10) || chr(10) || 'Your code should pass the following assertion:' || chr(10) || '```python' || chr(10) || 'assert f(' || item_id || ')' || chr(10) || '```' AS instruction FROM (SELECT item_id, rtrim(text, '.') AS text FROM benchmark)")
 def mbpp_prompt(spark, sf_dir):
-    prompt = F.concat(F.lit('"""'), F.rtrim(F.lit("."), F.col("text")), F.lit(" assert f("), F.col("item_id").cast("string"), F.lit(')"""'))
+    prompt = F.concat(F.lit('"""'), F.rtrim(F.col("text"), F.lit(".")), F.lit(" assert f("), F.col("item_id").cast("string"), F.lit(')"""'))
     return bench(spark, sf_dir).select("item_id", stages.mbpp_problem(prompt, F.col("item_id"))["instruction"].alias("instruction"))
 
 
@@ -449,7 +449,7 @@ def substring_functions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n"), T.index(t, "th").alias("first"), T.count_of(t, "th").alias("times"))
 
 
-@query("SELECT doc_id, 'Return x plus ' || doc_id || '.' || chr(10) || chr(10) || 'Any number.' AS doc FROM documents WHERE doc_id % 12 = 0")
+@query("SELECT doc_id, 'Return x plus ' || doc_id || '.' || chr(10) || chr(10) || '    Any number.' AS doc FROM documents WHERE doc_id % 12 = 0")
 def docstring_split(spark, sf_dir):
     return code(spark, sf_dir).filter("doc_id % 12 = 0").select("doc_id", T.split_docstring(F.col("content"))["doc"].alias("doc"))
 
@@ -464,8 +464,3 @@ def property_round_trip(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_window_counts(spark, sf_dir):
     return resumable.event_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-
-def ranked(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Sequence numbers within a column's values."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
