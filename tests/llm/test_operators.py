@@ -1,0 +1,380 @@
+"""Each operator against a plain version, with odd rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from array import array
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from seedmill.llm import decontamination, exact, langid, licenses, lines, packing, simhash, suffixes, token_files, toxicity
+from seedmill.llm.common import Scratch
+from seedmill.llm.components import components
+from seedmill.llm.tokens import encoder
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+LOWER = {c: c + 32 for c in range(65, 91)}
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    words = ["The", "alpha", "été", "größe", "x1", "don't", "end.", "a,b", "zwölf", "12"]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    odd = [None, "", " ", "\n\n", "İ ΣΑΣ é", "a <|endoftext|> b", "word " * 4000, "\t tab\r\nline", "日本 語.", "x" * 500]
+    return made + odd + made[:6]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Columns that clash with the operators' own names stand beside the text."""
+    rows = [(k, t, "src", k, None) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words long, spans string").repartition(3)
+
+
+def ids_of(text, end):
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def crc(ids):
+    return zlib.crc32(array("I", ids).tobytes())
+
+
+def test_word_encoder(texts):
+    tok = Tokenizer.from_file(PATH)
+    assert encoder(PATH).encode(texts) == [array("I", tok.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+def test_token_files(docs, texts):
+    got = token_files.token_table(docs, PATH).orderBy("doc_id").collect()
+    at = 0
+    for k, (r, t) in enumerate(zip(got, texts, strict=True)):
+        ids = ids_of(t, 1)
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (k, at, len(ids), crc(ids), array("I", ids).tobytes())
+        at += len(ids)
+
+
+def test_token_files_in_small_shards(spark, docs, tmp_path):
+    token_files.write_tokens(docs, str(tmp_path / "t"), PATH, shard_tokens=100)
+    whole = {r.doc_id: r.ids_crc32 for r in token_files.token_table(docs, PATH).collect()}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()} == whole
+
+
+def test_grammar():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 5000):
+        for kinds in (1, 2, 40):
+            ids = rng.integers(0, kinds, n).astype(np.uint32)
+            symbols, rules, lengths = token_files.repair(ids, 100, least=2)
+            assert (token_files.expand(symbols, rules, 100) == ids).all()
+            if n > 10:
+                assert (token_files.decode_range(symbols, rules, lengths, 100, 3, 9) == ids[3:9]).all()
+    assert len(symbols) < 5000
+
+
+def test_packing(docs, texts):
+    got = packing.pack_documents(docs, PATH, capacity=64).orderBy("doc_id", "piece").collect()
+    want = [(k, p, a, len(x := ids[a : a + 64]), crc(x)) for k, t in enumerate(texts) for ids in [ids_of(t, 0)] for p, a in enumerate(range(0, len(ids), 64))]
+    assert [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got] == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in bins.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert [o for o, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 64
+    assert len(bins) <= packing.lower_bound(np.array([r.length for r in got]), 64) + 1
+
+
+def test_packing_rounds_and_bound(spark):
+    rng = random.Random(5)
+    rows = [(k, 0, rng.choice([30, 35, 40, 50, 64, 3])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    got = packing.pack(df, 64, rows=400)
+    n = got.select("sequence_id").distinct().count()
+    least = packing.lower_bound(np.array([r[2] for r in rows]), 64)
+    assert got.count() == 3000 and least <= n <= least * 1.02 + 1
+    assert packing.lower_bound(np.array([40] * 10), 64) == 10 and packing.lower_bound(np.array([22] * 9), 64) == 5
+
+
+def repeated(texts, size):
+    count = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+    out = []
+    for t in texts:
+        mark = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - size + 1):
+            if count[t[i : i + size]] > 1:
+                mark[i] += 1
+                mark[i + size] -= 1
+        out.append(np.cumsum(mark)[: len(t)] > 0)
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_suffix_removals(spark, hot):
+    rng = random.Random(hot)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(150)) for _ in range(5)]
+    texts = []
+    for k in range(90):
+        t = "".join(rng.choice("abcdefghijkl ") for _ in range(rng.randint(0, 100)))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(100)
+            t += rng.choice(base)[i : i + rng.randint(20, 120)] + rng.choice(["", "x"])
+        texts.append(t + ("ab" * 40 if k % 9 == 0 else "") + ("=" * 70 if k % 11 == 0 else ""))
+    texts += [None, "", *texts[:4]]
+    df = spark.createDataFrame([(None if k == 7 else k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, spans int")
+    got = {r.doc_id: r for r in suffixes.removals(df, 40, hot).collect()}
+    for k, (t, mark) in enumerate(zip(texts, repeated([(t or "").encode() for t in texts], 40), strict=True)):
+        r = got[None if k == 7 else k]
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        assert (r.n_bytes, bytes(r.kept)) == (len(raw), raw[~mark].tobytes())
+        assert len(r.spans) == int((np.diff(np.concatenate(([0], mark.astype(int)))) == 1).sum())
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(150):
+        x = bytes(rng.choice(b"abc" if rng.random() < 0.5 else b"ab=cdefgh") for _ in range(rng.randint(0, 200))) + b"\xff"
+        assert suffixes.suffix_array(np.frombuffer(x, np.uint8), 500).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    t = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    monkeypatch.setattr(suffixes, "PIECE", 1000)
+    whole, out = suffixes._anchor_rows(40), []
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([t, t[100:4000]])], ["doc_id", "nk", "text"])
+    for size in (1000, 1 << 20):
+        monkeypatch.setattr(suffixes, "PIECE", size)
+        out.append(sorted(tuple(r.values()) for b in whole(iter([batch])) for r in b.to_pylist()))
+    assert out[0] == out[1] and len(out[0]) > 200
+
+
+def test_decontamination(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(30)] + ["é", "Zoo"]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([14, 25, 10, 3, 1, 12])] + [(90, None), (91, ""), (92, "...")]
+    texts = []
+    for k in range(70):
+        t = " ".join(rng.choice(vocab[:8] if k % 7 == 0 else vocab) for _ in range(rng.randint(0, 40)))
+        if k % 3 == 0:
+            t += ", " + rng.choice([x for _, x in items[:6]]).upper() + ". " + t
+        texts.append(t)
+    texts += [None, "", *texts[:3]]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(WORD, (t or "").translate(LOWER))
+    for window, size in ((10, 1 << 20), (4, 60)):
+        got = {r.doc_id: r for r in decontamination.find(docs, bench, window, block_bytes=size).collect()}
+        for k, t in enumerate(texts):
+            w, hit, found = words(t), set(), set()
+            for i, x in items:
+                v = words(x)
+                for a in range(max(1, len(v) - window + 1) if v else 0):
+                    p = v[a : a + window]
+                    for b in range(len(w) - len(p) + 1):
+                        if w[b : b + len(p)] == p:
+                            hit |= set(range(b, b + len(p)))
+                            found.add(str(i))
+            r = got[k]
+            assert (r.n_words, sum(s.words for s in r.spans), r.items) == (len(w), len(hit), sorted(found))
+            raw = (t or "").encode()
+            for s in r.spans:
+                assert words(raw[s.start : s.end].decode()) == w[s.first : s.first + s.words]
+    assert decontamination.clean(docs, bench).columns == docs.columns
+
+
+def plain_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    s = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(fps, distance=4):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= distance:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(fps))]
+
+
+def test_simhash(docs, texts):
+    got = {r.doc_id: r for r in simhash.groups(docs).collect()}
+    fps = [plain_fingerprint(t) for t in texts]
+    assert [got[k].fp % (1 << 64) for k in range(len(texts))] == fps
+    assert [got[k].component_id for k in range(len(texts))] == plain_components(fps)
+
+
+@pytest.mark.parametrize("hot", [20_000, 60])
+def test_simhash_links(spark, hot):
+    """Dense clusters: small buckets, large ones, and those dealt out as blocks."""
+    rng = random.Random(hot)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(200)} | {rng.getrandbits(64) for _ in range(100)} | {0, 1, (1 << 64) - 1})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(5)
+    scratch = Scratch(spark, "test")
+    root = {r.node: r.root for r in components(simhash.links(df, scratch, hot=hot), scratch).collect()}
+    ours = {}
+    for f in signed:
+        ours.setdefault(root.get(f, f), set()).add(f)
+    plain = {}
+    for f, c in zip(signed, plain_components(fps), strict=True):
+        plain.setdefault(c, set()).add(f)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, plain.values()))
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    kinds = {"a": ["ba", "lo", "mi", "ke"], "b": ["stra", "gni", "vor", "zt"], "c": ["eau", "qui", "ment", "ère"]}
+    rows = [(k, " ".join("".join(rng.choice(kinds[lang]) for _ in range(3)) for _ in range(60)), lang) for k, lang in enumerate(["a", "b", "c"] * 40)]
+    rows += [(500, None, "a"), (501, "12 34", "b"), (502, "", None), (503, "é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.col("doc_id") % 4 != 2)
+    got = {r.doc_id: r for r in langid.classify(df, model).collect()}
+    assert all(got[k].lang_pred == lang and not got[k].rejected for k, _, lang in rows if k < 500)
+    assert [got[k].lang_pred for k in (500, 501, 502)] == ["und"] * 3 and got[503].lang_pred in kinds
+    assert all(0 <= r.score <= 1 for r in got.values())
+    nothing = langid.fit(df.limit(0), F.lit(True))
+    assert {r.lang_pred for r in langid.classify(df, nothing).collect()} == {"und"}
+    assert langid.keep_column(df, model, "keep").filter("keep").count() >= 120
+
+
+def test_exact(spark):
+    texts = ["a b", "a  b", "a\tb\n", "a b ", None, "", " ", "\n\n", "a\xa0b", "x" * 100_000, "x" * 100_000, "a b"]
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(0, "a b", 1)], "doc_id long, text string, h int").repartition(4)
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
+    for r in exact.groups(df, capacity=50).collect():
+        same = [k for k, n in enumerate(norm) if n == norm[r.doc_id]]
+        extra = int(norm[r.doc_id] == "a b")
+        assert (r.keep_id, r.group_size, r.kept, bytes(r.sha)) == (same[0], len(same) + extra, r.doc_id == same[0], hashlib.sha256(norm[r.doc_id].encode()).digest())
+
+
+def test_exact_chains_collisions(spark, monkeypatch):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "b", "a", "c", "b"])], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(exact, "key_of", lambda text: 5)
+    import pyarrow as pa
+
+    rows = []
+    fake = type("D", (), {"sparkSession": spark, "mapInArrow": lambda self, f, s: (rows.append(f), self)[1], "repartition": lambda self, *a: self, "sortWithinPartitions": lambda self, *a: self})()
+    exact.index(fake, np.zeros(1, np.int32), 0)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, 4]), pa.array(["a", "b", "a", "c", "b"])], ["doc_id", "text"])
+    out = [r for b in rows[1](rows[0](iter([batch]))) for r in b.to_pylist()]
+    assert [(r["chain"], r["keep_id"], r["group_size"]) for r in out] == [(0, 0, 2), (1, 1, 2), (2, 3, 1)] and df.count() == 5
+
+
+def test_directory_splits(spark):
+    df = spark.createDataFrame([(k * ((1 << 64) // 500) - (1 << 63), 100) for k in range(500)], "h long, n_bytes long")
+    buckets, bits = exact.directory(df, capacity=2000, depth=12)
+    held = Counter(int(buckets[(h % (1 << 64)) >> (64 - bits)]) for h, _ in df.collect())
+    assert len(buckets) == 1 << bits and max(held.values()) <= 20
+
+
+def plain_lines(texts, least_chars, least_docs):
+    key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(LOWER)
+    held = {}
+    for k, t in texts:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= least_chars and k is not None:
+                held.setdefault(key(x), set()).add(k)
+    return [(k, len(s := (t or "").split("\n")), "\n".join(x for x in s if len(held.get(key(x), ())) < least_docs or k is None or k == max(held[key(x)]))) for k, t in texts]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_lines(spark, parts):
+    rng = random.Random(parts)
+    pool = ["a common line of text", "Another COMMON line  ", "été à la même page", "short", ""]
+    texts = [(k, "\n".join(rng.choice(pool[: 1 + k % 5] + [f"own line number {k}"]) for _ in range(rng.randint(0, 9)))) for k in range(80)] + [(100, None), (101, ""), (None, "a common line of text")]
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts], "doc_id long, text string, pos int").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        kept = lines.bitmaps(df, 10, 5)
+        got = {r.doc_id: (r.n_lines, bytes(r.kept_text).decode()) for r in lines.apply(df, kept).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {k: (n, t) for k, n, t in plain_lines(texts, 10, 5)}
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(600):
+        w = [rng.choice(words) for _ in range(rng.randint(5, 80))]
+        bad = k % 4 == 0
+        if bad:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["vile", "nasty"]))
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(bad)))
+    rows += [(900, None), (901, "")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [k for k in range(0, 600, 5)]
+    assert sum(got[k].predicted == labels[k][1] for k in held) / len(held) > 0.95
+    assert got[900].score == got[901].score and all(0 <= r.score <= 1 for r in got.values())
+    assert len(model[1]) < 50_000
+    none = toxicity.fit(docs, known.limit(0), F.lit(True))
+    assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def test_licenses(spark):
+    notice = licenses.TEMPLATES[1][1]
+    texts = ["Released under the MIT License.", notice, notice.replace("merge, publish", "merge, quickly publish"), "apache license MIT-license general public license mit license", "license mit", None, "", "The General\nPublic  License!"]
+    df = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for k, t in enumerate(texts):
+        w = re.findall(WORD, (t or "").translate(LOWER))
+        places = [(a, label) for p, label in licenses.BASE for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min((a for a, _ in places), default=None), max((a for a, _ in places), default=None), sorted({x for _, x in places}))
+        assert set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
+    assert got[0].labels == ["MIT", "mit"] and got[1].labels == got[2].labels == ["MIT"] and got[5].labels == []
+
+
+def test_matching_statistics():
+    rng = random.Random(8)
+    sets = [[rng.randrange(1, 5) for _ in range(rng.randint(1, 12))] for _ in range(6)]
+    a = licenses.Automaton()
+    for s in sets:
+        a.add(s)
+    text = [rng.randrange(1, 6) for _ in range(200)]
+    state = size = 0
+    for k, c in enumerate(text):
+        state, size = a.step(state, size, c)
+        longest = max((n for n in range(13) if any(text[k + 1 - n : k + 1] == s[i : i + n] for s in sets for i in range(len(s) - n + 1)) and n <= k + 1), default=0)
+        assert size == longest
+
+
+EMPTY = {
+    "token_files": lambda d, b: token_files.token_table(d, PATH), "packing": lambda d, b: packing.pack_documents(d, PATH), "suffixes": lambda d, b: suffixes.removals(d),
+    "decontamination": lambda d, b: decontamination.find(d, b), "simhash": lambda d, b: simhash.groups(d), "exact": lambda d, b: exact.groups(d),
+    "lines": lambda d, b: lines.apply(d, lines.bitmaps(d)), "licenses": lambda d, b: licenses.scan(d), "langid": lambda d, b: langid.classify(d, langid.Model((), ())),
+}
+
+
+@pytest.mark.parametrize("name", sorted(EMPTY))
+def test_empty_tables_and_null_ids(spark, name):
+    docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    assert EMPTY[name](docs, bench).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert EMPTY[name](odd, bench).count() == 4
