@@ -27,6 +27,8 @@ from .words import LOWER
 
 #: Texts sampled for each language, bytes of its dictionary, and of a text encoded at once.
 SAMPLE_DOCS, DICT_BYTES, CHUNK, LEVEL = 300, 64 << 10, 512, 6
+#: Shorter texts are encoded as three lines of themselves: alone they would often be stored as they are, a tie.
+SHORT = 160
 #: A text is rejected if the next best language's encoding is larger by less than this share.
 MARGIN = 0.002
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -77,6 +79,8 @@ def judge(raw: bytes, names: tuple[str, ...], encoders: list, margin: float = MA
     if not names or not raw or not has_letter(raw):
         return "und", 0.0, True
     low = raw.translate(LOWER)
+    if len(low) < SHORT:
+        low = (low + b"\n") * 3
     sizes = [0] * len(names)
     for a in range(0, len(low), CHUNK):
         chunk = low[a : a + CHUNK]
