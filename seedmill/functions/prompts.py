@@ -105,11 +105,11 @@ def judge_prompt(examples: list[tuple[str, str, str]], doc: Column, code: Column
 
 
 def infill(family: str, prefix: Column, suffix: Column) -> Column:
-    """Fill-in-the-middle prompts of three model families."""
+    """Fill-in-the-middle prompts of three model families, named by their marks."""
     marks = {
-        "starcoder": ("<fim_prefix>", "<fim_suffix>", "<fim_middle>"),
-        "codellama": ("▁<PRE>", "▁<SUF>", "▁<MID>"),
-        "deepseekcoder": ("<｜fim▁begin｜>", "<｜fim▁hole｜>", "<｜fim▁end｜>"),
+        "fim": ("<fim_prefix>", "<fim_suffix>", "<fim_middle>"),
+        "pre": ("▁<PRE>", "▁<SUF>", "▁<MID>"),
+        "begin": ("<｜fim▁begin｜>", "<｜fim▁hole｜>", "<｜fim▁end｜>"),
     }
     if family not in marks:
         raise ValueError(f"unknown family {family}")

@@ -58,8 +58,8 @@ def collate(rows: DataFrame, batch: str, pad: int, all_ones: bool = False) -> Da
     return df.withColumns({"labels": padded(F.col("labels"), F.col("_n"), IGNORED), "attention_mask": mask, "input_ids": ids}).drop("_n")
 
 
-# Context sizes by model family.
-CONTEXTS = {"starcoder": 8192, "codellama": 16384, "deepseekcoder": 16384}
+# Context sizes by model family, named by their infilling marks.
+CONTEXTS = {"fim": 8192, "pre": 16384, "begin": 16384}
 
 
 def context_size(family: str) -> int:

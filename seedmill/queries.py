@@ -290,7 +290,7 @@ def fewshot_prompt(spark, sf_dir):
 
 @query("SELECT doc_id, '<fim_prefix>' || source || '<fim_suffix>' || coalesce(lang, '') || '<fim_middle>' AS prompt FROM documents")
 def infill_prompt(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", prompts.infill("starcoder", F.col("source"), F.coalesce("lang", F.lit(""))).alias("prompt"))
+    return docs(spark, sf_dir).select("doc_id", prompts.infill("fim", F.col("source"), F.coalesce("lang", F.lit(""))).alias("prompt"))
 
 
 @query("SELECT doc_id, substr(sha256('m' || doc_id || coalesce(lang, '')), 1, 5) AS fingerprint FROM documents")
