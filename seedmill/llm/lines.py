@@ -174,4 +174,5 @@ def apply(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: st
                 to.append(v)
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
-    return id_text(docs, id_col, text_col).join(kept.select("doc_id", "keep"), "doc_id", "left").mapInArrow(map_rows(run), "doc_id long, n_lines long, n_dropped long, kept_text binary, kept_sha256 string")
+    # The bitmaps grow with the documents: never a broadcast, however few they are.
+    return id_text(docs, id_col, text_col).join(kept.select("doc_id", "keep").hint("merge"), "doc_id", "left").mapInArrow(map_rows(run), "doc_id long, n_lines long, n_dropped long, kept_text binary, kept_sha256 string")
