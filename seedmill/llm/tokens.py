@@ -43,7 +43,7 @@ class WordEncoder:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words that the memo lacks."""
+        """Takes words that the memo lacks into it; the ids of those it has no room for."""
         out: dict[str, bytes] = {}
         plain, ended, other = {}, [], []
         for w in words:
@@ -71,14 +71,10 @@ class WordEncoder:
         if other:
             for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
                 out[w] = array("I", e.ids).tobytes()
-        room = MEMO - len(self.memo)
-        if room > 0:
-            for source in (plain, out):
-                for w in source:
-                    if len(w) <= LONG and room > 0 and w not in self.memo:
-                        self.memo[w] = source[w]
-                        room -= 1
-        return out
+        for source in (plain, out):
+            for w in [w for w in source if len(w) <= LONG][: max(0, MEMO - len(self.memo))]:
+                self.memo[w] = source[w]
+        return {w: ids for w, ids in out.items() if w not in self.memo}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -94,30 +90,16 @@ class WordEncoder:
             fresh: set[str] = set()
             for words in group:
                 fresh.update(words)
-            fresh.difference_update(memo)
-            more = self._learn(fresh) if fresh else {}
-            if not more or all(w in memo for w in more):
-                out += [b"".join(map(memo.__getitem__, words)) for words in group]
-            else:
-                for w in fresh & memo.keys():
-                    more.pop(w, None)
-                get = _Both(memo, more).__getitem__
-                out += [b"".join(map(get, words)) for words in group]
+            more = self._learn({w for w in fresh if w not in memo})
+            # Words that found no room in the memo stay only while their group is encoded.
+            memo.update(more)
+            out += [b"".join(map(memo.__getitem__, words)) for words in group]
+            for w in more:
+                del memo[w]
             group, size = [], 0
         return out
 
 
-class _Both(dict):
-    """The memo, and the words of one group that it had no room for."""
-
-    def __init__(self, memo: dict, more: dict):
-        super().__init__(more)
-        self.memo = memo
-
-    def __missing__(self, word: str) -> bytes:
-        return self.memo[word]
-
-
 @cache
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process."""
