@@ -7,7 +7,8 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
    are about two for each gram length of text, and all others are never looked at again.
 2. An anchor's context is all that windows around it reach. Contexts that occur twice are removed whole. What is left
    are contexts that occur once but share their gram: the edges of repeats.
-3. Those contexts' bytes go to tasks by gram. A task joins them to one text and sorts its suffixes in two stages:
+   Of these, contexts whose windows' common cores all occur once are dropped as well.
+3. The other contexts' bytes go to tasks by gram. A task joins them to one text and sorts its suffixes in two stages:
    suffixes smaller than their successors are sorted directly, the others are induced by scans of the buckets.
    Adjacent suffixes with a common prefix of LENGTH are repeats (of different places).
 4. A gram with more than ``HOT`` such contexts would not fit a task. Its windows are halved again and again by hash
@@ -251,22 +252,31 @@ def _anchor_rows(length: int):
 
 # Contexts.
 
-CONTEXT = "g long, m long, n long, doc_id long, nk long, pos int, lo int, body binary"
+CONTEXT = "g long, m long, n long, doc_id long, nk long, pos int, lo int, body binary, cores array<bigint>"
+#: Parts of the windows around an anchor; each part's core is what all its windows share.
+PARTS = 4
 SPAN = "doc_id long, nk long, first int, last int"
 
 
 def _cut_contexts(length: int):
     reach = length - length // 2
+    parts = [(reach * k // PARTS, reach * (k + 1) // PARTS) for k in range(PARTS)]
+
+    def cores(g: int, p: int, body: bytes) -> list[int]:
+        """Hashes of the cores of those parts of which the context holds a window."""
+        low, high = max(0, p + length - len(body)), min(reach, p)
+        return [xxhash.xxh3_64_intdigest(body[p - a : p - b + length], seed=(g ^ a) & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for a, b in parts if max(a, low) <= min(b, high)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(9)]
         for doc, nk, raw, wanted in zip(column(batch, "doc_id").to_pylist(), column(batch, "nk").to_pylist(), text_bytes(batch), column(batch, "wanted").to_pylist(), strict=True):
             for w in wanted:
                 p = w["pos"]
                 lo = max(0, p - reach)
-                for to, v in zip(out, (w["g"], w["m"], w["n"], doc, nk, p, lo, raw[lo : p + length]), strict=True):
+                body = raw[lo : p + length]
+                for to, v in zip(out, (w["g"], w["m"], w["n"], doc, nk, p, lo, body, cores(w["g"], p - lo, body)), strict=True):
                     to.append(v)
-        kinds = (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(),) * 5 + (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], [x.split()[0] for x in CONTEXT.split(", ")])
 
     return map_rows(run)
@@ -363,15 +373,22 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
     reach = length - length // 2
     rows = id_text(docs, id_col, text_col).withColumn("nk", F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     all_anchors = scratch.table(rows.mapInArrow(_anchor_rows(length), ANCHOR), "anchors")
-    shared = all_anchors.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
+    # Written, so that joins deal both sides out by themselves and Spark can split a hot gram.
+    shared = scratch.table(all_anchors.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "shared")
     met = scratch.table(all_anchors.join(shared, "g"), "met")
     scratch.drop("anchors")
     contexts = scratch.table(met.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "nk", "pos")).alias("at")), "contexts")
     twice = met.join(contexts.filter("n > 1").select("g", "c"), ["g", "c"]).select("doc_id", "nk", F.greatest(F.lit(0), F.col("pos") - reach).cast("int").alias("first"), (F.col("pos") + length).cast("int").alias("last"))
     # Grams with several contexts, one of them met only once: the edges of repeats.
-    edges = contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m")
+    edges = scratch.table(contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m"), "edges")
     wanted = contexts.join(edges, "g").select("at.doc_id", "at.nk", F.struct("g", "m", "n", "at.pos").alias("w")).groupBy("doc_id", "nk").agg(F.collect_list("w").alias("wanted"))
-    bodies = scratch.table(rows.join(wanted.hint("merge"), ["doc_id", "nk"]).mapInArrow(_cut_contexts(length), CONTEXT), "bodies")
+    cut = scratch.table(rows.join(wanted.hint("merge"), ["doc_id", "nk"]).mapInArrow(_cut_contexts(length), CONTEXT), "cut")
+    # A context none of whose cores occurs again shares its gram, but no window.
+    held = cut.select("g", "doc_id", "nk", "pos", "n", F.explode("cores").alias("core"))
+    again = scratch.table(held.groupBy("core").agg(F.sum("n").alias("k")).filter("k > 1").select("core"), "again")
+    live = held.join(again.hint("merge"), "core", "left_semi").select("g", "doc_id", "nk", "pos").distinct()
+    bodies = scratch.table(cut.drop("cores").join(live.hint("merge"), ["g", "doc_id", "nk", "pos"], "left_semi"), "bodies")
+    scratch.drop("cut")
     n = shuffle_partitions(spark)
     spans = twice.unionByName(scratch.table(bodies.filter(F.col("m") <= hot).select("g", "doc_id", "nk", "lo", "body").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_sorted_repeats(length, sort_bytes), SPAN), "sorted"))
     if bodies.filter(F.col("m") > hot).limit(1).count():
