@@ -4,12 +4,13 @@
 chunk by chunk over its whole length, with every language's dictionary; the language whose encoding is smallest wins. If the next
 best is hardly larger, the text is rejected (the margin is a share of the text's own size).
 
-Scale: one scan and no shuffle. The fit reads a bounded sample: about ``SAMPLE_DOCS`` texts of each language, chosen by a
-hash of the id, of which at most ``DICT_BYTES`` become the dictionary that is broadcast.
+Scale: one scan and no shuffle of texts. The fit reads a bounded sample: the ``SAMPLE_DOCS`` labelled texts of each language with
+the least hashes, whatever their length and however many there are; of a long one a slice of a sixteenth of ``DICT_BYTES``
+from a hashed offset. The last ``DICT_BYTES`` of the slices become the dictionary that is broadcast.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and count as rejected; ties go to the language
-with more labelled rows, then by name; without any labelled text all are ``und``; rows without a language teach
-nothing; repeated rows are judged one by one; empty tables give no rows; other columns are not read.
+with more labelled rows, then by name; without any labelled text all are ``und``; rows without a language and empty texts
+teach nothing; a row repeated under one id is drawn once; repeated rows are judged one by one; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .words import LOWER
 
 #: Texts sampled for each language, bytes of its dictionary, and of a text encoded at once.
 SAMPLE_DOCS, DICT_BYTES, CHUNK, LEVEL = 300, 64 << 10, 512, 6
+#: Range of the draw of texts.
+DRAWS = 1 << 40
 #: Shorter texts are encoded as three lines of themselves: alone they would often be stored as they are, a tie.
 SHORT = 160
 #: A text is rejected if the next best language's encoding is larger by less than this share.
@@ -57,20 +60,26 @@ def has_letter(raw: bytes) -> bool:
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> Model:
     """A model from the labelled rows for which train holds."""
     rows = docs.filter(train).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    row = F.xxhash64("doc_id", "text", F.lit(7))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.octet_length("text") > 0, row)).alias("distinct")).collect()
+    counts = {r.lang: r.n for r in found}
+    # The draw passes about one and a half times the rows wanted, so that the least draws are all among them.
+    shares = [(F.lit(r.lang), F.lit(min(1.0, 1.5 * sample_docs / max(r.distinct, 1)))) for r in found]
+    if not shares:
         return Model((), ())
-    # Long texts would fill a dictionary alone: only those of at most a sixteenth of it are sampled.
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 4 * sample_docs / n)))))[F.col("lang")]
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000))
-    held = rows.withColumn("draw", draw).filter((F.col("draw") < share * 1_000_000) & (F.octet_length("text") <= dict_bytes // 16)).collect()
+    share = F.create_map(*(x for pair in shares for x in pair))[F.col("lang")]
+    raw, bound = F.col("text").cast("binary"), F.lit(dict_bytes // 16)
+    offset = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.greatest(F.octet_length("text") - bound, F.lit(0)) + 1).cast("int")
+    drawn = rows.withColumn("draw", F.pmod(row, F.lit(DRAWS))).filter((F.octet_length("text") > 0) & (F.col("draw") < share * DRAWS))
+    held = drawn.select("lang", "draw", F.substring(raw, offset + 1, bound).alias("piece")).distinct().collect()
     names, contents = [], []
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        mine = sorted((r.draw, r.text) for r in held if r.lang == lang)[:sample_docs]
-        content = b"\n".join(t.encode().translate(LOWER) for _, t in mine)[-dict_bytes:]
-        if len(content) >= 8:
+        mine = sorted((r.draw, bytes(r.piece)) for r in held if r.lang == lang)[:sample_docs]
+        # A slice may begin or end within a character.
+        content = b"\n".join(t.decode(errors="ignore").encode().translate(LOWER) for _, t in mine)[-dict_bytes:]
+        if content:
             names.append(lang)
-            contents.append(content)
+            contents.append(content if len(content) >= 8 else (content + b"\n") * 8)
     return Model(tuple(names), tuple(contents))
 
 

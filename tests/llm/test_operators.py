@@ -258,6 +258,22 @@ def test_language_id(spark):
     assert langid.keep_column(df, model, "keep").filter("keep").count() >= 120
 
 
+def test_language_id_learns_long_texts(spark):
+    """Languages with long texts only, with one short text among long ones, or with a tiny text are learned too."""
+    rng = random.Random(4)
+    kinds = {"a": ["ba", "lo", "mi", "ke"], "b": ["stra", "gni", "vor", "zt"], "c": ["eau", "qui", "ment", "ère"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(kinds[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(k, text("a", 60), "a") for k in range(100)] + [(100 + k, text("b", 1500), "b") for k in range(20)] + [(200 + k, text("c", 1500) if k else text("c", 4), "c") for k in range(20)]
+    rows += [(300, "日本", "d")] + [(None, text("a", 1500), "a")] * 50
+    assert all(len(t.encode()) > langid.DICT_BYTES // 16 for _, t, lang in rows if lang == "b")
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), F.lit(True))
+    assert model.names == ("a", "b", "c", "d") and all(8 <= len(c) <= langid.DICT_BYTES for c in model.contents)
+    assert len(model.contents[2]) > 10_000 and [c.decode() for c in model.contents]
+    new = [(k, text(lang, 40), lang) for k, lang in enumerate("abc" * 10)]
+    got = {r.doc_id: r.lang_pred for r in langid.classify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[k] == lang for k, _, lang in new)
+
+
 def test_exact(spark):
     texts = ["a b", "a  b", "a\tb\n", "a b ", None, "", " ", "\n\n", "a\xa0b", "x" * 100_000, "x" * 100_000, "a b"]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(0, "a b", 1)], "doc_id long, text string, h int").repartition(4)
