@@ -454,6 +454,29 @@ def docstring_split(spark, sf_dir):
     return code(spark, sf_dir).filter("doc_id % 12 = 0").select("doc_id", T.split_docstring(F.col("content"))["doc"].alias("doc"))
 
 
+#: What is left of each variant of derived.CODE without its first docstring; None where it has none in double quotes.
+_UNDOCUMENTED = (
+    "def plus_{id}(x):\n    \n    y = x + {id}\n    return y",
+    "def none_{id}():\n    \n    return {id}",
+    "def quiet_{id}(x):\n    \n    print(x)\n    return",
+    None,
+    None,
+    "def later_{id}(x):\n    \n    # TODO later\n    return x",
+    "import os\n\ndef paths_{id}(x):\n    \n    return os.path.join(x, x)",
+    "def trace_{id}(x):\n    \n    debugger = x\n    return debugger",
+    "def long_{id}(x):\n    \n{many}    return x",
+    None,
+    "def same(x):\n    \n    return x{pad}",
+    f"@cache\ndef outer_{{id}}(x):\n    \n    def inner(y):\n        return y\n    return inner(x)\n\nasync def second_{{id}}(x):\n    {derived.Q3}More.{derived.Q3}\n    return x",
+)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 'Return x plus ' || doc_id || '.' || chr(10) || chr(10) || '    Any number.' WHEN doc_id % 12 IN (1, 2, 5, 6, 7, 8, 11) THEN 'Doc ' || doc_id || '.' WHEN doc_id % 12 = 10 THEN 'Doc.' END AS doc, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {derived._sql(t, 'doc_id')}" for k, t in enumerate(_UNDOCUMENTED) if t) + " END AS code FROM documents")
+def docstring_split_rows(spark, sf_dir):
+    """docstring_split over every row, with the code that is left."""
+    return code(spark, sf_dir).select("doc_id", T.split_docstring(F.col("content")).alias("s")).select("doc_id", "s.doc", "s.code")
+
+
 @query("SELECT doc_id, 'Python' AS language, 'easy' AS difficulty, 'c1|' || doc_id AS concepts FROM documents")
 def property_round_trip(spark, sf_dir):
     p = T.properties(F.concat(F.lit("category: x\nlanguage: Python\nconcepts: c1, "), F.col("doc_id").cast("string"), F.lit("\ndifficulty: easy")))
