@@ -341,6 +341,12 @@ def comment_removal(spark, sf_dir):
     return responses(spark, sf_dir).filter("id % 10 <> 6").select("id", T.without_comments(F.col("response")).alias("response"))
 
 
+@query(R + " SELECT id, replace(replace(replace(response, '# add' || chr(10), ''), '    # one' || chr(10), ''), '# Your code here' || chr(10), '') AS response FROM resp")
+def comment_removal_rows(spark, sf_dir):
+    """comment_removal over every row."""
+    return responses(spark, sf_dir).select("id", T.without_comments(F.col("response")).alias("response"))
+
+
 @query(R + " SELECT id, split_part(response, '```', 1) AS head FROM resp")
 def completion_truncate(spark, sf_dir):
     return responses(spark, sf_dir).select("id", T.cut_at(F.col("response"), T.FENCE).alias("head"))
@@ -361,6 +367,16 @@ def assertion_augment(spark, sf_dir):
     return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, augmentation=1.0)).filter("id % 10 = 1").select("id", "instruction")
 
 
+@query(R + """, t AS (SELECT id, instruction, CASE id % 10 WHEN 0 THEN ['assert f(1) == ' || id, 'assert f(2) == 3'] WHEN 6 THEN ['assert True'] END AS l FROM resp WHERE id % 10 IN (0, 1, 6)),
+    k AS (SELECT *, least(CAST('0x' || md5('0|' || id || '|k')[1:13] AS BIGINT) % 5 + 1, len(l)) AS k FROM t),
+    c AS (SELECT *, list_sort(list_transform(generate_series(1, len(l)), lambda i: {'d': CAST('0x' || md5('0|' || id || '|lines|' || (i - 1))[1:13] AS BIGINT), 'i': i, 'x': l[i]}))[1:k] AS chosen FROM k)
+    SELECT id, instruction || chr(10) || chr(10) || 'Your code should pass the following ' || CASE WHEN l IS NULL THEN 'test case' WHEN k > 1 THEN 'assertions' ELSE 'assertion' END || ':' || chr(10) || '```python' || chr(10)
+    || CASE WHEN l IS NULL THEN 'def test_f():' || chr(10) || '    assert f(1)' || chr(10) || 'test_f()' ELSE array_to_string(list_transform(chosen, lambda s: s.x), chr(10)) END || chr(10) || '```' AS instruction FROM c""")
+def assertion_augment_rows(spark, sf_dir):
+    """assertion_augment over every row that the sanitizer keeps."""
+    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, augmentation=1.0)).select("id", "instruction")
+
+
 @query(C + " SELECT doc_id, EXISTS (SELECT 1 FROM code b WHERE b.doc_id % 5 = 0 AND b.content = a.content) AS cached FROM code a")
 def cached_split(spark, sf_dir):
     rows = code(spark, sf_dir)

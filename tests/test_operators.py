@@ -186,3 +186,21 @@ def test_chat_rejects_system_turns(spark):
     df = spark.createDataFrame([([("user", "hi"), ("assistant", "yo")],), ([("system", "x")],)], "t array<struct<role:string,text:string>>")
     a, b = (r.p for r in df.select(prompts.chat(F.col("t")).alias("p")).collect())
     assert a.endswith("### Instruction\nhi\n\n### Response\nyo<|endoftext|>\n\n### Response\n") and b is None
+
+
+def test_assertion_block_draws_one_to_five_lines(spark):
+    """The MD5-keyed draw of assertion lines against a plain version, and blocks that are not all assertions."""
+    import hashlib
+
+    number = lambda *of: int(hashlib.md5("|".join(map(str, (0, *of))).encode()).hexdigest()[:13], 16)
+    rows = [(i, "\n".join(f"assert f({j}) == {i}" for j in range(1 + i % 9))) for i in range(90)] + [(90, "x = 1\nassert f(x)")]
+    seen = set()
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: r.a for r in df.select("id", sanitize.assertion_block(F.col("t"), 0, F.col("id")).alias("a")).collect()}
+    for i, t in rows[:-1]:
+        lines = t.split("\n")
+        k = min(number(i, "k") % 5 + 1, len(lines))
+        order = sorted(range(len(lines)), key=lambda j: (number(i, "lines", j), j))
+        assert (got[i].text, got[i].term) == ("\n".join(lines[j] for j in order[:k]), "assertions" if k > 1 else "assertion")
+        seen.add(k)
+    assert seen == {1, 2, 3, 4, 5} and (got[90].text, got[90].term) == (rows[-1][1], "test case")
