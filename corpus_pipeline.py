@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, SimHash near-dedup, benchmark decontamination, best-fit packing.
 
 Each stage works on all that the one before it kept, and is written as Parquet and read again. All but the last return the
-columns of documents. Rows without doc_id are never dropped as copies; rows that repeat a doc_id are that document again and
-share its fate. Copies are never broadcast: they grow with the documents.
+columns of documents. The dedup stages decide by row, whatever its doc_id: of copies the row with the least doc_id stays (rows
+without one come last), of several the one first numbered. Copies are never broadcast: they grow with the documents.
 """
 
 from __future__ import annotations
@@ -25,16 +25,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_column(docs, model, keep).filter(keep).drop(keep)
 
 
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, written with a number for each row, and the number's column."""
+    key = "_row"
+    while key in docs.columns:
+        key = "_" + key
+    return Scratch(spark, name).table(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def without_copies(rows: DataFrame, key: str, members: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows, but of each group of members (row, group) only that with the least doc_id, then the least number."""
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    first = members.join(ids.hint("merge"), "row").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    # By row on both sides: a group may hold a third of all rows.
+    copies = members.join(first.select(F.col("first.row").alias("row")).hint("merge"), "row", "left_anti").select(F.col("row").alias(key))
+    return rows.join(copies.hint("merge"), key, "left_anti").select(*columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (white space aside) the one with the least doc_id."""
-    copies = exact.groups(docs).filter("not kept").select("doc_id")
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of rows with equal texts (white space aside) the one with the least doc_id."""
+    rows, key = numbered(spark, docs, "exact_dedup")
+    members = exact.groups(rows, key).filter("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    return without_copies(rows, key, Scratch(spark, "exact_dedup").table(members, "members"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least doc_id."""
-    copies = simhash.groups(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near-duplicates the row with the least doc_id."""
+    rows, key = numbered(spark, docs, "near_dedup")
+    members = simhash.groups(rows, id_col=key).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return without_copies(rows, key, Scratch(spark, "near_dedup").table(members, "members"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,15 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 AS n_words", "'x' AS _keep", "2 AS kept")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_dedup_stages_decide_by_row(spark):
+    """Copies without doc_id, whole rows repeated under one id, and one id with a copy and a text of its own."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    text = lambda k: " ".join(words[k:] + words[:k] + [f"w{k}{j}" for j in range(30)])
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, text(3)), (4, text(1)), (4, text(4)), (9, text(5)), (8, text(5)), (None, text(6))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    want = sorted([(1, text(1)), (None, text(2)), (3, text(3)), (4, text(4)), (8, text(5)), (None, text(6))], key=str)
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup):
+        got = stage(spark, docs, SF)
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want and got.columns == docs.columns
