@@ -2,7 +2,7 @@
 
 ``fit`` gathers, for each language, a raw-content zstandard dictionary from labelled texts. ``classify`` encodes a text,
 chunk by chunk over its whole length, with every language's dictionary; the language whose encoding is smallest wins. If the next
-best is hardly larger, the text is rejected (the margin is a share of the text's own size).
+best is hardly larger, the text is rejected (the margin is a share of the best encoding's size, and some bytes at least).
 
 Scale: one scan and no shuffle of texts. The fit reads a bounded sample: the ``SAMPLE_DOCS`` labelled texts of each language with
 the least hashes, whatever their length and however many there are; of a long one a slice of a sixteenth of ``DICT_BYTES``
@@ -32,8 +32,9 @@ SAMPLE_DOCS, DICT_BYTES, CHUNK, LEVEL = 300, 64 << 10, 512, 6
 DRAWS = 1 << 40
 #: Shorter texts are encoded as three lines of themselves: alone they would often be stored as they are, a tie.
 SHORT = 160
-#: A text is rejected if the next best language's encoding is larger by less than this share.
-MARGIN = 0.002
+#: A text is rejected if the next best language's encoding is larger by less than this share of the best one, or by fewer bytes.
+#: Set from held-out texts whose language was left out of the model, beside those whose language was in it (README).
+MARGIN, FLOOR = 0.02, 3
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -100,7 +101,7 @@ def judge(raw: bytes, names: tuple[str, ...], encoders: list, margin: float = MA
     others = sorted(sizes[:k] + sizes[k + 1 :])
     # A byte more halves a language's weight.
     score = 1.0 / (1.0 + sum(2.0 ** -min(s - best, 60) for s in others))
-    return names[k], score, bool(others) and others[0] - best < margin * best
+    return names[k], score, bool(others) and others[0] - best < max(margin * best, FLOOR)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:

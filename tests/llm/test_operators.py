@@ -274,6 +274,21 @@ def test_language_id_learns_long_texts(spark):
     assert all(got[k] == lang for k, _, lang in new)
 
 
+def test_language_id_rejects_narrow_margins(spark):
+    """By encodings of given sizes, and texts of a language that was left out of the fit."""
+    fake = lambda n: type("E", (), {"compress": lambda self, raw: b"x" * n})()
+    rejected = lambda a, b: langid.judge(b"x" * 400, ("a", "b"), [fake(a), fake(b)])[2]
+    assert rejected(100, 101) and rejected(50, 52) and not rejected(50, 53) and rejected(300, 305) and not rejected(300, 307)
+    rng = random.Random(5)
+    kinds = {"a": ["ba", "lo", "mi", "ke"], "b": ["stra", "gni", "vor", "zt"], "c": ["eau", "qui", "ment", "ère"], "none": ["xu", "wy", "jo", "pha"]}
+    text = lambda lang: " ".join("".join(rng.choice(kinds[lang]) for _ in range(3)) for _ in range(60))
+    rows = [(k, text(lang), None if lang == "none" else lang) for k, lang in enumerate(["a", "b", "c", "none"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.rejected for r in langid.classify(df, langid.fit(df, F.col("doc_id") < 80)).collect()}
+    new = [(got[k], lang) for k, _, lang in rows if k >= 80]
+    assert sum(r for r, lang in new if lang is None) >= 10 and not any(r for r, lang in new if lang)
+
+
 def test_exact(spark):
     texts = ["a b", "a  b", "a\tb\n", "a b ", None, "", " ", "\n\n", "a\xa0b", "x" * 100_000, "x" * 100_000, "a b"]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(0, "a b", 1)], "doc_id long, text string, h int").repartition(4)
