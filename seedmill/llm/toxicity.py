@@ -5,7 +5,8 @@ is online, with a learning rate for each weight and L1 shrinkage, so most weight
 are broadcast (at most 2^20 pairs of 12 bytes) and scoring is one scan with array look-ups.
 
 Scale: scoring shuffles nothing. The fit takes a bounded sample of labelled rows: about ``SAMPLE_DOCS``, chosen by a hash of
-the id, joined to the documents as a broadcast of that bound, and at most ``SAMPLE_BYTES`` of their text, in one task.
+the id, joined to the documents as a broadcast of that bound, one text for each, in one task. Only where these exceed ``SAMPLE_BYTES``
+the longest are cut, all at the same length, so that every sampled document takes part.
 
 Defined results: null and empty texts get the bias's score; without labelled rows of both kinds the score is the share
 of toxic ones (0.0 if there are none); a doc_id labelled twice counts as toxic if any label says so; null labels teach nothing;
@@ -78,11 +79,9 @@ def _sigmoid(x):
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features, labels, size = [], [], 0
+    features, labels = [], []
     for batch in batches:
         for text, label in zip(text_bytes(batch), column(batch, "toxic").to_pylist(), strict=True):
-            if (size := size + len(text)) > SAMPLE_BYTES:
-                break
             features.append(np.unique(grams([text])[0]).astype(np.int32))
             labels.append(label)
     model = Ftrl(1 << BITS)
@@ -99,6 +98,16 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].astype("<f8").tobytes()])], ["bias", "at", "w"])
 
 
+def fair_share(sizes: list[int], budget: int) -> int:
+    """The largest bound on each size under which their sum fits the budget; no size is bounded if all fit."""
+    left = budget
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= n
+    return max(sizes, default=0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, and the places and values of the weights that are not zero; train is a condition on labels' rows."""
     known = labels.filter(train).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
@@ -108,8 +117,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
         return -35.0, np.empty(0, np.int64), np.empty(0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
     some = known.filter(draw < min(1.0, sample_docs / n) * 1_000_000)
-    sample = id_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").withColumn("draw", draw)
-    row = sample.repartition(1).sortWithinPartitions("draw", "doc_id", "text").mapInArrow(_train, "bias double, at binary, w binary").first()
+    sample = id_text(docs, id_col, text_col).join(F.broadcast(some), "doc_id").withColumns({"draw": draw, "pick": F.xxhash64("text", F.lit(17))})
+    # An id with many rows gives one of its texts; two numbers for each id go to the driver.
+    picked = sample.groupBy("doc_id").agg(F.min(F.struct("pick", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("p")).select("doc_id", "p.*").collect()
+    if not picked:
+        return -35.0, np.empty(0, np.int64), np.empty(0)
+    bound = fair_share([r.size for r in picked], SAMPLE_BYTES)
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.pick) for r in picked], "doc_id long, pick long")
+    # A character may be cut at the bound; words take bytes.
+    sample = sample.join(F.broadcast(chosen), ["doc_id", "pick"]).select("doc_id", "toxic", "draw", F.substring(F.col("text").cast("binary"), F.lit(1), F.lit(bound)).alias("text"))
+    sample = sample.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    row = sample.repartition(1).sortWithinPartitions("draw", "doc_id").mapInArrow(_train, "bias double, at binary, w binary").first()
     return row.bias, np.frombuffer(row.at, "<i4").astype(np.int64), np.frombuffer(row.w, "<f8")
 
 

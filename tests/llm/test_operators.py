@@ -368,6 +368,18 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_with_long_and_repeated_texts(spark, monkeypatch):
+    """Neither a long text nor an id with many rows ends the sample."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40_000)
+    assert [toxicity.fair_share(x, 100) for x in ([10, 20], [10, 80, 80], [500], [])] == [20, 45, 100, 0]
+    rows = [(k, ("bad awful words here " if k % 2 else "nice kind words there ") + f"x{k}") for k in range(200)]
+    rows += [(k, "calm " * 20_000) for k in range(200, 230)] + [(300, f"calm again {k} " * 20) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(k, k % 2 if k < 200 else 0) for k in [*range(230), 300]], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, known, F.lit(True))).collect()}
+    assert all(got[k] == k % 2 for k in range(200)) and got[300] == 0
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES[1][1]
     texts = ["Released under the MIT License.", notice, notice.replace("merge, publish", "merge, quickly publish"), "apache license MIT-license general public license mit license", "license mit", None, "", "The General\nPublic  License!"]
