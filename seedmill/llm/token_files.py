@@ -5,8 +5,8 @@
 
 A shard is a row of a Parquet table in the shared folder: its documents' ids and token counts, and a grammar.
 Re-Pair replaces frequent adjacent pairs by new symbols again and again. Here each pass replaces all pairs at or
-above a count that falls from pass to pass (the most frequent pairs first), which needs few passes over arrays
-instead of one priority-queue step for each pair. Rules are stored with their expansion lengths, so a binary
+above a count that falls from pass to pass (the most frequent pairs first), and goes on at the least count until
+no pair reaches it: passes over arrays instead of one priority-queue step for each pair. Rules are stored with their expansion lengths, so a binary
 search over summed lengths finds any position.
 
 Scale: documents are dealt by ranges of doc_id (one shuffle of the texts), every task streams its range and holds
@@ -19,6 +19,7 @@ their own, ordered by text; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as count_up
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,30 @@ from .common import Scratch, column, id_text
 from .tokens import crc, encoder
 
 SHARD_TOKENS = 1 << 20
-#: Passes of pair replacement and the least count of a pair in the last of them.
-PASSES, LEAST = 6, 6
+#: The least count of a pair that is replaced.
+LEAST = 6
 SHARD = "part int, shard int, start_in_part long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, base long, width int, rules binary, rule_lengths binary, symbols binary"
 
 
-def repair(ids: np.ndarray, base: int, passes: int = PASSES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grammar of ids (all below base): symbols, rules (pairs; rule k makes symbol base + k), expansion lengths."""
+def repair(ids: np.ndarray, base: int, passes: int | None = None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grammar of ids (all below base): symbols, rules (pairs; rule k makes symbol base + k), expansion lengths.
+
+    It ends when no pair reaches the least count, or after so many passes if given.
+    """
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = np.empty(0, np.int64)
     made = base
-    for k in range(passes):
-        if len(seq) < 2 * least:
+    for k in count_up() if passes is None else range(passes):
+        if len(seq) < 2:
             break
         floor = max(least, len(ids) >> (10 + 2 * k))
         key = (seq[:-1] << 32) | seq[1:]
         slot = ((key * np.int64(-7046029254386353131)) >> 44) & 0xFFFFF
         often = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= floor)
         if not len(often):
+            if floor == least:
+                break
             continue
         some = key[often]
         order = np.argsort(some)
@@ -59,7 +65,10 @@ def repair(ids: np.ndarray, base: int, passes: int = PASSES, least: int = LEAST)
         kind[order] = np.repeat(np.where(count >= floor, np.arange(len(first)), -1), count)
         at, kind = often[kind >= 0], kind[kind >= 0]
         if not len(at):
+            if floor == least:
+                break
             continue
+        places, kinds_of = at, kind
         # Of overlapping places every other one is replaced, counted from the start of each run of them.
         fresh = np.concatenate(([True], np.diff(at) != 1))
         odd = (np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) & 1
@@ -68,7 +77,11 @@ def repair(ids: np.ndarray, base: int, passes: int = PASSES, least: int = LEAST)
         good = used[kind] >= max(2, least // 2)
         at, kind = at[good], kind[good]
         if not len(at):
-            continue
+            # Pairs that overlap left too few of each: the most frequent one is replaced alone.
+            at = places[kinds_of == np.argmax(np.where(count >= floor, count, 0))]
+            fresh = np.concatenate(([True], np.diff(at) != 1))
+            at = at[((np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) & 1) == 0]
+            kind = np.full(len(at), np.argmax(np.where(count >= floor, count, 0)))
         kinds, name = np.unique(kind, return_inverse=True)
         pair = ranked[first[kinds]]
         left, right = pair >> 32, pair & 0xFFFFFFFF

@@ -80,6 +80,18 @@ def test_grammar():
     assert len(symbols) < 5000
 
 
+def test_grammar_ends_when_no_pair_is_frequent():
+    """A long repeat becomes a few symbols, and no pair is left at the least count (overlapping ones count once)."""
+    rng = np.random.default_rng(2)
+    for ids in (np.tile(rng.integers(0, 5000, 700), 400), rng.integers(0, 40, 20_000), np.zeros(5000, np.int64), rng.integers(0, 3, 3000)):
+        symbols, rules, lengths = token_files.repair(ids, 5000)
+        assert (token_files.expand(symbols, rules, 5000) == ids).all()
+        pairs = Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
+        assert max(pairs.values(), default=0) < token_files.LEAST
+    symbols, _, lengths = token_files.repair(np.tile(rng.integers(0, 5000, 700), 400), 5000)
+    assert lengths.max() > 64 and len(symbols) < 1000
+
+
 def test_packing(docs, texts):
     got = packing.pack_documents(docs, PATH, capacity=64).orderBy("doc_id", "piece").collect()
     want = [(k, p, a, len(x := ids[a : a + 64]), crc(x)) for k, t in enumerate(texts) for ids in [ids_of(t, 0)] for p, a in enumerate(range(0, len(ids), 64))]
