@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, id_text, map_rows, shuffle_partitions
-from .tokens import crc, encoder
+from .tokens import crc, encoder, with_ends
 
 CAPACITY = 2048
 #: Pieces that one partition packs, and bins that a partition gives back for each bin of its gap.
@@ -38,18 +38,15 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
     """Pieces of every document's ids (with the end id); only documents longer than the capacity are cut."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoder(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
-        out: list[list] = [[], [], [], [], []]
-        names, texts = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
-        for a in range(0, len(names), 500):
-            for doc, raw in zip(names[a : a + 500], enc.encode(texts[a : a + 500]), strict=True):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    piece = raw[at : at + 4 * capacity]
-                    for to, v in zip(out, (doc, k, at // 4, len(piece) // 4, crc(piece)), strict=True):
-                        to.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids, counts = with_ends(*encoder(tokenizer).encode(column(batch, "text")), end_id)
+        # Pieces, those of a document one after the other.
+        n = -(-counts // capacity)
+        of = np.repeat(np.arange(len(counts)), n)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        start, length = piece * capacity, np.minimum(counts[of] - piece * capacity, capacity)
+        raw, at = memoryview(ids.astype("<u4").tobytes()), 4 * ((np.cumsum(counts) - counts)[of] + start)
+        sums = [crc(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], [x.split()[0] for x in PIECES.split(", ")])
 
     return id_text(docs, id_col, text_col).mapInArrow(map_rows(run), PIECES)
 

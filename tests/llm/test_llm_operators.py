@@ -9,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seedmill.llm import decontamination, exact, langid, licenses, lines, packing, simhash, suffixes, token_files, toxicity
+from seedmill.llm import decontamination, exact, langid, licenses, lines, packing, simhash, suffixes, token_files, tokens, toxicity
 from seedmill.llm.common import Scratch
 from seedmill.llm.components import components
 from seedmill.llm.tokens import encoder
@@ -50,7 +51,23 @@ def crc(ids):
 
 def test_word_encoder(texts):
     tok = Tokenizer.from_file(PATH)
-    assert encoder(PATH).encode(texts) == [array("I", tok.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
+    more = ["word,.;", "it's 'quoted' Été-", "<|endoftext|>", "a<|endoftext|>.b", "MIXED <|EndOfText|>", "\u2003wide\u00a0space", "x" * 300, "e\u0301t\u00e9 \u0301", "ÀÖØÞß÷ ×,", ".,.;! a.b"]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts + more]
+    for memo in (tokens.MEMO, 5, 0):
+        own = tokens.WordEncoder(PATH)
+        own.memo.most = memo
+        for part, ids_of_part in ((texts + more, want), (more * 2, want[len(texts) :] * 2)):
+            ids, counts = own.encode(pa.array(part, pa.string()))
+            assert [ids[e - n : e].tolist() for e, n in zip(np.cumsum(counts), counts, strict=True)] == ids_of_part
+    ids, counts = own.encode(pa.array([], pa.string()))
+    assert not len(ids) and not len(counts)
+
+
+def test_word_encoder_in_steps(texts, monkeypatch):
+    whole = encoder(PATH).encode(pa.array(texts, pa.string()))
+    monkeypatch.setattr(tokens, "STEP", 50)
+    for a, b in zip(whole, encoder(PATH).encode(pa.array(texts, pa.string())), strict=True):
+        assert (a == b).all()
 
 
 def test_token_files(docs, texts):
@@ -65,7 +82,11 @@ def test_token_files(docs, texts):
 def test_token_files_in_small_shards(spark, docs, tmp_path):
     token_files.write_tokens(docs, str(tmp_path / "t"), PATH, shard_tokens=100)
     whole = {r.doc_id: r.ids_crc32 for r in token_files.token_table(docs, PATH).collect()}
-    assert {r.doc_id: r.ids_crc32 for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()} == whole
+    rows = {r.doc_id: r for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert {k: r.ids_crc32 for k, r in rows.items()} == whole
+    # Random access to some documents.
+    some = token_files.read_some(str(tmp_path / "t"), spark.createDataFrame([(k,) for k in (0, 3, 3, 64, 65, 70, 10_000, None)], "doc_id long")).collect()
+    assert {r.doc_id: r for r in some} == {k: rows[k] for k in (0, 3, 64, 65, 70)} and len(some) == 5
 
 
 def test_grammar():
@@ -74,7 +95,7 @@ def test_grammar():
         for kinds in (1, 2, 40):
             ids = rng.integers(0, kinds, n).astype(np.uint32)
             symbols, rules, lengths = token_files.repair(ids, 100, least=2)
-            assert (token_files.expand(symbols, rules, 100) == ids).all()
+            assert (token_files.expand(symbols, rules, 100) == ids).all() and (token_files.expand_all(symbols, rules, lengths, 100) == ids).all()
             if n > 10:
                 assert (token_files.decode_range(symbols, rules, lengths, 100, 3, 9) == ids[3:9]).all()
     assert len(symbols) < 5000
