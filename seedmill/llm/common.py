@@ -11,12 +11,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Folders of tables that were not deleted yet.
+_OPEN: dict[str, Scratch] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,26 +43,63 @@ class Scratch:
     """Tables written for one run of an operator, below the shared folder.
 
     Writing cuts lineage, so a lost executor costs a re-read and not a re-run. Parquet output goes through
-    Spark's commit protocol: a retried task never leaves half a file behind.
+    Spark's commit protocol: a retried task never leaves half a file behind. Operators delete what their result
+    does not read; ``released`` deletes the rest once a result has been written, and so does the driver's end.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/seedmill/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _OPEN[self.root] = self
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back."""
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            self._delete(self.path(name))
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which the result reads."""
+        self.drop(*(self.names - set(names)))
+
+    def close(self) -> None:
+        """Delete all of it."""
+        self._delete(self.root)
+        _OPEN.pop(self.root, None)
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the tables of all operators that ran inside, also if one fails. For steps whose result has been written."""
+    before = set(_OPEN)
+    try:
+        yield
+    finally:
+        for root in set(_OPEN) - before:
+            _OPEN[root].close()
+
+
+@atexit.register
+def _release_all() -> None:
+    """What results still read goes when the driver ends, if Spark is still there."""
+    for scratch in list(_OPEN.values()):
+        with suppress(Exception):
+            if SparkSession.getActiveSession() is not None:
+                scratch.close()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,36 +8,41 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
 2. An anchor's context is all that windows around it reach. Contexts that occur twice are removed whole. What is left
    are contexts that occur once but share their gram: the edges of repeats.
    Of these, contexts whose windows' common cores all occur once are dropped as well.
-3. The other contexts' bytes go to tasks by gram. A task joins them to one text and sorts its suffixes in two stages:
-   suffixes smaller than their successors are sorted directly, the others are induced by scans of the buckets.
+3. The other contexts' bytes go to tasks by gram. A task joins them to one text and sorts the suffixes that start a window in
+   two stages: suffixes smaller than their successors are sorted directly, the others are induced by scans of the buckets.
    Adjacent suffixes with a common prefix of LENGTH are repeats (of different places).
-4. A gram with more than ``HOT`` such contexts would not fit a task. Its windows are halved again and again by hash
-   counts: a part that occurs twice is removed, one whose common core occurs once is dropped, others are halved.
+4. A gram with more than ``HOT`` such contexts would not fit a task. Its windows are halved, which makes their common core a
+   longer key, until no more than HOT contexts share a key; they are sorted like the others. Halves that only one context
+   has are dropped, and of contexts equal in a whole half one stays; so what is still hot when nothing is left to halve is one window.
+
+Equal contexts are told by two hashes of 64 bits, of the gram and of the context. A hash that differs proves a difference, so all
+that hashes drop is dropped rightly.
 
 Scale: the large shuffles are of anchors (about 1/100 of the bytes in number), counted by partial aggregates, and of
 the texts, twice, for joins by doc_id that Spark splits where they are skewed.
 
-Defined results: null is empty; texts shorter than LENGTH lose nothing; repeated rows are copies of each other; rows
-without doc_id are told apart by their text's hash; empty tables give no rows; other columns are not read.
+Defined results: null is empty; texts shorter than LENGTH lose nothing; repeated rows are copies of each other; a row is known by
+its doc_id and its text's hash, so rows of one doc_id (or of none) with different texts are documents of their own; empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, id_text, map_rows, shuffle_partitions, text_bytes
 
 LENGTH = 400
 #: Contexts of one gram that go to one task; bytes that are sorted at once; bytes of a long text that are hashed at once.
-HOT, SORT_BYTES, PIECE = 1_000, 4 << 20, 1 << 20
+HOT, SORT_BYTES, PIECE = 300, 1 << 20, 1 << 20
 #: Never part of UTF-8.
 END = 0xFF
 
@@ -56,61 +61,50 @@ def is_smaller(text: np.ndarray) -> np.ndarray:
 
 
 def sort_directly(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """places in the order of their suffixes' first depth bytes: 24 bytes, then doubling from place to place."""
-    padded = np.concatenate((text, np.zeros(32, np.uint8))).tobytes()
-    word = [np.ndarray((len(text),), ">u8", padded, 8 * k, (1,))[places].astype(np.uint64) for k in range(3)]
-    order = np.lexsort(word[::-1])
-    new = np.zeros(len(places), bool)
-    for w in word:
-        new[1:] |= w[order[1:]] != w[order[:-1]]
-    rank = np.empty(len(places), np.int64)
-    rank[order] = np.cumsum(new)
-    step, n = 1, len(places)
-    while step < n and rank.max() < n - 1 and int((places[step:] - places[:-step]).min()) < depth:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        step *= 2
-    return places[order]
-
-
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text (uint8) in the order of their first depth bytes at least."""
+    """places in the order of their suffixes' first depth bytes."""
+    raw = text.tobytes()
+    keys = [raw[p : p + depth] for p in places.tolist()]
+    return places[sorted(range(len(keys)), key=keys.__getitem__)] if keys else places
+
+
+def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+    """The wanted suffixes (a mask) of text (uint8), in the order of their first depth bytes at least."""
     small = is_smaller(text)
-    direct = np.flatnonzero(small)
-    if not len(direct) or max(int(direct[0]), int(np.diff(direct, append=len(text)).max())) > 20:
-        # A long fall or run of one byte: the direct keys would not reach the next such suffix.
-        return sort_directly(text, np.arange(len(text)), depth)
-    ordered = sort_directly(text, direct, depth)
+    # To induce a suffix takes its successors, up to the first that is smaller than its own.
+    at = np.arange(len(text))
+    last_small = np.concatenate(([-1], np.maximum.accumulate(np.where(small, at, -1))[:-1]))
+    last_wanted = np.maximum.accumulate(np.where(wanted, at, -1))
+    need = (last_wanted >= 0) & (last_small < last_wanted)
+    ordered = sort_directly(text, np.flatnonzero(need & small), depth)
     cuts = np.searchsorted(text[ordered], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     induced[text[-1]].append(np.array([len(text) - 1]))
     out = []
 
     def send(found: np.ndarray) -> None:
-        order = np.argsort(text[found], kind="stable")
-        found = found[order]
+        found = found[np.argsort(text[found], kind="stable")]
         first = text[found]
         for part in np.split(found, np.flatnonzero(first[1:] != first[:-1]) + 1) if len(found) else ():
             induced[text[part[0]]].append(part)
 
+    def before(found: np.ndarray) -> np.ndarray:
+        found = found[found > 0] - 1
+        return found[need[found] & ~small[found]]
+
     for c in range(256):
         now = np.concatenate(induced[c]) if induced[c] else np.empty(0, np.int64)
         while len(now):
             out.append(now)
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            own = text[before] == c
-            send(before[~own])
-            now = before[own]
+            found = before(now)
+            own = text[found] == c
+            send(found[~own])
+            now = found[own]
         now = ordered[cuts[c] : cuts[c + 1]]
         if len(now):
             out.append(now)
-            before = now[now > 0] - 1
-            send(before[~small[before]])
-    return np.concatenate(out)
+            send(before(now))
+    order = np.concatenate(out)
+    return order[wanted[order]]
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -126,17 +120,22 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.nd
     return same
 
 
-def repeats(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
-    """(context, first, last) start of windows that occur at another place too; places: (document, offset) of contexts."""
+def repeats(contexts: list[bytes], places: list[tuple[int, int]], starts: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(context, first, last) start of windows that occur at another place too.
+
+    places: (document, offset) of contexts; starts: the first and last window of each that count.
+    """
     size = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(bytes([END]).join(contexts) + bytes([END]), np.uint8)
     begin = np.cumsum(size + 1) - size - 1
-    order = suffix_array(text, length)
-    of = np.repeat(np.arange(len(size)), size + 1)
-    inside = order + length <= (begin + size)[of[order]]
-    order = order[inside]
+    edge = np.zeros(len(text) + 1, np.int32)
+    first, last = np.array(starts, np.int64).T
+    np.add.at(edge, begin + first, 1)
+    np.add.at(edge, begin + last + 1, -1)
+    order = suffix_array(text, np.cumsum(edge[:-1]) > 0, length)
     if not len(order):
         return []
+    of = np.repeat(np.arange(len(size)), size + 1)
     linked = common(text, order[:-1], order[1:], length)
     heads = np.flatnonzero(np.concatenate(([True], ~linked)))
     offset = np.array([p[1] for p in places], np.int64)
@@ -288,14 +287,14 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sorted_repeats(length: int, sort_bytes: int):
-    """Streams contexts, those of a gram together; gives the spans of repeated windows."""
+    """Streams contexts, those of a key together; gives the spans of repeated windows."""
 
     def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
         name: dict[tuple, int] = {}
-        places = [(name.setdefault((doc, nk), len(name)), lo) for _, doc, nk, lo, _ in held]
-        found = [(held[k][1], held[k][2], held[k][3] + a, held[k][3] + b + length) for k, a, b in repeats([h[4] for h in held], places, length)]
+        places = [(name.setdefault(h[1:3], len(name)), h[3]) for h in held]
+        found = [(held[k][1], held[k][2], held[k][3] + a, held[k][3] + b + length) for k, a, b in repeats([h[4] for h in held], places, [h[5:] for h in held], length)]
         if found:
             yield _spans(found)
 
@@ -303,7 +302,7 @@ def _sorted_repeats(length: int, sort_bytes: int):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("g", "doc_id", "nk", "lo", "body")), strict=True):
+            for row in zip(*(column(batch, c).to_pylist() for c in ("key", "doc_id", "nk", "lo", "body", "head", "tail")), strict=True):
                 if size >= sort_bytes and row[0] != held[-1][0]:
                     yield from close(held)
                     held, size = [], 0
@@ -334,34 +333,39 @@ def _halved(length: int):
     return map_rows(run)
 
 
-def _hot_spans(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """Spans of repeated windows of grams with many contexts, by halving.
+SORT = ("key", "doc_id", "nk", "lo", "body", "head", "tail")
+
+
+def _starts(df: DataFrame, key: Column) -> DataFrame:
+    """What the sorting task reads: contexts under a key, with the first and last start of their windows a..b before the anchor."""
+    place = F.col("pos") - F.col("lo")
+    return df.withColumns({"key": key, "head": (place - F.least("b", "high")).cast("int"), "tail": (place - F.greatest("a", "low")).cast("int")}).select(*SORT)
+
+
+def _split_hot(now: DataFrame, length: int, hot: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of grams with many of them, by halving: (what to sort, under longer keys; spans of windows that are equal as a key).
 
     One context of each repeated part stays as a witness for those that share only some of its windows.
     """
-    low = F.greatest(F.lit(0), F.col("pos") + length - F.col("lo") - F.octet_length("body")).cast("int")
-    high = F.least(F.lit(length - length // 2), F.col("pos") - F.col("lo")).cast("int")
-    now = contexts.drop("m").withColumns({"low": low, "high": high, "a": F.lit(0), "b": F.lit(length - length // 2)}).filter("low <= high")
     columns = now.columns
-    found = []
+    to_sort, found = [], []
     for k in range(length.bit_length() + 1):
         hashed = scratch.table(now.mapInArrow(_halved(length), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema) + ", core binary, whole binary"), f"half{k}")
-        whole = hashed.groupBy("core", "whole").agg(F.sum("n").alias("n_whole"), F.min(F.struct("doc_id", "nk", "pos")).alias("witness"))
-        core = whole.groupBy("core").agg(F.sum("n_whole").alias("n_core"), F.min("n_whole").alias("least"))
-        judged = scratch.table(hashed.join(whole, ["core", "whole"]).join(core.filter("n_core > 1"), "core").drop("core", "whole"), f"judged{k}")
-        first = F.col("pos") - F.least("b", "high")
-        last = F.col("pos") - F.greatest("a", "low") + length
-        found.append(judged.filter("n_whole > 1").select("doc_id", "nk", first.cast("int").alias("first"), last.cast("int").alias("last")))
-        more = judged.filter((F.col("least") == 1) & (F.col("a") < F.col("b")) & (F.col("witness") == F.struct("doc_id", "nk", "pos"))).withColumn("n", F.col("n_whole"))
+        whole = hashed.groupBy("core", "whole").agg(F.sum("n").alias("n_whole"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "nk", "pos")).alias("witness"))
+        core = whole.groupBy("core").agg(F.sum("n_whole").alias("n_core"), F.sum("rows").alias("rows"), F.min("n_whole").alias("least"))
+        judged = scratch.table(hashed.join(whole.drop("rows"), ["core", "whole"]).join(core.filter("n_core > 1"), "core").drop("whole"), f"judged{k}")
+        scratch.drop(f"half{k}")
+        to_sort.append(_starts(judged.filter(F.col("rows") <= hot), F.xxhash64("core")))
+        large = judged.filter(F.col("rows") > hot)
+        place = F.col("pos") - F.least("b", "high"), F.col("pos") - F.greatest("a", "low") + length
+        found.append(large.filter("n_whole > 1").select("doc_id", "nk", place[0].cast("int").alias("first"), place[1].cast("int").alias("last")))
+        more = large.filter((F.col("least") == 1) & (F.col("a") < F.col("b")) & (F.col("witness") == F.struct("doc_id", "nk", "pos"))).withColumn("n", F.col("n_whole"))
         if not more.limit(1).count():
             break
         middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b"))))
         now = more.withColumn("half", halves).withColumns({"a": F.col("half.a"), "b": F.col("half.b")}).filter("a <= high and b >= low").select(*columns)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return to_sort, found
 
 
 def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes: int = SORT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,12 +375,14 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
         raise ValueError("length must be 16 bytes or more")
     scratch = Scratch(spark, "suffixes")
     reach = length - length // 2
-    rows = id_text(docs, id_col, text_col).withColumn("nk", F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    # A row's key: its doc_id, and its text's hash; the hash's last bit tells rows without doc_id.
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long"))
+    rows = id_text(docs, id_col, text_col).withColumn("nk", digest).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     all_anchors = scratch.table(rows.mapInArrow(_anchor_rows(length), ANCHOR), "anchors")
     # Written, so that joins deal both sides out by themselves and Spark can split a hot gram.
     shared = scratch.table(all_anchors.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "shared")
     met = scratch.table(all_anchors.join(shared, "g"), "met")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "shared")
     contexts = scratch.table(met.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "nk", "pos")).alias("at")), "contexts")
     twice = met.join(contexts.filter("n > 1").select("g", "c"), ["g", "c"]).select("doc_id", "nk", F.greatest(F.lit(0), F.col("pos") - reach).cast("int").alias("first"), (F.col("pos") + length).cast("int").alias("last"))
     # Grams with several contexts, one of them met only once: the edges of repeats.
@@ -387,13 +393,20 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
     held = cut.select("g", "doc_id", "nk", "pos", "n", F.explode("cores").alias("core"))
     again = scratch.table(held.groupBy("core").agg(F.sum("n").alias("k")).filter("k > 1").select("core"), "again")
     live = held.join(again.hint("merge"), "core", "left_semi").select("g", "doc_id", "nk", "pos").distinct()
-    bodies = scratch.table(cut.drop("cores").join(live.hint("merge"), ["g", "doc_id", "nk", "pos"], "left_semi"), "bodies")
-    scratch.drop("cut")
-    n = shuffle_partitions(spark)
-    spans = twice.unionByName(scratch.table(bodies.filter(F.col("m") <= hot).select("g", "doc_id", "nk", "lo", "body").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_sorted_repeats(length, sort_bytes), SPAN), "sorted"))
+    low = F.greatest(F.lit(0), F.col("pos") + length - F.col("lo") - F.octet_length("body")).cast("int")
+    high = F.least(F.lit(reach), F.col("pos") - F.col("lo")).cast("int")
+    ranges = {"low": low, "high": high, "a": F.lit(0), "b": F.lit(reach)}
+    bodies = scratch.table(cut.drop("cores").join(live.hint("merge"), ["g", "doc_id", "nk", "pos"], "left_semi").withColumns(ranges).filter("low <= high"), "bodies")
+    scratch.drop("cut", "again")
+    to_sort, spans = [_starts(bodies.filter(F.col("m") <= hot), F.col("g"))], [twice]
     if bodies.filter(F.col("m") > hot).limit(1).count():
-        spans = spans.unionByName(_hot_spans(bodies.filter(F.col("m") > hot), length, scratch))
-    per_doc = spans.groupBy("doc_id", "nk").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+        more, equal = _split_hot(bodies.filter(F.col("m") > hot).drop("m"), length, hot, scratch)
+        to_sort, spans = to_sort + more, spans + equal
+    dealt = reduce(DataFrame.unionByName, to_sort).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    # A table of its own, so that Spark can split the join of a hot context in the stage that gathers the spans.
+    spans.append(scratch.table(dealt.mapInArrow(_sorted_repeats(length, sort_bytes), SPAN), "sorted"))
+    per_doc = scratch.table(reduce(DataFrame.unionByName, spans).groupBy("doc_id", "nk").agg(F.collect_set(F.struct("first", "last")).alias("found")), "spans")
+    scratch.keep("spans")
     schema = "doc_id long, n_bytes long, spans array<struct<first:bigint,last:bigint>>, kept binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -410,7 +423,7 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
                 parts.append(raw[at : s["first"]])
                 at = s["last"]
             parts.append(raw[at:])
-            for to, v in zip((ids, sizes, merged, kept), (None if nk else doc, len(raw), out, b"".join(parts)), strict=True):
+            for to, v in zip((ids, sizes, merged, kept), (None if nk & 1 else doc, len(raw), out, b"".join(parts)), strict=True):
                 to.append(v)
         span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])

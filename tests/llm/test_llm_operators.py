@@ -150,7 +150,7 @@ def repeated(texts, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+@pytest.mark.parametrize("hot", [1000, 3, 1])
 def test_suffix_removals(spark, hot):
     rng = random.Random(hot)
     base = ["".join(rng.choice("abcdefgh é") for _ in range(150)) for _ in range(5)]
@@ -171,11 +171,23 @@ def test_suffix_removals(spark, hot):
         assert len(r.spans) == int((np.diff(np.concatenate(([0], mark.astype(int)))) == 1).sum())
 
 
+def test_suffix_removals_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts are documents of their own; a repeated row is a copy."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    s, *r = text(60), *(text(150) for _ in range(5))
+    rows = [(1, s + r[0]), (1, r[1]), (2, r[2] + s), (None, r[3] + s), (None, r[4]), (7, r[1][:30]), (8, "x" + r[0]), (8, "x" + r[0])]
+    got = {(x.doc_id, x.n_bytes, bytes(x.kept)) for x in suffixes.removals(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()}
+    marks = repeated([t.encode() for _, t in rows], 40)
+    assert got == {(k, len(t), np.frombuffer(t.encode(), np.uint8)[~m].tobytes()) for (k, t), m in zip(rows, marks, strict=True)}
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(150):
         x = bytes(rng.choice(b"abc" if rng.random() < 0.5 else b"ab=cdefgh") for _ in range(rng.randint(0, 200))) + b"\xff"
-        assert suffixes.suffix_array(np.frombuffer(x, np.uint8), 500).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+        wanted = np.array([rng.random() < rng.choice([0.1, 0.5, 1.0]) for _ in x])
+        assert suffixes.suffix_array(np.frombuffer(x, np.uint8), wanted, 500).tolist() == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: x[i:])
 
 
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
