@@ -8,11 +8,12 @@ partial aggregate and joined with a table of that proven size.
 
 What comes back is, for each document that loses lines, a zlib-compressed bitmap (bit set: keep), not text.
 
-Scale: only (hash, doc_id, position) of lines is shuffled, 28 bytes each; no hash must fit a task. Applying the bitmaps
+Scale: only (hash, doc_id, row's key, position) of lines is shuffled, 36 bytes each; no hash must fit a task. Applying the bitmaps
 joins them to the documents by doc_id.
 
-Defined results: null or empty text is one empty line; rows without doc_id keep all lines and count for nothing; rows
-that repeat a doc_id are that document again; empty tables give no rows; other columns are not read.
+Defined results: null or empty text is one empty line; rows without doc_id keep all lines and count for nothing; rows of
+one doc_id count as one document, but each loses its own lines (its key is the text's hash); a repeated row is
+treated like the first; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,22 +36,28 @@ SPACE = b" \t\n\r\x0b\x0c"
 DROP, EDGE, COUNT = 0, 1, 2
 
 
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with nk, which tells rows of one doc_id apart: the text's hash."""
+    return rows.withColumn("nk", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def line_keys(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """hi, lo (a key's 128-bit hash), doc_id, pos of every line with a long enough key."""
+    """hi, lo (a key's 128-bit hash), doc_id, nk (the row's key), pos of every line with a long enough key."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, at, digests = [], [], []
-        for doc, raw in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
+        of, at, digests = [], [], []
+        for row, raw in enumerate(text_bytes(batch)):
             for k, line in enumerate(raw.split(b"\n")):
                 key = line.strip(SPACE)
                 if len(key) >= least_chars and (key.isascii() or len(key.decode()) >= least_chars):
-                    ids.append(doc)
+                    of.append(row)
                     at.append(k)
                     digests.append(xxhash.xxh3_128_digest(key.translate(LOWER)))
         hashes = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], ["hi", "lo", "doc_id", "pos"])
+        rows = pa.array(of, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), column(batch, "doc_id").take(rows), column(batch, "nk").take(rows), pa.array(at, pa.int32())], ["hi", "lo", "doc_id", "nk", "pos"])
 
-    return docs.filter("doc_id is not null").mapInArrow(map_rows(run), "hi long, lo long, doc_id long, pos int")
+    return keyed_rows(docs.filter("doc_id is not null")).mapInArrow(map_rows(run), "hi long, lo long, doc_id long, nk long, pos int")
 
 
 class _Run:
@@ -59,35 +66,35 @@ class _Run:
     def __init__(self, key: tuple[int, int], first: bool):
         self.key, self.first = key, first
         self.docs, self.now, self.top = 0, None, None
-        self.held: list[tuple[int, int, int]] = []
+        self.held: list[tuple[int, int, int, int]] = []
 
-    def add(self, doc: int, pos: int, least_docs: int, out: list[tuple]) -> None:
+    def add(self, doc: int, nk: int, pos: int, least_docs: int, out: list[tuple]) -> None:
         opens = self.now != doc
         if opens:
             self.now = doc
             self.docs += 1
             self.top = doc if self.top is None else self.top
         if self.first:
-            out.append((EDGE, *self.key, doc, pos, int(opens)))
+            out.append((EDGE, *self.key, doc, nk, pos, int(opens)))
             return
         if self.docs < least_docs:
-            self.held.append((doc, pos, int(opens)))
+            self.held.append((doc, nk, pos, int(opens)))
             return
         if self.held:
-            out += [(DROP, *self.key, d, p, 0) for d, p, _ in self.held if d != self.top]
+            out += [(DROP, *self.key, d, k, p, 0) for d, k, p, _ in self.held if d != self.top]
             self.held = []
         if doc != self.top:
-            out.append((DROP, *self.key, doc, pos, 0))
+            out.append((DROP, *self.key, doc, nk, pos, 0))
 
     def end(self, last: bool, out: list[tuple]) -> None:
         if not last or self.first:
             return
         out += [(EDGE, *self.key, *row) for row in self.held]
         if not self.held:
-            out.append((COUNT, *self.key, self.top, 0, self.docs))
+            out.append((COUNT, *self.key, self.top, 0, 0, self.docs))
 
 
-STREAM = "kind int, hi long, lo long, doc_id long, pos int, n int"
+STREAM = "kind int, hi long, lo long, doc_id long, nk long, pos int, n int"
 
 
 def stream(least_docs: int = LEAST_DOCS):
@@ -96,7 +103,7 @@ def stream(least_docs: int = LEAST_DOCS):
         any_run = False
         out: list[tuple] = []
         for batch in batches:
-            hi, lo, doc, pos = (column(batch, c).to_numpy() for c in ("hi", "lo", "doc_id", "pos"))
+            hi, lo, doc, nk, pos = (column(batch, c).to_numpy() for c in ("hi", "lo", "doc_id", "nk", "pos"))
             if not len(hi):
                 continue
             same = (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])
@@ -109,7 +116,7 @@ def stream(least_docs: int = LEAST_DOCS):
                         now.end(False, out)
                     now = _Run(key, not any_run)
                     any_run = True
-                now.add(int(doc[k]), int(pos[k]), least_docs, out)
+                now.add(int(doc[k]), int(nk[k]), int(pos[k]), least_docs, out)
             if len(out) > 20_000:
                 yield _rows(out)
                 out = []
@@ -122,22 +129,23 @@ def stream(least_docs: int = LEAST_DOCS):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in STREAM.split(", ")])
 
 
 def bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per document that loses lines: doc_id, n_dropped, keep (zlib-compressed bits; lines beyond its end stay)."""
+    """Per row that loses lines: doc_id, nk, n_dropped, keep (zlib-compressed bits; lines beyond its end stay)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     keyed = scratch.table(line_keys(id_text(docs, id_col, text_col), least_chars), "keys")
-    order = (F.col("hi"), F.col("lo"), F.col("doc_id").desc(), F.col("pos"))
+    order = (F.col("hi"), F.col("lo"), F.col("doc_id").desc(), F.col("nk"), F.col("pos"))
     ranged = keyed.repartitionByRange(shuffle_partitions(spark), *order[:3]).sortWithinPartitions(*order)
     found = scratch.table(ranged.mapInArrow(stream(least_docs), STREAM), "found")
+    scratch.drop("keys")
     edges = found.filter(F.col("kind") != DROP).groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("top"))
     # At most two hashes for each range.
     late = found.filter(F.col("kind") == EDGE).join(F.broadcast(edges.filter(F.col("docs") >= least_docs)), ["hi", "lo"]).filter("doc_id <> top")
-    drops = found.filter(F.col("kind") == DROP).select("doc_id", "pos").unionByName(late.select("doc_id", "pos"))
+    drops = found.filter(F.col("kind") == DROP).select("doc_id", "nk", "pos").unionByName(late.select("doc_id", "nk", "pos"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, count = [], []
@@ -146,9 +154,9 @@ def bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = L
             bits[at] = False
             keep.append(zlib.compress(len(bits).to_bytes(8, "little") + np.packbits(bits).tobytes()))
             count.append(int(len(bits) - bits.sum()))
-        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(count, pa.int64()), pa.array(keep, pa.binary())], ["doc_id", "n_dropped", "keep"])
+        return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "nk"), pa.array(count, pa.int64()), pa.array(keep, pa.binary())], ["doc_id", "nk", "n_dropped", "keep"])
 
-    return drops.groupBy("doc_id").agg(F.collect_list("pos").alias("at")).mapInArrow(map_rows(run), "doc_id long, n_dropped long, keep binary")
+    return drops.groupBy("doc_id", "nk").agg(F.collect_set("pos").alias("at")).mapInArrow(map_rows(run), "doc_id long, nk long, n_dropped long, keep binary")
 
 
 def unpack(keep: bytes) -> np.ndarray:
@@ -175,4 +183,4 @@ def apply(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
     # The bitmaps grow with the documents: never a broadcast, however few they are.
-    return id_text(docs, id_col, text_col).join(kept.select("doc_id", "keep").hint("merge"), "doc_id", "left").mapInArrow(map_rows(run), "doc_id long, n_lines long, n_dropped long, kept_text binary, kept_sha256 string")
+    return keyed_rows(id_text(docs, id_col, text_col)).join(kept.select("doc_id", "nk", "keep").hint("merge"), ["doc_id", "nk"], "left").mapInArrow(map_rows(run), "doc_id long, n_lines long, n_dropped long, kept_text binary, kept_sha256 string")
