@@ -6,10 +6,11 @@
 3. Scan tasks send each distinct text once with its bucket, and later only counts; so a group of copies that fills a
    third of the table is a few rows for each task. Owner tasks hold ranges of keys in order, chain texts that
    share a hash, and tell them apart by comparing bytes. Their rows are the index, on shared files.
-4. Every row looks up its group by key.
+4. Every row looks up its group: the directory gives its key's bucket, and the key is found in that bucket's part of the index.
 
 Scale: texts are shuffled once and only one per task and group; look-ups are a join of narrow rows that Spark splits
-where a key is hot. The directory has at most 2^20 entries of 4 bytes and is the only thing that is broadcast.
+where a key is hot. The directory has at most 2^20 entries of 4 bytes and is the only thing that is broadcast; the histogram
+that it is made of comes to the driver as at most 2^20 rows of 16 bytes, however large the input is.
 
 Defined results: null counts as empty text; of a group the least non-null doc_id stays (null if all are null); rows that
 repeat the kept doc_id in its group are that document again and are kept too; empty tables give no rows; other
@@ -101,11 +102,27 @@ def _least(a: int | None, b: int | None) -> int | None:
 
 
 ROW = "bucket int, h long, sha binary, body binary, n long, least long"
-INDEX = "h long, chain int, sha binary, keep_id long, group_size long"
+INDEX = "bucket int, h long, chain int, sha binary, keep_id long, group_size long"
+
+
+def bucket_of(h: np.ndarray, buckets: np.ndarray, bits: int) -> np.ndarray:
+    """The directory's entry for each hash."""
+    return buckets[(h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)]
+
+
+def with_bucket(keyed: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
+    """keyed (a column h, narrow rows) with the bucket that the directory names."""
+    held = keyed.sparkSession.sparkContext.broadcast(buckets)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = bucket_of(column(batch, "h").to_numpy(), held.value, bits)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "bucket"])
+
+    return keyed.mapInArrow(map_rows(run), keyed.withColumn("bucket", F.lit(0)).schema)
 
 
 def index(docs: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
-    """One row for each distinct text: h, chain (its number among texts of that hash), sha, keep_id, group_size."""
+    """One row for each distinct text: bucket, h, chain (its number among texts of that hash), sha, keep_id, group_size."""
     held = docs.sparkSession.sparkContext.broadcast(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +131,7 @@ def index(docs: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
             h, sha, body, n, least = zip(*found, strict=True)
-            prefix = np.array(h, np.int64).astype(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(where[prefix.astype(np.int64)]), pa.array(h, pa.int64()), pa.array(sha, pa.binary()), pa.array(body, pa.binary()), pa.array(n, pa.int64()), pa.array(least, pa.int64())], [x.split()[0] for x in ROW.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(bucket_of(np.array(h, np.int64), where, bits)), pa.array(h, pa.int64()), pa.array(sha, pa.binary()), pa.array(body, pa.binary()), pa.array(n, pa.int64()), pa.array(least, pa.int64())], [x.split()[0] for x in ROW.split(", ")])
 
         for batch in batches:
             out = []
@@ -141,22 +157,22 @@ def index(docs: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
             yield rows(left)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chain, counts, out = None, [], {}, []
+        now, home, chain, counts, out = None, 0, [], {}, []
 
         def close() -> None:
             for k, (_, sha, n, least) in enumerate(chain):
                 more, other = counts.get(sha, (0, None))
-                out.append((now, k, sha, _least(least, other), n + more))
+                out.append((home, now, k, sha, _least(least, other), n + more))
 
         def rows() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 
         for batch in batches:
-            for h, sha, body, n, least in zip(*(column(batch, c).to_pylist() for c in ("h", "sha", "body", "n", "least")), strict=True):
+            for bucket, h, sha, body, n, least in zip(*(column(batch, c).to_pylist() for c in ("bucket", "h", "sha", "body", "n", "least")), strict=True):
                 if h != now:
                     close()
-                    now, chain, counts = h, [], {}
+                    now, home, chain, counts = h, bucket, [], {}
                 if body is None:
                     a, b = counts.get(sha, (0, None))
                     counts[sha] = (a + n, _least(b, least))
@@ -183,5 +199,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     scratch = Scratch(docs.sparkSession, "exact")
     rows = id_text(docs, id_col, text_col)
     keyed = scratch.table(keys(rows), "keys")
-    found = scratch.table(index(rows, *directory(keyed, capacity)), "index")
-    return keyed.join(found.select("h", "sha", "keep_id", "group_size"), ["h", "sha"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
+    buckets, bits = directory(keyed, capacity)
+    found = scratch.table(index(rows, buckets, bits), "index")
+    # A written table on either side: Spark can split the join where a group is hot.
+    sought = scratch.table(with_bucket(keyed.drop("n_bytes"), buckets, bits), "sought")
+    scratch.drop("keys")
+    return sought.join(found.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")

@@ -138,6 +138,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows: int = ROWS, scratch:
         if last:
             break
         todo = packed.filter("sequence_id < 0").select(*schema.names)
+    scratch.drop("pieces")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -214,6 +214,7 @@ def groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id
     distinct = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, scratch, distance), scratch)
     labelled = scratch.table(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
+    scratch.keep("fingerprints", "labelled")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
