@@ -8,7 +8,8 @@ Only stretches in which every pair of neighbours is a pair of some benchmark win
 occurrence of a window can lie outside of them, so nothing is lost and the indexes stay small.
 
 Scale: one scan of the documents and no shuffle. The benchmark is the stated query set; it is measured first and
-taken in blocks of at most ``BLOCK_BYTES``, each broadcast by itself and searched in turn.
+taken in blocks of at most ``BLOCK_BYTES`` (arrays of some 20 times that on the driver and in each worker), each
+broadcast by itself and searched in turn within the same scan.
 
 Defined results: null or empty texts have no words and no hits; repeated rows are judged one by one; an item without
 words (or null) has no window; items under one id count once, a null item_id is not listed; empty tables are fine; other
@@ -26,7 +27,7 @@ from .common import column, id_text, map_rows, text_bytes
 from .words import Pairs, flat_ids, runs, word_offsets, words
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 SPAN = pa.struct([("first", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -106,26 +107,44 @@ class FMIndex:
 
 
 class Windows:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items, as arrays: patterns by their length, and the items of each."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words((text or "").encode())]
-            for a in range(max(1, len(ids) - window + 1) if ids else 0):
-                holders.setdefault(tuple(ids[a : a + window]), set()).update(() if item_id is None else (str(item_id),))
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in holders:
-            by_length.setdefault(len(w), []).append(w)
-        self.patterns = {n: np.array(ws, np.int64) for n, ws in by_length.items()}
-        self.items = {n: [sorted(holders[w]) for w in ws] for n, ws in by_length.items()}
-        self.least = min(by_length, default=0)
-        self.pairs = Pairs(np.concatenate([Pairs.key(p[:, :-1], p[:, 1:]).ravel() for p in self.patterns.values()] or [np.empty(0, np.int64)]))
+        ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words((text or "").encode())], np.int32) for _, text in items]
+        self.names = sorted({str(item) for item, _ in items if item is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        owner = np.array([-1 if item is None else number[str(item)] for item, _ in items], np.int64)
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
+        of = np.repeat(np.arange(len(size)), size)
+        inner = of[1:] == of[:-1]
+        self.pairs = Pairs(Pairs.key(flat[:-1][inner], flat[1:][inner]))
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # words from here to the item's end
+        self.patterns: dict[int, np.ndarray] = {}
+        #: Of each length, where each pattern's items begin, and the items as numbers of names.
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({*np.minimum(size, window).tolist()} - {0}):
+            first = np.concatenate(([True], ~inner)) if len(flat) else np.empty(0, bool)
+            start = np.flatnonzero(left >= n) if n == window else np.flatnonzero(first & (left == n))
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, n)[start])
+            coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * n), len(rows), [None, pa.py_buffer(rows)]).dictionary_encode()
+            found = np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: n * len(coded.dictionary)].reshape(-1, n).astype(np.int64)
+            holder, known = owner[of[start]], len(self.names) + 1
+            pair = np.unique(coded.indices.to_numpy().astype(np.int64) * known + holder + 1)
+            pair = pair[pair % known > 0]
+            self.patterns[n] = found
+            self.items[n] = np.searchsorted(pair // known, np.arange(len(found) + 1)), pair % known - 1
+        self.least = min(self.patterns, default=0)
         self.single = np.zeros(len(self.vocab) + 1, bool)
         if 1 in self.patterns:
             self.single[self.patterns[1][:, 0]] = True
 
+    def holders(self, n: int, k: int) -> list[str]:
+        """The items that hold pattern k of length n."""
+        begin, item = self.items[n]
+        return [self.names[x] for x in item[begin[k] : begin[k + 1]].tolist()]
+
     def hits(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Start, length and items of every occurrence in a shard's words."""
         none = np.empty(0, np.int64), np.empty(0, np.int64), []
@@ -152,7 +171,7 @@ class Windows:
             count = high - low
             rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             where = origin[index.locate(rows)]
-            found.append((where, np.full(len(where), n), [self.items[n][k] for k in np.repeat(which, count).tolist()]))
+            found.append((where, np.full(len(where), n), [self.holders(n, k) for k in np.repeat(which, count).tolist()]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), [x for f in found for x in f[2]]
 
 
