@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import column, id_text, map_rows, text_bytes
+from .notices import FULL_TEXTS
 from .words import Pairs, flat_ids, runs, words
 
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Public licence notices and the labels they give.
+#: Public licence notices and the labels they give; whole licence texts follow them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -41,6 +42,7 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *FULL_TEXTS,
 )
 
 #: Words of a match that counts for a chain, words between two of them, and the share of a template a span must cover.
