@@ -238,6 +238,23 @@ def test_decontamination(spark):
     assert decontamination.clean(docs, bench).columns == docs.columns
 
 
+def test_windows_stay_small():
+    """A block's arrays stay within a small multiple of its bytes, on the driver and when sent."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(3)
+    vocab = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choices(vocab, k=100))) for k in range(1500)]
+    n = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    held = decontamination.Windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * n and len(pickle.dumps(held)) < 40 * n
+    assert held.holders(10, 0) == ["0"] and len(held.patterns[10]) == 1500 * 91
+
+
 def plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     s = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
@@ -354,7 +371,7 @@ def test_exact_chains_collisions(spark, monkeypatch):
     exact.index(fake, np.zeros(1, np.int32), 0)
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, 4]), pa.array(["a", "b", "a", "c", "b"])], ["doc_id", "text"])
     out = [r for b in rows[1](rows[0](iter([batch]))) for r in b.to_pylist()]
-    assert [(r["chain"], r["keep_id"], r["group_size"]) for r in out] == [(0, 0, 2), (1, 1, 2), (2, 3, 1)] and df.count() == 5
+    assert {r["bucket"] for r in out} == {0} and [(r["chain"], r["keep_id"], r["group_size"]) for r in out] == [(0, 0, 2), (1, 1, 2), (2, 3, 1)] and df.count() == 5
 
 
 def test_directory_splits(spark):
@@ -389,6 +406,16 @@ def test_lines(spark, parts):
     assert got == {k: (n, t) for k, n, t in plain_lines(texts, 10, 5)}
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows of one doc_id count as one document and lose their own lines only; a repeated row loses the same."""
+    often = "a line that many documents hold"
+    rows = [(0, "unique first line\nsecond"), (0, f"{often}\nunique"), (0, f"{often}\nunique"), (1, f"x\n{often}"), (1, often), (2, often), (3, often), (9, often), (9, f"y\n{often}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_lines, bytes(r.kept_text).decode()) for r in lines.apply(df, lines.bitmaps(df, 10, 5)).collect())
+    assert got == sorted((k, len(t.split("\n")), t if k == 9 else "\n".join(x for x in t.split("\n") if x != often)) for k, t in rows)
+    assert {r.doc_id for r in lines.bitmaps(df, 10, 6).collect()} == set()
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(300)]
