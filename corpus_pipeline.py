@@ -3,6 +3,10 @@
 Each stage works on all that the one before it kept, and is written as Parquet and read again. All but the last return the
 columns of documents. The dedup stages decide by row, whatever its doc_id: of copies the row with the least doc_id stays (rows
 without one come last), of several the one first numbered. Copies are never broadcast: they grow with the documents.
+
+Defined results: null texts and texts without a letter are rejected by the first stage, so no later one meets them there; each
+stage takes them by its operator's rules all the same. Repeated rows are copies of each other; an empty table gives no rows;
+extra columns, whatever their names, pass all stages but the last, which returns the pieces' own columns.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedmill.llm import decontamination, exact, langid, packing, simhash
-from seedmill.llm.common import Scratch
+from seedmill.llm.common import Scratch, released
 from seedmill.llm.queries import TOKENIZER, remainder
 
 
@@ -77,5 +81,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        # What a stage's operator wrote goes once the stage's rows are written, and those once the next stage's are.
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return docs
