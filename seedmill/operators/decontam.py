@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
 from .filters import GENERIC_SOLUTIONS
 
-#: Bytes of benchmark strings that are broadcast at once.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark strings that are broadcast at once, and characters of each that the automaton holds (the rest is compared).
+BLOCK_BYTES, HEAD = 8 << 20, 48
+
+# Languages, source sets and variations of the multi-language benchmark, and the pair of the last two that doesn't exist.
+LANGUAGES = ("cpp", "cs", "d", "go", "java", "jl", "js", "lua", "php", "pl", "py", "r", "rb", "rkt", "rs", "scala", "sh", "swift", "ts")
+SOURCE_SETS, VARIATIONS, ABSENT = ("humaneval", "mbpp"), ("", "-remove"), ("mbpp", "-remove")
 
 
 def named(name: str, rows: DataFrame, column: str, stripped: bool = True) -> DataFrame:
@@ -30,6 +38,23 @@ def solutions(rows: DataFrame, column: str = "solutions") -> DataFrame:
     return rows.filter(F.col(column) != "").select(F.explode(F.from_json(column, "array<string>")).alias("text"))
 
 
+def multi_language(read: Callable[[str], DataFrame], column: str = "prompt") -> DataFrame:
+    """The union of the multi-language benchmark's sets: read takes ``source-language`` and a variation's suffix."""
+    names = [f"{source}-{lang}{v}" for lang in LANGUAGES for source in SOURCE_SETS for v in VARIATIONS if (source, v) != ABSENT]
+    return reduce(DataFrame.unionByName, [read(name).select(F.lit(name).alias("name"), T.strip(F.col(column)).alias("text")) for name in names])
+
+
+def standard_sets(mbpp: DataFrame, humaneval: DataFrame) -> DataFrame:
+    """The four named sets: prompts and code of the first as they are, docstrings and solutions of the second stripped."""
+    docs = humaneval.select(T.benchmark_docstring(F.col("prompt")).alias("prompt"))
+    return registry([
+        named("mbpp_docstrings", mbpp, "prompt", False),
+        named("mbpp_solutions", mbpp, "code", False),
+        named("human_eval_docstrings", docs, "prompt"),
+        named("human_eval_solutions", humaneval, "canonical_solution"),
+    ])
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The distinct strings, in parts that are small enough to broadcast."""
     texts = benchmark.select("text").filter("text <> ''").distinct()
@@ -38,21 +63,62 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [texts if n == 1 else texts.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _automaton(texts: list[str]) -> ahocorasick.Automaton:
+    """Heads of the strings, each with the numbers of those that begin with it."""
+    held: dict[str, list[int]] = {}
+    for k, t in enumerate(texts):
+        held.setdefault(t[:HEAD], []).append(k)
+    out = ahocorasick.Automaton()
+    for head, numbers in held.items():
+        out.add_word(head, (len(head), numbers))
+    out.make_automaton()
+    return out
+
+
+def held_strings(texts: list[str], first_only: bool = False) -> Callable[[Column], Column]:
+    """An Arrow UDF: the numbers of the strings (a measured block) that a text holds; null for null. first_only: at most one."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _automaton(texts) if texts else None
+
+        def one(text: str | None) -> list[int] | None:
+            if text is None or known is None:
+                return None if text is None else []
+            found: set[int] = set()
+            for end, (size, numbers) in known.iter(text):
+                for k in numbers:
+                    if k not in found and text.startswith(texts[k], end - size + 1):
+                        if first_only:
+                            return [k]
+                        found.add(k)
+            return sorted(found)
+
+        for s in batches:
+            yield s.map(one, na_action=None)
+
+    return find
+
+
 def decontaminate(rows: DataFrame, benchmark: DataFrame, column: str = "content", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows that hold no benchmark string (case-sensitive); one anti-join for each block of strings."""
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        name = f"_bench{k}"
-        rows = rows.join(F.broadcast(block.withColumnRenamed("text", name)), F.contains(F.col(column), F.col(name)), "left_anti")
+    """The rows that hold no benchmark string (case-sensitive): one scan with an automaton for each block of strings."""
+    for block in _blocks(benchmark, block_bytes):
+        texts = sorted(r.text for r in block.collect())  # at most block_bytes
+        rows = rows.filter(F.coalesce(F.size(held_strings(texts, True)(F.col(column))), F.lit(0)) <= 0)
     return rows
 
 
 def contaminated_pairs(rows: DataFrame, benchmark: DataFrame, column: str = "content", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every (row, string) such that the row holds the string, with the strings' columns prefixed ``bench_``."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    n = max(1, -(-int(total) // block_bytes))
-    bench = benchmark.select(*(F.col(c).alias(f"bench_{c}") for c in benchmark.columns)).filter("bench_text <> ''")
-    parts = [bench if n == 1 else bench.filter(F.pmod(F.xxhash64("bench_text"), F.lit(n)) == k) for k in range(n)]
-    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), F.contains(F.col(column), F.col("bench_text"))) for p in parts])
+    spark = rows.sparkSession
+    bench = benchmark.select(*(F.col(c).alias(f"bench_{c}") for c in benchmark.columns))
+    out = []
+    for block in _blocks(benchmark, block_bytes):
+        texts = sorted(r.text for r in block.collect())
+        numbered = spark.createDataFrame(list(enumerate(texts)), "_number int, bench_text string")
+        found = rows.withColumn("_number", F.explode(held_strings(texts)(F.col(column))))
+        out.append(found.join(F.broadcast(numbered), "_number").drop("_number").join(bench, "bench_text"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def counts(benchmark: DataFrame) -> DataFrame:
