@@ -25,9 +25,9 @@ def greedy(rows: DataFrame, keys: list[Column], rank: list[Column], id_col: str,
 
     All keys share one space. The result is the lexicographically first maximal independent set of the conflict graph: in
     each round a row that is first in rank on all its keys stays, rows that share a key with it go, and their other
-    keys become free. Rows with a null key are left out. Each round is a checkpoint in the shared folder.
+    keys become free. Rows with a null key are left out. Each round is a table in the shared folder.
     """
-    order = F.struct(*rank, F.col(id_col))
+    order = F.struct(*(c.alias(f"r{k}") for k, c in enumerate([*rank, F.col(id_col)])))
     todo = rows.select(F.col(id_col), order.alias("rank"), F.array_distinct(F.array(*keys)).alias("keys")).filter(~F.exists("keys", lambda k: k.isNull()))
     kept: DataFrame | None = None
     for _ in range(rounds):
@@ -82,35 +82,92 @@ def signatures(rows: DataFrame, text: str, id_col: str, permutations: int = 32,
     return hashed.groupBy(id_col).agg(*least).select(id_col, F.array(*(f"m{k}" for k in range(permutations))).alias("sig"))
 
 
-def candidates(sigs: DataFrame, id_col: str, bands: int = 8, rows_per_band: int = 4) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, that agree on all rows of some band."""
+def banding(threshold: float, recall: float = 0.98, permutations: int = 64) -> tuple[int, int]:
+    """(bands, rows per band): the most rows under which a pair at the threshold shares a band with at least this probability."""
+    for r in range(permutations, 0, -1):
+        if 1 - (1 - threshold**r) ** (permutations // r) >= recall:
+            return permutations // r, r
+    raise ValueError("no banding reaches the recall with so few permutations")
+
+
+def banded(sigs: DataFrame, id_col: str, bands: int, rows_per_band: int) -> DataFrame:
+    """(id, band): each signature's bands as text."""
     parts = F.array(*(F.concat(F.lit(f"{k}:"), F.array_join(F.transform(F.slice("sig", k * rows_per_band + 1, rows_per_band), lambda x: x.cast("string")), ",")) for k in range(bands)))
-    banded = sigs.select(F.col(id_col).alias("id"), F.explode(parts).alias("band"))
-    left, right = banded.select(F.col("id").alias("a"), "band"), banded.select(F.col("id").alias("b"), "band")
-    return left.join(right, "band").filter("a < b").select("a", "b").distinct()
+    return sigs.select(F.col(id_col).alias("id"), F.explode(parts).alias("band"))
+
+
+def candidates(held: DataFrame) -> DataFrame:
+    """Pairs (a, b): the least id of each band with every other one of it; as many as there are entries at most."""
+    first = held.groupBy("band").agg(F.min("id").alias("a"))
+    return held.join(first, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def jaccard(pairs: DataFrame, rows: DataFrame, text: str, id_col: str, size: int = 5) -> DataFrame:
-    """pairs (a, b) with the exact similarity of their shingle sets."""
-    held = rows.select(F.col(id_col).alias("id"), shingles(F.col(text), size).alias("s"))
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+def crossing(held: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a band but no class (node, root); bands with one class only, however large, are passed over."""
+    known = held.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "band", F.coalesce("root", "id").alias("root"))
+    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
+    some = saved(known.join(mixed, "band", "left_semi"))
+    left, right = some.select(F.col("id").alias("a"), "band", F.col("root").alias("ra")), some.select(F.col("id").alias("b"), "band", F.col("root").alias("rb"))
+    return left.join(right, "band").filter("a < b and ra <> rb").select("a", "b").distinct()
+
+
+def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the similarity of their sets (id, s)."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
 
 
-def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size: int = 5, bands: int = 8, rows_per_band: int = 4) -> DataFrame:
+def distinct_texts(rows: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows as id and digest; each digest once with rep, its least id, and the text): copies, however many, are one."""
+    keyed = rows.select(F.col(id_col), F.sha2(F.lower(text), 256).alias("digest"), F.col(text))
+    return keyed.select(id_col, "digest"), saved(keyed.groupBy("digest").agg(F.min(id_col).alias("rep"), F.min(text).alias(text)))
+
+
+def hashed_shingles(once: DataFrame, text: str, size: int) -> DataFrame:
+    """(id, s): 64-bit hashes of each distinct text's shingles."""
+    return once.select(F.col("rep").alias("id"), F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
+
+
+def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size: int = 5, bands: int | None = None, rows_per_band: int | None = None) -> DataFrame:
     """(id, component): near-duplicate classes by verified candidates.
 
-    Equal texts are one class member from the start, so a group of copies, however large, is never paired; its rows get
-    their class by a join on the text's digest.
+    Without a given banding, it follows from the threshold (recall of 0.98 for a pair right at it). Equal texts are one
+    member from the start. Each band's members are first compared to its least one only; the links found make classes,
+    and a second pass compares those pairs of a band that lie in different classes. So a large group of near copies
+    costs one comparison for each member and band, and no link between classes is lost.
     """
-    keyed = rows.select(F.col(id_col), F.sha2(F.lower(text), 256).alias("digest"), F.col(text))
-    once = saved(keyed.groupBy("digest").agg(F.min(id_col).alias("rep"), F.min(text).alias(text)))
-    pairs = candidates(signatures(once, text, "rep", bands * rows_per_band, size), "rep", bands, rows_per_band)
-    links = jaccard(pairs, once, text, "rep", size).filter(F.col("similarity") >= threshold).select("a", "b")
+    if bands is None or rows_per_band is None:
+        bands, rows_per_band = banding(threshold)
+    keyed, once = distinct_texts(rows, text, id_col)
+    sets = saved(hashed_shingles(once, text, size))
+    held = saved(banded(signatures(once, text, "rep", bands * rows_per_band, size), "rep", bands, rows_per_band))
+    similar = lambda pairs: saved(jaccard(pairs, sets).filter(F.col("similarity") >= threshold).select("a", "b"))
+    links = similar(candidates(held))
     roots = components(links)
+    more = similar(crossing(held, roots))
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
     classes = once.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    return keyed.select(id_col, "digest").join(classes, "digest").select(id_col, "component")
+    return keyed.join(classes, "digest").select(id_col, "component")
+
+
+def similar_pairs(rows: DataFrame, text: str, id_col: str, threshold: float = 0.5, size: int = 3) -> DataFrame:
+    """(a, b, similarity) of all pairs of distinct texts (by their least ids) at the threshold or above; exact.
+
+    Two sets at the threshold share a shingle among the first few of each, in an order that puts rare ones first; so
+    pairs meet on rare shingles, and a shingle that most texts hold brings none together.
+    """
+    _, once = distinct_texts(rows, text, id_col)
+    sets = saved(hashed_shingles(once, text, size))
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
+    rare = each.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1")
+    # Shingles of one text only come first in every order, and can't be shared.
+    ordered = each.join(rare, "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("o"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) - (F.col("n") - F.size("o"))
+    first = saved(ordered.select("id", F.explode(F.slice("o", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("o")).select("id", "o.x"))
+    pairs = first.select(F.col("id").alias("a"), "x").join(first.select(F.col("id").alias("b"), "x"), "x").filter("a < b").select("a", "b").distinct()
+    return jaccard(pairs, sets).filter(F.col("similarity") >= threshold)
 
 
 def assert_unique(rows: DataFrame, column: str) -> DataFrame:
