@@ -70,16 +70,26 @@ def sections_in_order(response: Column) -> Column:
 
 
 def sections(response: Column) -> Column:
-    """struct(reasoning, implementation, explanation, tests), stripped."""
-    cut = [T.between(response, a, b) for a, b in zip(TAGS, TAGS[1:], strict=False)] + [T.after(response, TAGS[-1])]
-    return F.struct(*(T.strip(c).alias(t.strip("[]").lower()) for c, t in zip(cut, TAGS, strict=True)))
+    """struct(reasoning, implementation, explanation, tests), stripped: what follows each tag, up to the next one's first place.
+
+    One regular expression splits the text at its first tags, so the cuts are made once.
+    """
+    names = [t.strip("[]") for t in TAGS]
+    pattern = "(?s)^.*?" + "".join(rf"\[{n}\](.*?)" for n in names[:-1]) + rf"\[{names[-1]}\](.*)$"
+    return F.struct(*(T.strip(F.regexp_extract(response, pattern, k + 1)).alias(n.lower()) for k, n in enumerate(names)))
 
 
 def has_one_test_block(tests: Column) -> Column:
     return (F.size(T.fenced_blocks(tests, "python")) == 1) & (T.count_of(tests, T.FENCE) == 2)
 
 
-def meaningful_tests(tests: Column) -> Column:
-    """Tests hold an assert, and some line of their block that begins with a letter is no definition or import."""
-    lines = T.splitlines(T.fenced_blocks(tests, "python")[0])
-    return F.contains(tests, F.lit("assert")) & F.exists(lines, lambda x: F.rlike(x, F.lit(r"^\p{L}")) & ~F.rlike(x, F.lit("^(?:def|class|import|from)")))
+def cut_tests(tests: Column) -> Column:
+    """Tests up to their last fence; from there only what stands before the first line that begins with a slash."""
+    fenced = F.substring(tests, F.lit(1), (T.rindex(tests, T.FENCE) + 3).cast("int"))
+    slash = r"(?s)(?:^|(?<=[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]))/.*"
+    return F.when(F.rlike(fenced, F.lit(slash)), T.strip(F.regexp_replace(fenced, slash, ""))).otherwise(fenced)
+
+
+def meaningful_tests(tests: Column, block: Column) -> Column:
+    """Tests (as cut) hold an assert, and some line of their block that begins with a letter is no definition or import."""
+    return F.contains(tests, F.lit("assert")) & F.exists(T.splitlines(block), lambda x: F.rlike(x, F.lit(r"^\p{L}")) & ~F.rlike(x, F.lit("^(?:def|class|import|from)")))

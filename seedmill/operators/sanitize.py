@@ -51,11 +51,7 @@ def sanitize(rows: DataFrame, flags: Flags = Flags(), id_col: str = "id") -> Dat
     df = rows.filter(filters.sections_in_order(F.col("response"))).withColumn("_s", filters.sections(F.col("response")))
     df = df.withColumns({"_impl": T.fenced_blocks(F.col("_s.implementation"), "python"), "_tests": T.fenced_blocks(F.col("_s.tests"), "python")})
     df = df.filter((F.size("_impl") > 0) & filters.has_one_test_block(F.col("_s.tests")))
-    # Tests end before the first line that begins with a slash.
-    lines = T.splitlines(F.col("_s.tests"))
-    cut = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit("/"))), True)
-    tests = T.strip(F.when(cut > 0, F.array_join(F.slice(lines, F.lit(1), (cut - 1).cast("int")), "\n")).otherwise(F.col("_s.tests")))
-    df = df.withColumn("_t", tests).filter(filters.meaningful_tests(F.col("_s.tests")))
+    df = df.withColumn("_t", filters.cut_tests(F.col("_s.tests"))).filter(filters.meaningful_tests(F.col("_t"), F.element_at("_tests", 1)))
     implementation = F.concat(F.lit(f"{T.FENCE}python\n"), F.array_join("_impl", "\n\n"), F.lit(f"\n{T.FENCE}")) if flags.code_only else F.col("_s.implementation")
     asks_tests = F.contains(F.lower("instruction"), F.lit("test"))
     if flags.smart:
@@ -79,8 +75,3 @@ def sanitize(rows: DataFrame, flags: Flags = Flags(), id_col: str = "id") -> Dat
         block = F.concat(F.lit("Your code should pass the following "), F.col("_a.term"), F.lit(f":\n{T.FENCE}python\n"), T.strip(F.col("_a.text")), F.lit(f"\n{T.FENCE}"))
         instruction = F.when(gate, F.concat(instruction, F.lit("\n\n"), block)).otherwise(instruction)
     return df.withColumns({"_response": response, "_instruction": instruction}).withColumns({"response": F.col("_response"), "instruction": F.col("_instruction")}).select(*kept)
-
-
-def clean_keys(rows: DataFrame, names: Column | None = None) -> list[Column]:
-    """Keys of greedy dedup: instruction, response and, if given, the concatenated function names."""
-    return [T.ws_key(F.col("instruction")), T.ws_key(F.col("response")), *([names] if names is not None else [])]
