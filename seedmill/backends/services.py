@@ -77,7 +77,7 @@ class Completions:
     sampling: Sampling = Sampling()
     in_flight: int = 32
     delay: float = 0.0
-    retry: Retry = field(default_factory=lambda: Retry(least=0.0))
+    retry: Retry = field(default_factory=Retry)
 
     def _one(self, prompt: str | None, seed: int) -> tuple[list[dict] | None, str | None]:
         if prompt is None:
@@ -103,6 +103,67 @@ class Completions:
         return rows.mapInPandas(run, schema)
 
 
+def stand_in_judge(prompts: list[str], sampling: Sampling) -> list[str]:
+    """Yes or no by the prompt's MD5."""
+    return ["Yes" if hashlib.md5(p.encode()).hexdigest()[0] < "8" else "No" for p in prompts]
+
+
+@dataclass(frozen=True)
+class Batched:
+    """Offline inference in batches: one model call for each, temperature 0, a few tokens, up to the first line end."""
+
+    generate: Callable[[list[str], Sampling], list[str]] = stand_in_judge
+    sampling: Sampling = Sampling(max_tokens=5, stop=("\n",))
+    batch: int = 512
+
+    def apply(self, rows: DataFrame, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
+        """rows with the answer; null prompts have none."""
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{answer}` string"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                asked = [p for p in pdf[prompt] if p is not None]
+                found: list[str] = []
+                for a in range(0, len(asked), self.batch):
+                    found += self.generate(asked[a : a + self.batch], self.sampling)
+                left = iter(found)
+                yield pdf.assign(**{answer: [None if p is None else next(left) for p in pdf[prompt]]})
+
+        return rows.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class ImportFixer:
+    """Adds missing imports, each text within a time limit; a text that fails or takes too long stays as it is."""
+
+    fix: Callable[[str], str] | None = None
+    seconds: float = 10.0
+
+    def _one(self, code: str | None) -> str | None:
+        if code is None:
+            return None
+
+        def late(*_):
+            raise TimeoutError
+
+        before = signal.signal(signal.SIGALRM, late)
+        signal.setitimer(signal.ITIMER_REAL, self.seconds)
+        try:
+            return (self.fix or add_imports)(code)
+        except Exception:  # noqa: BLE001  the original text stands for any failure
+            return code
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    def apply(self, rows: DataFrame, code: str = "content") -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(**{code: [self._one(x) for x in pdf[code]]})
+
+        return rows.mapInPandas(run, rows.schema)
+
+
 @dataclass(frozen=True)
 class Limits:
     seconds: float = 4.0

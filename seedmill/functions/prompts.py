@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -104,14 +105,27 @@ def judge_prompt(examples: list[tuple[str, str, str]], doc: Column, code: Column
     return F.concat(F.array_join(choose_some(shown, len(examples), seed, *key, F.lit("judge")), "\n\n"), F.lit("\n\n"), ask(doc, code))
 
 
+#: Stands for a row whose judge prompt is too long; such rows are never kept.
+DUMMY = 'def dummy(): \n    """\n    """\n pass'
+
+
+def inferred_template(apply: Callable[[list[tuple[str, str]]], str]) -> str:
+    """The prompt template of a chat format: what it makes of placeholders, up to the response's end."""
+    template = apply([("user", "{instruction}"), ("assistant", "{response}")])
+    return template[: template.rindex("{response}") + len("{response}")]
+
+
+#: Fill-in-the-middle marks (before the prefix, before the suffix, at the end) of three model families, named by their marks.
+INFILL = {
+    "fim": ("<fim_prefix>", "<fim_suffix>", "<fim_middle>"),
+    "pre": ("▁<PRE>", "▁<SUF>", "▁<MID>"),
+    "begin": ("<｜fim▁begin｜>", "<｜fim▁hole｜>", "<｜fim▁end｜>"),
+}
+
+
 def infill(family: str, prefix: Column, suffix: Column) -> Column:
-    """Fill-in-the-middle prompts of three model families, named by their marks."""
-    marks = {
-        "fim": ("<fim_prefix>", "<fim_suffix>", "<fim_middle>"),
-        "pre": ("▁<PRE>", "▁<SUF>", "▁<MID>"),
-        "begin": ("<｜fim▁begin｜>", "<｜fim▁hole｜>", "<｜fim▁end｜>"),
-    }
-    if family not in marks:
+    """A fill-in-the-middle prompt."""
+    if family not in INFILL:
         raise ValueError(f"unknown family {family}")
-    a, b, c = marks[family]
+    a, b, c = INFILL[family]
     return F.concat(F.lit(a), prefix, F.lit(b), suffix, F.lit(c))

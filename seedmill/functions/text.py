@@ -52,19 +52,6 @@ def rindex(c: Column, needle: str) -> Column:
     return F.when(at == 0, F.lit(-1)).otherwise(F.length(c) - at - len(needle) + 1).cast("long")
 
 
-def between(c: Column, start: str, end: str) -> Column:
-    """What stands between the first start and the next end; null if either lacks."""
-    a = F.locate(start, c)
-    b = F.locate(end, c, 1) if start == "" else F.instr(F.substring(c, a + len(start), F.length(c)), end)
-    return F.when((a > 0) & (b > 0), F.substring(c, a + len(start), b - 1))
-
-
-def after(c: Column, start: str) -> Column:
-    """What follows the first start; null if it lacks."""
-    a = F.locate(start, c)
-    return F.when(a > 0, F.substring(c, a + len(start), F.length(c)))
-
-
 def fenced_blocks(c: Column, tag: str | None = None) -> Column:
     """Contents of fenced blocks, stripped; with a tag only those that carry it, in any case."""
     tags, codes = F.regexp_extract_all(c, F.lit(FENCE_RE), F.lit(1)), F.regexp_extract_all(c, F.lit(FENCE_RE), F.lit(2))
@@ -134,6 +121,37 @@ def render_properties(p: Column) -> Column:
     return F.concat(F.lit("category: "), p["category"], F.lit("\nlanguage: "), p["language"], F.lit("\nconcepts: "), F.array_join(p["concepts"], ", "), F.lit("\ndifficulty: "), p["difficulty"])
 
 
+#: An exercise's property as JSON.
+PROPERTY = "category string, language string, concepts array<string>, difficulty string"
+
+
+def property_json(p: Column) -> Column:
+    return F.to_json(p)
+
+
+def property_from_json(text: Column) -> Column:
+    """struct(category, language, concepts, difficulty); null unless three are JSON strings and concepts is a JSON list."""
+    raw = F.from_json(text, "category variant, language variant, concepts variant, difficulty variant")
+    is_text = lambda name: F.startswith(F.schema_of_variant(raw[name]), F.lit("STRING"))
+    typed = is_text("category") & is_text("language") & is_text("difficulty") & F.startswith(F.schema_of_variant(raw["concepts"]), F.lit("ARRAY"))
+    return F.when(F.coalesce(typed, F.lit(False)), F.from_json(text, PROPERTY))
+
+
+def chat_response(output: Column, prompt: Column, prefix: Column) -> Column:
+    """A chat model's response: its output without the prompt, up to the first ``###``, right-stripped, after the response prefix."""
+    return F.concat(prefix, rstrip(F.substring_index(F.substring(output, F.length(prompt) + 1, F.length(output)), "###", 1)))
+
+
+def timestamp(at: Column | None = None) -> Column:
+    """A time (now) as a part of file names."""
+    return F.date_format(at if at is not None else F.current_timestamp(), "yyyyMMdd_HHmmss")
+
+
+def stopped(text: Column, *stops: str) -> Column:
+    """Whether a generated text holds any of the stop strings."""
+    return F.array_contains(F.array(*(F.contains(text, F.lit(x)) for x in stops)), True)
+
+
 def without_comments(c: Column) -> Column:
     """The text without comment lines inside fenced blocks.
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 IGNORED = -100
 
@@ -24,6 +25,54 @@ def encoder(make: Callable[[], Callable[[str], list[int]]]) -> Callable[[Column]
     return encode
 
 
+def decoder(make: Callable[[], Callable[[list[int]], str]]) -> Callable[[Column], Column]:
+    """An Arrow UDF from ids to text."""
+
+    @F.pandas_udf(StringType())
+    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        back = make()
+        for s in ids:
+            yield s.map(lambda x: back([int(i) for i in x]) if x is not None else None)
+
+    return decode
+
+
+@dataclass(frozen=True)
+class Tokenizer:
+    """A tokenizer from a file of the tokenizers library, which all executors must see; without a pad token, the end token pads."""
+
+    path: str
+    bos: str | None = None
+    eos: str | None = None
+    pad: str | None = None
+
+    def load(self):
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.path)
+
+    def id_of(self, name: str | None) -> int | None:
+        return None if name is None else self.load().token_to_id(name)
+
+    @property
+    def pad_id(self) -> int | None:
+        return self.id_of(self.pad or self.eos)
+
+    def encode(self, text: Column) -> Column:
+        def make():
+            tokenizer = self.load()
+            return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+
+        return encoder(make)(text)
+
+    def decode(self, ids: Column, skip_special: bool = True) -> Column:
+        def make():
+            tokenizer = self.load()
+            return lambda x: tokenizer.decode(x, skip_special_tokens=skip_special)
+
+        return decoder(make)(ids)
+
+
 def word_ids(c: Column, modulus: int = 32_000) -> Column:
     """A native toy tokenizer: each word's MD5 as an id; for tests and plans without a vocabulary."""
     words = F.filter(F.split(c, "[ \\n]+", -1), lambda w: w != "")
@@ -36,7 +85,7 @@ def framed(ids: Column, bos: int | None = None, eos: int | None = None, most: in
     return F.slice(out, 1, most) if most is not None else out
 
 
-def supervised(prompt: Column, response: Column, most: int, bos: int = 1, eos: int = 2) -> Column:
+def supervised(prompt: Column, response: Column, most: int, bos: int | None = 1, eos: int | None = 2) -> Column:
     """struct(input_ids, labels, exceeding_length): the prompt's labels are ignored; the flag is judged before the cut."""
     a, b = framed(prompt, bos=bos), framed(response, eos=eos)
     ids = F.concat(a, b)
@@ -66,6 +115,11 @@ def context_size(family: str) -> int:
     return CONTEXTS.get(family, 4096)
 
 
+def truncated(examples: DataFrame) -> DataFrame:
+    """How many supervised examples were cut, and of how many."""
+    return examples.agg(F.coalesce(F.sum(F.col("exceeding_length").cast("long")), F.lit(0)).alias("truncated"), F.count("*").alias("n"))
+
+
 def new_tokens(context: Column | int, used: Column, most_new: int, most: int | None = None) -> Column:
     """How many tokens may still be generated."""
     room = (F.lit(context) if isinstance(context, int) else context) - used

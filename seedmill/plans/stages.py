@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..backends.services import Checker, Completions, Executor
+from ..backends.services import Batched, Checker, Completions, Executor, ImportFixer
 from ..functions import prompts, syntax
 from ..functions import text as T
 from ..functions import tokens as K
@@ -20,10 +22,10 @@ def extract(files: DataFrame, content: str = "content") -> DataFrame:
     return position.with_pos(once, "sha1", "content", name="id").select("content", "id")
 
 
-def typed(functions: DataFrame, checker: Checker = Checker()) -> DataFrame:
-    """Functions that return a value and type-check, with their digest."""
-    df = functions.withColumns({"_f": syntax.code_features(F.col("content")), "sha1": F.sha1("content")}).filter("_f.has_return").drop("_f")
-    df = saved(df)
+def typed(functions: DataFrame, checker: Checker = Checker(), fixer: ImportFixer | None = ImportFixer()) -> DataFrame:
+    """Functions that return a value and type-check once missing imports are added, with their digest."""
+    df = functions.withColumn("_f", syntax.code_features(F.col("content"))).filter("_f.has_return").drop("_f")
+    df = saved((fixer.apply(df) if fixer else df).withColumn("sha1", F.sha1("content")))
     return joins.with_verdicts(df, checker.apply(df.dropDuplicates(["sha1"])))
 
 
@@ -36,6 +38,23 @@ def static_filters(functions: DataFrame, benchmark: DataFrame, content: str = "c
     return df.filter(F.col("_f.has_return") & filters.has_docstring(F.col("_f"))).drop("_f")
 
 
+#: Tokens that a judge's examples and a row's code may have together.
+JUDGE_TOKENS = 16_380
+
+
+def judged(rows: DataFrame, examples: list[tuple[str, str, str]], backend: Batched, count: Callable[[Column], Column], most: int = JUDGE_TOKENS, seed: int = 3407, content: str = "content", key: str = "id") -> DataFrame:
+    """Rows that a judge says yes to. count gives a text's tokens; a row that is too long is asked about a dummy and left out.
+
+    The answer is a column of its row, so nothing is aligned by position.
+    """
+    ask = lambda c: prompts.judge_prompt(examples, T.split_docstring(c)["doc"], T.split_docstring(c)["code"], seed, F.col(key))
+    around = count(ask(F.lit(prompts.DUMMY))) - count(F.lit(prompts.DUMMY))
+    df = rows.withColumn("_long", count(F.col(content)) + around > most)
+    df = df.withColumn("_prompt", F.when(F.col("_long"), ask(F.lit(prompts.DUMMY))).otherwise(ask(F.col(content))))
+    kept = filters.judged_yes(F.col("_answer")) & ~F.contains(F.col(content), F.lit("def dummy()")) & ~F.col("_long")
+    return backend.apply(df, "_prompt", "_answer").filter(kept).drop("_long", "_prompt", "_answer")
+
+
 def seeds(functions: DataFrame) -> DataFrame:
     """The name under which generation takes functions."""
     return functions.withColumnRenamed("content", "seed")
@@ -53,7 +72,8 @@ def generate(rows: DataFrame, mode: str, fewshots: prompts.Fewshots, backend: Co
     asked = rows.drop("prompt", "fingerprint").withColumns({"prompt": prompts.request_prompt(fewshots, mode, k, seed, given, key), "seed_value": F.lit(seed) + key})
     done = saved(backend.apply(asked)).filter("error is null").withColumn("choices", filters.finished(F.col("choices"))).filter(F.size("choices") > 0)
     first = F.col("choices")[0]["text"]
-    done = done.withColumn("fingerprint", F.lit(backend.sampling.model))
+    parts = (mode, backend.sampling.model, k, seed, *(e.render(mode) for e in fewshots.examples))
+    done = done.withColumn("fingerprint", T.fingerprint(*map(F.lit, parts)))
     if mode == "S->C":
         done = done.withColumn("concepts", T.concepts(first))
     elif mode == "C->I":
@@ -94,10 +114,12 @@ def clean(rows: DataFrame, seed: int = 0, id_col: str = "id", by_names: bool = F
     return rows.join(kept, id_col, "left_semi")
 
 
-def training(rows: DataFrame, most: int = 1216, prompt: str = "instruction", response: str = "response") -> DataFrame:
-    """Supervised examples of all rows."""
-    ids = K.supervised(K.word_ids(prompts.instruction_prompt(F.col(prompt))), K.word_ids(F.col(response)), most)
-    return rows.select(ids.alias("e")).select("e.*")
+def training(rows: DataFrame, most: int = 1216, prompt: str = "instruction", response: str = "response", tokenizer: K.Tokenizer | None = None) -> DataFrame:
+    """Supervised examples of all rows, by a tokenizer's ids (without one: by the toy of word digests)."""
+    encode = tokenizer.encode if tokenizer else K.word_ids
+    marks = {"bos": tokenizer.id_of(tokenizer.bos), "eos": tokenizer.id_of(tokenizer.eos)} if tokenizer else {}
+    asked = rows.select(encode(prompts.instruction_prompt(F.col(prompt))).alias("p"), encode(F.col(response)).alias("r"))
+    return asked.select(K.supervised(F.col("p"), F.col("r"), most, **marks).alias("e")).select("e.*")
 
 
 def pass_at_k(n: str, c: str, k: int):

@@ -9,12 +9,12 @@ from ..operators.position import with_pos
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines under a schema. strict: a malformed or blank line is an error, else blank lines are skipped."""
-    if strict:
-        blank = spark.read.text(paths).filter(F.trim("value") == "").limit(1).count()
-        if blank:
-            raise ValueError("a blank line in strict mode")
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(paths)
+    """JSON lines under a schema, in one scan. Malformed lines are errors; so are blank ones if strict, else they are skipped."""
+    raw = spark.read.text(paths)
+    blank = F.trim("value") == ""
+    # Checked by a filter, which also runs where no column is read.
+    kept = F.when(blank, F.raise_error(F.lit("a blank line in strict mode")).cast("boolean")).otherwise(True) if strict else ~blank
+    return raw.filter(kept).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("s")).select("s.*")
 
 
 def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -27,6 +27,12 @@ def write_chunk(rows: DataFrame, path: str, chunk: int) -> None:
     write_jsonl(rows, f"{path}/chunk={chunk}")
 
 
+def write_after_cached(cached: DataFrame, new: DataFrame, path: str) -> None:
+    """A sink that begins anew with the cached rows and then appends the new ones."""
+    write_jsonl(cached, path)
+    write_jsonl(new, path, append=True)
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

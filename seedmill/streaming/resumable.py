@@ -7,6 +7,7 @@ write twice.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,30 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.files import write_chunk
 
 
-def run(spark: SparkSession, source: str, schema: str, stage: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 32) -> StreamingQuery:
-    """Apply stage to every micro-batch of new files and write its rows."""
+def guard(spark: SparkSession, out: str, fingerprint: str, start: int, ignore_fingerprint: bool = False) -> None:
+    """Writes a run's fingerprint and start index beside its output; a run that resumes with others is an error."""
+    path = f"{out}/_manifest"  # readers pass over names that begin with an underscore
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([(fingerprint, start)], "fingerprint string, start long").coalesce(1).write.json(path)
+        return
+    held = spark.read.schema("fingerprint string, start long").json(path).first()
+    if held.fingerprint != fingerprint and not ignore_fingerprint:
+        raise ValueError(f"the output was made with fingerprint {held.fingerprint}, not {fingerprint}")
+    if held.start != start:
+        raise ValueError(f"the output begins at {held.start}, not {start}")
+
+
+def run(spark: SparkSession, source: str, schema: str, stage: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 32, pause: float = 0.0) -> StreamingQuery:
+    """Apply stage to every micro-batch of new files and write its rows; before each batch but the first, pause that many seconds."""
+
+    def work(df: DataFrame, k: int) -> None:
+        if k and pause:
+            time.sleep(pause)
+        write_chunk(stage(df), out, k)
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    return stream.writeStream.foreachBatch(lambda df, k: write_chunk(stage(df), out, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
