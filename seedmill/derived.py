@@ -5,7 +5,8 @@ Each row's variant depends on its id only, so what an operator must find is know
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Q3 = '"""'
 FENCE = "```"
@@ -26,7 +27,7 @@ CODE = (
     f"@cache\ndef outer_{{id}}(x):\n    {Q3}Doc {{id}}.{Q3}\n    def inner(y):\n        return y\n    return inner(x)\n\nasync def second_{{id}}(x):\n    {Q3}More.{Q3}\n    return x",
 )
 
-#: Responses by doc_id % 10.
+#: Responses by doc_id % 13.
 _GOOD = "[Reasoning]\nThink {id}.\n\n[Implementation]\n{f}python\n# add\ndef f(x):\n    # one\n    return x + {id}\n{f}\n\n[Explanation]\nIt adds {id}.\n\n[Tests]\n"
 RESPONSES = (
     _GOOD + "{f}python\nassert f(1) == {id}\nassert f(2) == 3\n{f}",
@@ -39,6 +40,9 @@ RESPONSES = (
     "No sections {id}, only {f}PYTHON\nprint({id})\n{f} and {f}sh\nls\n{f}",
     _GOOD + "No block {id}.",
     "[Reasoning]\nThink.\n[Implementation]\nwords\n[Explanation]\nNone {id}.\n[Tests]\n{f}python\nassert True\n{f}",
+    _GOOD + "{f}python\nassert f(3)\n{f}\n\nThese tests cover it.",
+    _GOOD + "{f}python\nprint(f(1))\n{f}\n\nWe assert nothing.",
+    _GOOD + "{f}python\nassert f(4)\n/ note\n{f}",
 )
 
 
@@ -60,12 +64,14 @@ def _sql(template: str, key: str) -> str:
     return " || ".join([*parts, *([f"'{plain}'"] if plain else [])])
 
 
-def _case(templates: tuple[str, ...], key: str = "doc_id") -> str:
-    return f"CASE {key} % {len(templates)} " + " ".join(f"WHEN {k} THEN {_sql(t.replace('{f}', FENCE), key)}" for k, t in enumerate(templates)) + " END"
+def case(templates: dict[int, str] | tuple[str, ...], key: str = "doc_id", n: int | None = None) -> str:
+    """An expression that gives each row the template of its variant (null if there is none)."""
+    found = templates if isinstance(templates, dict) else dict(enumerate(templates))
+    return f"CASE {key} % {n or len(templates)} " + " ".join(f"WHEN {k} THEN {_sql(t.replace('{f}', FENCE), key)}" for k, t in found.items()) + " END"
 
 
-CODE_SQL = _case(CODE)
-RESPONSE_SQL = _case(RESPONSES)
+CODE_SQL = case(CODE)
+RESPONSE_SQL = case(RESPONSES)
 INSTRUCTION_SQL = "'Write item ' || CAST(doc_id % 97 AS STRING) || CASE WHEN doc_id % 4 = 0 THEN ' with a test' ELSE '' END"
 
 #: Common table expressions for DuckDB.
@@ -73,9 +79,14 @@ CODE_CTE = f"code AS (SELECT doc_id, {CODE_SQL} AS content FROM documents)"
 RESPONSE_CTE = f"resp AS (SELECT doc_id AS id, {INSTRUCTION_SQL} AS instruction, {RESPONSE_SQL} AS response FROM documents)"
 
 
+def _once(expression: str) -> Column:
+    """A column that Spark computes once for each row (nothing nondeterministic is inlined where it is used, and these texts are long expressions)."""
+    return F.when(F.spark_partition_id() >= 0, F.expr(expression))
+
+
 def code(documents: DataFrame) -> DataFrame:
-    return documents.selectExpr("doc_id", f"{CODE_SQL} AS content")
+    return documents.select("doc_id", _once(CODE_SQL).alias("content"))
 
 
 def responses(documents: DataFrame) -> DataFrame:
-    return documents.selectExpr("doc_id AS id", f"{INSTRUCTION_SQL} AS instruction", f"{RESPONSE_SQL} AS response")
+    return documents.select(F.col("doc_id").alias("id"), F.expr(INSTRUCTION_SQL).alias("instruction"), _once(RESPONSE_SQL).alias("response"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,9 +95,14 @@ def docstring_filter(spark, sf_dir):
     return code(spark, sf_dir).withColumn("f", syntax.code_features(F.col("content"))).filter(filters.has_docstring(F.col("f"))).select("doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 12 IN (3, 4, 9) THEN 0 WHEN doc_id % 12 = 11 THEN 2 ELSE 1 END AS n FROM documents")
+#: The documented functions of derived.CODE, by variant.
+_FUNCTIONS = {k: derived.CODE[k] for k in (0, 1, 2, 5, 7, 8, 10)} | {6: derived.CODE[6].removeprefix("import os\n\n"), 11: derived.CODE[11].removeprefix("@cache\n").replace("\n\nasync", "|async")}
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 12 IN (3, 4, 9) THEN 0 WHEN doc_id % 12 = 11 THEN 2 ELSE 1 END AS n, coalesce({derived.case(_FUNCTIONS, n=12)}, '') AS functions FROM documents")
 def extract_functions(spark, sf_dir):
-    return code(spark, sf_dir).select("doc_id", F.size(syntax.extract_functions(F.col("content"))).alias("n"))
+    found = code(spark, sf_dir).select("doc_id", syntax.extract_functions(F.col("content")).alias("f"))
+    return found.select("doc_id", F.size("f").alias("n"), F.array_join("f", "|").alias("functions"))
 
 
 @query("SELECT doc_id, doc_id % 12 <> 9 AS ok, CASE doc_id % 12 WHEN 9 THEN NULL WHEN 10 THEN 'same' WHEN 11 THEN 'outer_' || doc_id || ' inner second_' || doc_id ELSE (['plus_', 'none_', 'quiet_', 'single_', 'bare_', 'later_', 'paths_', 'trace_', 'long_'])[1 + doc_id % 12] || doc_id END AS names FROM documents")
@@ -176,7 +182,30 @@ def minhash_signatures(spark, sf_dir):
     reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b)
     SELECT node AS doc_id, min(root) AS component FROM reach GROUP BY node""")
 def near_dup_clusters(spark, sf_dir):
-    return dedup.near(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id", bands=16, rows_per_band=4)
+    return dedup.near(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
+
+
+@query(f"""WITH {_SIGS}, reps AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(text)),
+    band AS (SELECT doc_id, k, array_to_string(sig[4 * k + 1:4 * k + 4], ',') AS v FROM sigs SEMI JOIN reps USING (doc_id), generate_series(0, 7) g(k)),
+    low AS (SELECT k, v, min(doc_id) AS a FROM band GROUP BY k, v)
+    SELECT DISTINCT a, doc_id AS b FROM band JOIN low USING (k, v) WHERE doc_id <> a""")
+def lsh_pairs(spark, sf_dir):
+    """Candidates of distinct texts: each band's least id with its other members."""
+    _, once = dedup.distinct_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
+    return dedup.candidates(dedup.banded(dedup.signatures(once, "text", "rep"), "rep", 8, 4))
+
+
+_TRIPLES = f"""sh AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents SEMI JOIN reps USING (doc_id)))"""
+
+
+@query(f"""WITH reps AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(text)), {_TRIPLES}, e AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sh)
+    SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5""")
+def jaccard_pairs(spark, sf_dir):
+    """Exact pairs of distinct texts at 0.5, by three-word shingles."""
+    found = dedup.similar_pairs(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id", 0.5, 3)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH RECURSIVE {derived.RESPONSE_CTE},
@@ -314,10 +343,13 @@ def section_order_filter(spark, sf_dir):
     return responses(spark, sf_dir).filter(filters.sections_in_order(F.col("response"))).select("id")
 
 
-@query(R + rf" SELECT id, trim(regexp_extract(response, '(?s)\[Reasoning\]\s*(.*?)\s*\[Implementation\]', 1)) AS reasoning, regexp_extract(response, '(?s)\[Tests\]\s*(.*)$', 1) AS tests FROM resp WHERE {_SECTIONS_OK}")
+_CUT = r"regexp_extract(response, '(?s)\[{a}\]\s*(.*?)\s*\[{b}\]', 1) AS {name}"
+
+
+@query(R + f" SELECT id, {_CUT.format(a='Reasoning', b='Implementation', name='reasoning')}, {_CUT.format(a='Implementation', b='Explanation', name='implementation')}, {_CUT.format(a='Explanation', b='Tests', name='explanation')}, regexp_extract(response, '(?s)\\[Tests\\]\\s*(.*)$', 1) AS tests FROM resp WHERE {_SECTIONS_OK}")
 def section_extract(spark, sf_dir):
     df = responses(spark, sf_dir).filter(filters.sections_in_order(F.col("response"))).withColumn("s", filters.sections(F.col("response")))
-    return df.select("id", "s.reasoning", "s.tests")
+    return df.select("id", "s.*")
 
 
 @query(R + r" SELECT id, array_to_string(list_transform(regexp_extract_all(response, '(?s)```(?:[A-Za-z]+\n)?(.*?)```', 1), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), '|') AS blocks FROM resp")
@@ -325,10 +357,10 @@ def fenced_blocks(spark, sf_dir):
     return responses(spark, sf_dir).select("id", F.array_join(T.fenced_blocks(F.col("response")), "|").alias("blocks"))
 
 
-@query(R + r" SELECT id, CAST(len(regexp_extract_all(response, '(?m)^```python[ ]*$')) AS INT) AS n FROM resp")
+@query(R + r" SELECT id, CAST(len(b) AS INT) AS n, array_to_string(b, '|') AS code FROM (SELECT id, list_filter(regexp_extract_all(response, '(?ms)^```python[ ]*\n(.*?)^```', 1), lambda x: NOT contains(x, '/ note')) AS b FROM resp)")
 def exec_code(spark, sf_dir):
-    blocks = T.exec_blocks(F.col("response"))
-    return responses(spark, sf_dir).select("id", F.size(syntax.compilable(blocks)).alias("n"))
+    found = responses(spark, sf_dir).select("id", syntax.compilable(T.exec_blocks(F.col("response"))).alias("b"))
+    return found.select("id", F.size("b").alias("n"), F.array_join("b", "|").alias("code"))
 
 
 @query(R + " SELECT id FROM resp WHERE NOT regexp_matches(lower(response), 'todo|fixme|write your code here|your code here|your code goes here|notimplemented')")
@@ -336,15 +368,18 @@ def incomplete_filter(spark, sf_dir):
     return responses(spark, sf_dir).filter(filters.is_complete(F.col("response"))).select("id")
 
 
-@query(R + " SELECT id, replace(replace(response, '# add' || chr(10), ''), '    # one' || chr(10), '') AS response FROM resp WHERE id % 10 <> 6")
+_NO_COMMENTS = R + " SELECT id, replace(replace(replace(response, '# add' || chr(10), ''), '    # one' || chr(10), ''), '# Your code here' || chr(10), '') AS response FROM resp"
+
+
+@query(_NO_COMMENTS)
 def comment_removal(spark, sf_dir):
-    return responses(spark, sf_dir).filter("id % 10 <> 6").select("id", T.without_comments(F.col("response")).alias("response"))
+    return responses(spark, sf_dir).select("id", T.without_comments(F.col("response")).alias("response"))
 
 
-@query(R + " SELECT id, replace(replace(replace(response, '# add' || chr(10), ''), '    # one' || chr(10), ''), '# Your code here' || chr(10), '') AS response FROM resp")
+@query(_NO_COMMENTS)
 def comment_removal_rows(spark, sf_dir):
-    """comment_removal over every row."""
-    return responses(spark, sf_dir).select("id", T.without_comments(F.col("response")).alias("response"))
+    """comment_removal under its earlier name."""
+    return comment_removal(spark, sf_dir)
 
 
 @query(R + " SELECT id, split_part(response, '```', 1) AS head FROM resp")
@@ -352,29 +387,79 @@ def completion_truncate(spark, sf_dir):
     return responses(spark, sf_dir).select("id", T.cut_at(F.col("response"), T.FENCE).alias("head"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 10 IN (0, 1, 6)")
+#: Sections of the responses that the sanitizer keeps, by variant: reasoning, implementation, explanation, tests.
+_GOOD = ("Think {id}.", "{f}python\n# add\ndef f(x):\n    # one\n    return x + {id}\n{f}", "It adds {id}.")
+_KEPT = {
+    0: (*_GOOD, "{f}python\nassert f(1) == {id}\nassert f(2) == 3\n{f}"),
+    1: (*_GOOD, "{f}python\ndef test_f():\n    assert f(1)\ntest_f()\n{f}"),
+    6: ("Think.", "{f}python\n# Your code here\n{f}", "None {id}.", "{f}python\nassert True\n{f}"),
+    10: (*_GOOD, "{f}python\nassert f(3)\n{f}"),
+    12: (*_GOOD, "{f}python\nassert f(4)"),
+}
+_COMPLETE = [0, 1, 10, 12]
+
+
+def _kept(*sections: int, tags: bool = False, comments: bool = True, variants=tuple(_KEPT)) -> str:
+    """SQL for the responses that are left with these sections."""
+    named = lambda k, t: f"{filters.TAGS[k]}\n{t}" if tags else t
+    clean = lambda t: t if comments else t.replace("# add\n", "").replace("    # one\n", "")
+    return derived.case({v: "\n\n".join(named(k, clean(_KEPT[v][k])) for k in sections) for v in variants}, "id", 13)
+
+
+@query(R + f" SELECT id, {_kept(0, 1, 2, 3, tags=True)} AS response FROM resp WHERE id % 13 IN (0, 1, 6, 10, 12)")
 def sanitize_raw(spark, sf_dir):
-    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(raw=True)).select("id")
+    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(raw=True)).select("id", "response")
 
 
-@query(R + " SELECT id, instruction, 'Think ' || id || '.' || chr(10) || chr(10) || '```python' || chr(10) || 'def f(x):' || chr(10) || '    return x + ' || id || chr(10) || '```' || chr(10) || chr(10) || 'It adds ' || id || '.' AS response FROM resp WHERE id % 10 IN (0, 1)")
+@query(R + f" SELECT id, instruction, {_kept(0, 1, 2, comments=False, variants=_COMPLETE)} AS response FROM resp WHERE id % 13 IN (0, 1, 10, 12)")
 def sanitize_no_tests(spark, sf_dir):
     return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, no_comments=True, no_incomplete=True))
 
 
-@query(R + " SELECT id, instruction || chr(10) || chr(10) || 'Your code should pass the following test case:' || chr(10) || '```python' || chr(10) || 'def test_f():' || chr(10) || '    assert f(1)' || chr(10) || 'test_f()' || chr(10) || '```' AS instruction FROM resp WHERE id % 10 = 1")
+@query(R + " " + " UNION ALL ".join(f"SELECT '{name}' AS flag, id, {sql} AS response FROM resp WHERE id % 13 IN (0, 1, 6, 10, 12)" for name, sql in (("none", _kept(0, 1, 2, 3)), ("no_explanation", _kept(0, 1, 3)), ("no_reasoning", _kept(1, 2, 3)), ("code_only", _kept(0, 1, 2, 3)))))
+def sanitize_flags(spark, sf_dir):
+    """Each section flag by itself; in these responses the implementation is its one block, so code_only changes nothing."""
+    rows = responses(spark, sf_dir)
+    flags = {"none": {}, "no_explanation": {"no_explanation": True}, "no_reasoning": {"no_reasoning": True}, "code_only": {"code_only": True}}
+    parts = [sanitize.sanitize(rows, sanitize.Flags(**f)).select(F.lit(name).alias("flag"), "id", "response") for name, f in flags.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _draw_sql(what: str) -> str:
+    return f"CAST('0x' || md5('0|' || id || '|{what}')[1:13] AS BIGINT)"
+
+
+#: What augmentation adds to each kept row's instruction: chosen assertion lines, or the whole block.
+_ASSERTIONS = R + f""", t AS (SELECT id, instruction, CASE id % 13 WHEN 0 THEN ['assert f(1) == ' || id, 'assert f(2) == 3'] WHEN 6 THEN ['assert True'] WHEN 10 THEN ['assert f(3)'] END AS l FROM resp WHERE id % 13 IN (0, 1, 6, 10, 12)),
+    k AS (SELECT *, least({_draw_sql('k')} % 5 + 1, len(l)) AS k FROM t),
+    c AS (SELECT *, list_sort(list_transform(generate_series(1, len(l)), lambda i: {{'d': CAST('0x' || md5('0|' || id || '|lines|' || (i - 1))[1:13] AS BIGINT), 'i': i, 'x': l[i]}}))[1:k] AS chosen FROM k),
+    a AS (SELECT id, instruction, chr(10) || chr(10) || 'Your code should pass the following ' || CASE WHEN l IS NULL THEN 'test case' WHEN k > 1 THEN 'assertions' ELSE 'assertion' END || ':' || chr(10) || '```python' || chr(10)
+    || CASE WHEN id % 13 = 1 THEN 'def test_f():' || chr(10) || '    assert f(1)' || chr(10) || 'test_f()' WHEN id % 13 = 12 THEN 'assert f(4)' || chr(10) || '/ note' ELSE array_to_string(list_transform(chosen, lambda s: s.x), chr(10)) END || chr(10) || '```' AS more FROM c)"""
+
+
+@query(_ASSERTIONS + " SELECT id, instruction || more AS instruction FROM a")
 def assertion_augment(spark, sf_dir):
-    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, augmentation=1.0)).filter("id % 10 = 1").select("id", "instruction")
+    """Every row that the sanitizer keeps, with one to five assertion lines or the whole block."""
+    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, augmentation=1.0)).select("id", "instruction")
 
 
-@query(R + """, t AS (SELECT id, instruction, CASE id % 10 WHEN 0 THEN ['assert f(1) == ' || id, 'assert f(2) == 3'] WHEN 6 THEN ['assert True'] END AS l FROM resp WHERE id % 10 IN (0, 1, 6)),
-    k AS (SELECT *, least(CAST('0x' || md5('0|' || id || '|k')[1:13] AS BIGINT) % 5 + 1, len(l)) AS k FROM t),
-    c AS (SELECT *, list_sort(list_transform(generate_series(1, len(l)), lambda i: {'d': CAST('0x' || md5('0|' || id || '|lines|' || (i - 1))[1:13] AS BIGINT), 'i': i, 'x': l[i]}))[1:k] AS chosen FROM k)
-    SELECT id, instruction || chr(10) || chr(10) || 'Your code should pass the following ' || CASE WHEN l IS NULL THEN 'test case' WHEN k > 1 THEN 'assertions' ELSE 'assertion' END || ':' || chr(10) || '```python' || chr(10)
-    || CASE WHEN l IS NULL THEN 'def test_f():' || chr(10) || '    assert f(1)' || chr(10) || 'test_f()' ELSE array_to_string(list_transform(chosen, lambda s: s.x), chr(10)) END || chr(10) || '```' AS instruction FROM c""")
+@query(_ASSERTIONS + " SELECT id, instruction || more AS instruction FROM a")
 def assertion_augment_rows(spark, sf_dir):
-    """assertion_augment over every row that the sanitizer keeps."""
-    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(no_tests=True, augmentation=1.0)).select("id", "instruction")
+    """assertion_augment under its earlier name."""
+    return assertion_augment(spark, sf_dir)
+
+
+_HALF = str(1 << 51)
+_SMART = [(f"{e} AND {r} AND {t}", _kept(*sections, comments=False, variants=_COMPLETE)) for e, r, t, sections in (
+    (e, r, t, [k for k, keep in enumerate(("NOT" in r, True, "NOT" in e, t == "asks")) if keep])
+    for e in ("de", "NOT de") for r in ("dr", "NOT dr") for t in ("asks", "NOT asks"))]
+
+
+@query(_ASSERTIONS + f""", s AS (SELECT *, contains(lower(instruction), 'test') AS asks, {_draw_sql('explanation')} < {_HALF} AS de, {_draw_sql('reasoning')} < {_HALF} AS dr, {_draw_sql('augment')} < {_HALF} AS au FROM a WHERE id % 13 <> 6)
+    SELECT id, CASE WHEN au AND NOT asks THEN instruction || more ELSE instruction END AS instruction, CASE {' '.join(f'WHEN {c} THEN {x}' for c, x in _SMART)} END AS response FROM s""")
+def sanitize_smart(spark, sf_dir):
+    """Sections, comments and augmentation as the row decides."""
+    return sanitize.sanitize(responses(spark, sf_dir), sanitize.Flags(smart=True))
 
 
 @query(C + " SELECT doc_id, EXISTS (SELECT 1 FROM code b WHERE b.doc_id % 5 = 0 AND b.content = a.content) AS cached FROM code a")
@@ -465,11 +550,6 @@ def substring_functions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n"), T.index(t, "th").alias("first"), T.count_of(t, "th").alias("times"))
 
 
-@query("SELECT doc_id, 'Return x plus ' || doc_id || '.' || chr(10) || chr(10) || '    Any number.' AS doc FROM documents WHERE doc_id % 12 = 0")
-def docstring_split(spark, sf_dir):
-    return code(spark, sf_dir).filter("doc_id % 12 = 0").select("doc_id", T.split_docstring(F.col("content"))["doc"].alias("doc"))
-
-
 #: What is left of each variant of derived.CODE without its first docstring; None where it has none in double quotes.
 _UNDOCUMENTED = (
     "def plus_{id}(x):\n    \n    y = x + {id}\n    return y",
@@ -489,10 +569,15 @@ _UNDOCUMENTED = (
 
 @query("SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 'Return x plus ' || doc_id || '.' || chr(10) || chr(10) || '    Any number.' WHEN doc_id % 12 IN (1, 2, 5, 6, 7, 8, 11) THEN 'Doc ' || doc_id || '.' WHEN doc_id % 12 = 10 THEN 'Doc.' END AS doc, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {derived._sql(t, 'doc_id')}" for k, t in enumerate(_UNDOCUMENTED) if t) + " END AS code FROM documents")
 def docstring_split_rows(spark, sf_dir):
-    """docstring_split over every row, with the code that is left."""
+    """Every row's first docstring and the code that is left."""
     return code(spark, sf_dir).select("doc_id", T.split_docstring(F.col("content")).alias("s")).select("doc_id", "s.doc", "s.code")
 
 
+@query(ORACLES["docstring_split_rows"])
+def docstring_split(spark, sf_dir):
+    return docstring_split_rows(spark, sf_dir)
+
+
 @query("SELECT doc_id, 'Python' AS language, 'easy' AS difficulty, 'c1|' || doc_id AS concepts FROM documents")
 def property_round_trip(spark, sf_dir):
     p = T.properties(F.concat(F.lit("category: x\nlanguage: Python\nconcepts: c1, "), F.col("doc_id").cast("string"), F.lit("\ndifficulty: easy")))
@@ -503,3 +588,104 @@ def property_round_trip(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_window_counts(spark, sf_dir):
     return resumable.event_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# Operators of the judge, evaluation and training stages.
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Python' END AS language, CASE WHEN doc_id % 4 = 0 THEN 'a|' || doc_id END AS concepts FROM documents")
+def property_json(spark, sf_dir):
+    """Properties through JSON and back; numbers for texts and a text for the list are refused."""
+    d = docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("i"))
+    good = F.struct(F.lit("c").alias("category"), F.lit("Python").alias("language"), F.array(F.lit("a"), F.col("i")).alias("concepts"), F.lit("easy").alias("difficulty"))
+    texts = F.when(F.expr("doc_id % 4 = 0"), T.property_json(good)).when(F.expr("doc_id % 4 = 1"), F.lit('{"category": "c", "language": 1, "concepts": ["a"], "difficulty": "easy"}')).when(F.expr("doc_id % 4 = 2"), F.lit('{"category": "c", "language": "Python", "concepts": "a", "difficulty": "easy"}')).otherwise("not json")
+    p = d.select("doc_id", T.property_from_json(texts).alias("p"))
+    return p.select("doc_id", F.col("p.language").alias("language"), F.array_join("p.concepts", "|").alias("concepts"))
+
+
+@query(R + " SELECT id, '[R] ' || rtrim(split_part(replace(response, '[Tests]', '### x'), '###', 1), ' ' || chr(10)) AS response FROM resp")
+def chat_response(spark, sf_dir):
+    df = responses(spark, sf_dir)
+    output = F.concat("instruction", F.replace("response", F.lit("[Tests]"), F.lit("### x")))
+    return df.select("id", T.chat_response(output, F.col("instruction"), F.lit("[R] ")).alias("response"))
+
+
+@query(R + " SELECT id // 8 AS batch, bool_and(contains(response, '[Tests]') OR contains(response, 'words')) AS stop FROM resp GROUP BY 1")
+def stop_criteria(spark, sf_dir):
+    """Whether all generations of a batch hold a stop string."""
+    df = responses(spark, sf_dir).select(F.floor(F.col("id") / 8).cast("long").alias("batch"), T.stopped(F.col("response"), "[Tests]", "words").alias("s"))
+    return df.groupBy("batch").agg(F.every("s").alias("stop"))
+
+
+@query("SELECT name, text, count(*) AS n FROM (SELECT 'mbpp_docstrings' AS name, text FROM benchmark UNION ALL SELECT 'mbpp_solutions', 'return x + ' || item_id FROM benchmark UNION ALL SELECT 'human_eval_docstrings', trim(text) FROM benchmark WHERE item_id % 3 < 2 UNION ALL SELECT 'human_eval_solutions', 'return ' || item_id FROM benchmark WHERE item_id % 4 <> 0) GROUP BY 1, 2")
+def benchmark_registry(spark, sf_dir):
+    """The four named sets; prompts without a docstring and solutions that are too generic drop out."""
+    b = bench(spark, sf_dir)
+    item = F.col("item_id").cast("string")
+    mbpp = b.select(F.col("text").alias("prompt"), F.concat(F.lit("return x + "), item).alias("code"))
+    quoted = F.when(F.expr("item_id % 3 = 0"), F.concat(F.lit('def f():\n    """'), "text", F.lit('"""'))).when(F.expr("item_id % 3 = 1"), F.concat(F.lit("def f():\n    '''"), "text", F.lit("'''"))).otherwise("def f()")
+    humaneval = b.select(quoted.alias("prompt"), F.when(F.expr("item_id % 4 = 0"), F.lit("    return x + y\n")).otherwise(F.concat(F.lit("    return "), item)).alias("canonical_solution"))
+    return decontam.standard_sets(mbpp, humaneval).groupBy("name", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source || '-' || lang || v AS name, CAST(count(*) AS BIGINT) AS n FROM benchmark, (SELECT unnest(['cpp', 'cs', 'd', 'go', 'java', 'jl', 'js', 'lua', 'php', 'pl', 'py', 'r', 'rb', 'rkt', 'rs', 'scala', 'sh', 'swift', 'ts']) AS lang) l, (VALUES ('humaneval', ''), ('humaneval', '-remove'), ('mbpp', '')) s(source, v) GROUP BY 1")
+def multi_language_sets(spark, sf_dir):
+    b = bench(spark, sf_dir).select(F.col("text").alias("prompt"))
+    return decontam.counts(decontam.multi_language(lambda name: b))
+
+
+@query(R + f", {_SFT} SELECT CAST(sum(CASE WHEN len(p) + len(r) > 20 THEN 1 ELSE 0 END) AS BIGINT) AS truncated, count(*) AS n FROM e")
+def truncated_sum(spark, sf_dir):
+    e = K.supervised(K.word_ids(F.col("instruction")), K.word_ids(F.col("response")), 20)
+    return K.truncated(responses(spark, sf_dir).select(e.alias("e")).select("e.*"))
+
+
+@query(R + f", {_SFT}, x AS (SELECT id, id // 8 AS b, list_concat(p, r)[1:20] AS i FROM e) SELECT id, array_to_string(list_concat(i, list_transform(generate_series(1, m - len(i)), lambda k: 0)), ',') AS input_ids, m AS on_places FROM (SELECT id, i, CAST(max(len(i)) OVER (PARTITION BY b) AS BIGINT) AS m FROM x)")
+def collate_all_ones(spark, sf_dir):
+    """The mask of the family that attends to padding."""
+    e = K.supervised(K.word_ids(F.col("instruction")), K.word_ids(F.col("response")), 20)
+    df = K.collate(responses(spark, sf_dir).select("id", F.floor(F.col("id") / 8).alias("b"), e.alias("e")).select("id", "b", "e.input_ids", "e.labels"), "b", 0, all_ones=True)
+    return df.select("id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").alias("input_ids"), F.size(F.filter("attention_mask", lambda m: m)).cast("long").alias("on_places"))
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format(seed=3)}, doc_id) <= 37 AS is_test FROM documents")
+def train_test_split_count(spark, sf_dir):
+    return position.split(docs(spark, sf_dir).select("doc_id"), 37, 3, "doc_id")
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS family, '{a}' || source || '{b}' || coalesce(lang, '') || '{c}' AS prompt FROM documents" for k, (a, b, c) in prompts.INFILL.items()))
+def infill_families(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [d.select("doc_id", F.lit(k).alias("family"), prompts.infill(k, F.col("source"), F.coalesce("lang", F.lit(""))).alias("prompt")) for k in prompts.INFILL])
+
+
+#: Judge examples, and the question around a docstring and code.
+_JUDGED = (("Adds.", "def add(x):\n    return x + 1", "Yes"), ("Does it.", "def go(x):\n    return x", "No"))
+
+
+def _ask_sql(doc: str, code: str) -> str:
+    return f"'Docstring:' || chr(10) || {doc} || chr(10) || chr(10) || 'Code:' || chr(10) || {code} || chr(10) || chr(10) || 'Does the docstring describe the code fully? Answer yes or no.' || chr(10) || 'Answer:'"
+
+
+#: Letters of a judge prompt beside the judged text.
+_JUDGE_ROOM = sum(len(d) + len(c) + len(a) + 1 for d, c, a in _JUDGED) + 3 * 91 + 4 - 6
+_SHOWN = [_ask_sql(derived._sql(d, "doc_id"), derived._sql(c, "doc_id")) + f" || ' {a}'" for d, c, a in _JUDGED]
+
+
+@query(f"""WITH d AS ({ORACLES['docstring_split_rows']}), c AS (SELECT doc_id, {derived.CODE_SQL} AS content FROM documents),
+    p AS (SELECT doc_id, content, CASE WHEN CAST('0x' || md5('5|' || doc_id || '|judge|0')[1:13] AS BIGINT) < CAST('0x' || md5('5|' || doc_id || '|judge|1')[1:13] AS BIGINT) THEN {_SHOWN[0]} || chr(10) || chr(10) || {_SHOWN[1]} ELSE {_SHOWN[1]} || chr(10) || chr(10) || {_SHOWN[0]} END
+          || chr(10) || chr(10) || {_ask_sql('doc', 'code')} AS prompt FROM d JOIN c USING (doc_id))
+    SELECT doc_id FROM p WHERE md5(prompt)[1:1] < '8' AND length(content) < 300""")
+def judge_stage(spark, sf_dir):
+    """Rows that the stand-in judge says yes to; a text's letters stand for its tokens here."""
+    from .backends.services import Batched
+
+    return stages.judged(code(spark, sf_dir), list(_JUDGED), Batched(), F.length, _JUDGE_ROOM + 299, 5, "content", "doc_id").select("doc_id")
+
+
+@query(C + " SELECT doc_id, CASE WHEN doc_id % 12 = 6 THEN content ELSE 'import math' || chr(10) || chr(10) || content END AS content FROM (SELECT doc_id, CASE WHEN doc_id % 12 = 6 THEN content ELSE 'x = math.pi' END AS content FROM code)")
+def import_fixes(spark, sf_dir):
+    from .backends.services import ImportFixer
+
+    rows = code(spark, sf_dir).withColumn("content", F.when(F.expr("doc_id % 12 = 6"), F.col("content")).otherwise("x = math.pi"))
+    return ImportFixer().apply(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seedmill.backends import services
 from seedmill.functions import prompts, syntax
+from seedmill.functions import text as T
 from seedmill.functions import tokens as K
 from seedmill.operators import decontam, dedup, joins, position, sanitize
 from seedmill.operators.graph import components
@@ -75,7 +76,54 @@ def test_decontaminate_in_blocks(spark):
     bench = spark.createDataFrame([("hello",), ("",), ("nothing",)], "text string")
     for size in (1 << 20, 6):
         assert sorted(r.id for r in decontam.decontaminate(rows, bench, block_bytes=size).collect()) == [2, 3]
-    assert "LeftAnti" in decontam.decontaminate(rows, bench)._jdf.queryExecution().toString()
+    plan = decontam.decontaminate(rows, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Scan") == 1
+
+
+def test_strings_held_by_texts(spark):
+    """Every string that a text holds, against plain search; strings that share heads, overlap or lie inside of others."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("aé b\n") for _ in range(n))
+    texts = [make(rng.randint(0, 150)) for _ in range(60)]
+    strings = sorted({t[a : a + rng.randint(1, 90)] for t in texts for a in (0, 3) if t[a:]} | {make(5) for _ in range(20)})
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, content string")
+    bench = spark.createDataFrame([(s, k) for k, s in enumerate([*strings, ""])], "text string, item long")
+    for size in (1 << 20, 500):
+        got = {(r.id, r.bench_item) for r in decontam.contaminated_pairs(rows, bench, block_bytes=size).collect()}
+        assert got == {(k, i) for k, t in enumerate(texts) for i, s in enumerate(strings) if s in t}
+        left = {r.id for r in decontam.decontaminate(rows, bench, block_bytes=size).collect()}
+        assert left == {99} | {k for k, t in enumerate(texts) if not any(s in t for s in strings)}
+
+
+def test_near_dedup_recall(spark):
+    """At the threshold of 0.5: classes against the exact join; a large group of near copies makes few pairs."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows, k = [], 0
+    for _ in range(60):
+        base = rng.choices(words, k=60)
+        for _ in range(rng.randint(1, 5)):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randrange(60)] = rng.choice(words)
+            rows.append((k, " ".join(t)))
+            k += 1
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    exact = dedup.similar_pairs(df, "text", "id", 0.5, 5)
+    least = {t: i for i, t in reversed(rows)}
+    plain = {i: {" ".join(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t, i in least.items()}
+    want = {(a, b) for a in plain for b in plain if a < b and len(plain[a] & plain[b]) >= 0.5 * len(plain[a] | plain[b])}
+    assert {(r.a, r.b) for r in exact.collect()} == want and len(want) > 50
+    got = {r.id: r.component for r in dedup.near(df, "text", "id", 0.5).collect()}
+    linked = sum(got[a] == got[b] for a, b in want)
+    assert linked / len(want) >= 0.95
+    assert all(got[i] == got[least[t]] for i, t in rows)
+    roots = {r.node: r.root for r in components(exact.select("a", "b")).collect()}
+    assert all(roots.get(i, i) == roots.get(got[i], got[i]) for i in plain)
+    assert dedup.banding(0.8)[1] > dedup.banding(0.5)[1] >= 2
+    group = spark.createDataFrame([(k, " ".join([*words[:200], f"end{k}"])) for k in range(300)], "id long, text string")
+    held = dedup.banded(dedup.signatures(group, "text", "id"), "id", 8, 4)
+    assert dedup.candidates(held).count() < 300 * 8 and {r.component for r in dedup.near(group, "text", "id").collect()} == {0}
 
 
 def test_parse_is_done_once(spark):
@@ -166,8 +214,12 @@ def test_files(spark, tmp_path):
     assert joins.common_keys(lines) == ["a", "b"]
     assert files.read_jsonl(spark, str(tmp_path / "j"), "a long, b string").count() == 2
     (tmp_path / "blank.json").write_text('{"a": 1}\n\n{"a": 2}\n')
-    with pytest.raises(ValueError):
-        files.read_jsonl(spark, str(tmp_path / "blank.json"), "a long")
+    with pytest.raises(Exception, match="blank line"):
+        files.read_jsonl(spark, str(tmp_path / "blank.json"), "a long").count()
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": \n')
+    for strict in (True, False):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            files.read_jsonl(spark, str(tmp_path / "bad.json"), "a long", strict).collect()
     assert files.read_jsonl(spark, str(tmp_path / "blank.json"), "a long", strict=False).count() == 2
     assert [r.pos for r in files.read_jsonl_with_pos(spark, str(tmp_path / "j"), "a long").orderBy("pos").collect()] == [0, 1]
 
@@ -204,3 +256,93 @@ def test_assertion_block_draws_one_to_five_lines(spark):
         assert (got[i].text, got[i].term) == ("\n".join(lines[j] for j in order[:k]), "assertions" if k > 1 else "assertion")
         seen.add(k)
     assert seen == {1, 2, 3, 4, 5} and (got[90].text, got[90].term) == (rows[-1][1], "test case")
+
+
+def test_tests_are_cut_at_the_last_fence(spark):
+    """Against plain string rules: prose after the tests goes, and does not count as an assertion; a slash ends the tests."""
+    head = "[Reasoning]\nr\n[Implementation]\n```python\nx = 1\n```\n[Explanation]\ne\n[Tests]\n"
+    tests = ["```python\nassert x\n```\n\nThese tests cover it.", "```python\nprint(x)\n```\nWe assert nothing.", "Note: assert\n```python\nprint(x)\n```", "```python\nassert x\n\t/no\n/ cut\n```", "/ first\n```python\nassert x\n```", "```python\r\nassert x\r\n/ cut\r\n```", "```python\ndef f():\n    assert x\n```"]
+    df = spark.createDataFrame([(k, "do", head + t) for k, t in enumerate(tests)], "id long, instruction string, response string")
+    got = {r.id: r.response for r in sanitize.sanitize(df).collect()}
+    want = {}
+    for k, t in enumerate(tests):
+        block = t[t.index("```python") + 9 : t.rindex("```")].strip()
+        cut = t[: t.rindex("```") + 3]
+        at = next((i for i, x in enumerate(cut.splitlines()) if x.startswith("/")), None)
+        cut = cut if at is None else "".join(cut.splitlines(keepends=True)[:at]).strip()
+        if "assert" in cut and not all(x.startswith(("def", "class", "import", "from")) for x in block.splitlines() if x and x[0].isalpha()):
+            want[k] = "\n\n".join(["r", "```python\nx = 1\n```", "e", cut])
+    assert got == want and set(want) == {0, 2, 3, 5}
+
+
+def test_tokenizer_backend(spark):
+    """Ids, frames and padding by a real vocabulary, against the library; text through ids and back."""
+    import public_tokenizers
+
+    t = K.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), eos="<|endoftext|>")
+    library = t.load()
+    rows = spark.createDataFrame([("add one", "def f(x): return x + 1"), ("é 日本", ""), (None, "x")], "instruction string, response string")
+    ids = rows.select("response", t.encode(F.col("response")).alias("i"), t.decode(t.encode(F.col("response"))).alias("back")).collect()
+    assert all(list(r.i) == library.encode(r.response).ids and r.back == r.response for r in ids)
+    got = stages.training(rows.filter("instruction is not null"), 64, tokenizer=t).collect()
+    for r, (a, b) in zip(got, [("add one", "def f(x): return x + 1"), ("é 日本", "")], strict=True):
+        p = library.encode(f"{prompts.SYSTEM}\n\n### Instruction\n{a}\n\n### Response\n").ids
+        full = p + library.encode(b).ids + [50256]
+        assert (r.input_ids, r.labels, r.exceeding_length) == (full[:64], ([-100] * len(p) + full[len(p) :])[:64], len(full) > 64)
+    assert t.pad_id == 50256 and K.Tokenizer(t.path).pad_id is None
+    assert K.truncated(stages.training(rows, 4, tokenizer=t)).first().n == 3
+
+
+def test_judge_skips_long_rows(spark):
+    """Rows over the token cap are asked about the dummy and left out, whatever the answer; so are rows that hold the dummy."""
+
+    def yes(texts, sampling):
+        assert len(texts) <= 2 and sampling.temperature == 0 and sampling.max_tokens == 5
+        return ["yes"] * len(texts)
+
+    doc = 'def f(x):\n    """Doc."""\n    return x'
+    rows = spark.createDataFrame([(0, doc), (1, doc + "\n# " + "x" * 500), (2, prompts.DUMMY), (3, "no docstring"), (4, None)], "id long, content string")
+    got = stages.judged(rows, [("D.", "c", "Yes")], services.Batched(yes, batch=2), F.length, 500)
+    assert [r.id for r in got.collect()] == [0] and got.columns == rows.columns
+
+
+def test_import_fixer_gives_up_in_time(spark):
+    def hangs(code):
+        while True:
+            pass
+
+    assert services.ImportFixer(hangs, 0.2)._one("x = 1") == "x = 1" and services.ImportFixer()._one(None) is None
+    typed = stages.typed(spark.createDataFrame([(0, "def f(x):\n    return math.sqrt(x)")], "id long, content string"))
+    assert typed.first().content.startswith("import math\n")
+
+
+def test_resuming_is_guarded(spark, tmp_path):
+    out = str(tmp_path / "out")
+    resumable.guard(spark, out, "abc12", 5)
+    resumable.guard(spark, out, "abc12", 5)
+    resumable.guard(spark, out, "other", 5, ignore_fingerprint=True)
+    for fingerprint, start in (("other", 5), ("abc12", 6)):
+        with pytest.raises(ValueError):
+            resumable.guard(spark, out, fingerprint, start)
+    files.write_chunk(spark.range(2), out, 0)
+    assert spark.read.json(out).count() == 2
+
+
+def test_small_helpers(spark, tmp_path):
+    template = prompts.inferred_template(lambda turns: "<s>" + "".join(f"[{r}]{t}[/]" for r, t in turns))
+    assert template == "<s>[user]{instruction}[/][assistant]{response}"
+    row = spark.createDataFrame([("2024-05-06 07:08:09",)], "t string").select(T.timestamp(F.col("t").cast("timestamp")).alias("v")).first()
+    assert row.v == "20240506_070809"
+    files.write_after_cached(spark.range(2), spark.range(5, 7), str(tmp_path / "r"))
+    files.write_after_cached(spark.range(1), spark.range(5, 6), str(tmp_path / "r"))
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "r")).collect()) == [0, 5]
+
+
+def test_saved_tables_are_released(spark):
+    from seedmill.operators import saved
+
+    before = set(saved._OPEN)
+    with pytest.raises(RuntimeError), saved.released():
+        assert saved.saved(spark.range(3)).count() == 3 and len(saved._OPEN) == len(before) + 1
+        raise RuntimeError
+    assert set(saved._OPEN) == before
