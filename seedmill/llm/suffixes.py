@@ -15,8 +15,8 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere els
    longer key, until no more than HOT contexts share a key; they are sorted like the others. Halves that only one context
    has are dropped, and of contexts equal in a whole half one stays; so what is still hot when nothing is left to halve is one window.
 
-Equal contexts are told by two hashes of 64 bits, of the gram and of the context. A hash that differs proves a difference, so all
-that hashes drop is dropped rightly.
+Equal contexts are told by two hashes, 64 bits of the gram and 128 of the context: of a hot gram's contexts there may be more than
+64 bits tell apart. A hash that differs proves a difference, so all that hashes drop is dropped rightly.
 
 Scale: the large shuffles are of anchors (about 1/100 of the bytes in number), counted by partial aggregates, and of
 the texts, twice, for joins by doc_id that Spark splits where they are skewed.
@@ -28,7 +28,7 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
 from functools import cache, reduce
 
@@ -208,7 +208,7 @@ def anchors(pieces: list[tuple[bytes, int, int]], length: int) -> tuple[np.ndarr
     return of, pick - begin[of], h[pick].view(np.int64)
 
 
-ANCHOR = "g long, c long, doc_id long, nk long, pos int"
+ANCHOR = "g long, c long, d long, doc_id long, nk long, pos int"
 
 
 def _anchor_rows(length: int):
@@ -223,12 +223,12 @@ def _anchor_rows(length: int):
             done[0] = base + p
             raw = pieces[k][0]
             left, right = min(p, reach), min(len(raw) - p, length)
-            c = xxhash.xxh3_64_intdigest(raw[p - left : p + right], seed=left)
-            for to, v in zip(out, (h, c - (1 << 64) if c >> 63 else c, doc, nk, base + p), strict=True):
+            c, d = struct.unpack("<qq", xxhash.xxh3_128_digest(raw[p - left : p + right], seed=left))
+            for to, v in zip(out, (h, c, d, doc, nk, base + p), strict=True):
                 to.append(v)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(6)]
         pieces, meta, held = [], [], 0
         for doc, nk, raw in zip(column(batch, "doc_id").to_pylist(), column(batch, "nk").to_pylist(), text_bytes(batch), strict=True):
             done = [-1]
@@ -244,7 +244,7 @@ def _anchor_rows(length: int):
                     pieces, meta, held = [], [], 0
         if pieces:
             flush(pieces, meta, out)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], [x.split()[0] for x in ANCHOR.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (*(pa.int64(),) * 5, pa.int32()), strict=True)], [x.split()[0] for x in ANCHOR.split(", ")])
 
     return map_rows(run)
 
@@ -383,8 +383,8 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, sort_bytes:
     shared = scratch.table(all_anchors.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "shared")
     met = scratch.table(all_anchors.join(shared, "g"), "met")
     scratch.drop("anchors", "shared")
-    contexts = scratch.table(met.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "nk", "pos")).alias("at")), "contexts")
-    twice = met.join(contexts.filter("n > 1").select("g", "c"), ["g", "c"]).select("doc_id", "nk", F.greatest(F.lit(0), F.col("pos") - reach).cast("int").alias("first"), (F.col("pos") + length).cast("int").alias("last"))
+    contexts = scratch.table(met.groupBy("g", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "nk", "pos")).alias("at")), "contexts")
+    twice = met.join(contexts.filter("n > 1").select("g", "c", "d"), ["g", "c", "d"]).select("doc_id", "nk", F.greatest(F.lit(0), F.col("pos") - reach).cast("int").alias("first"), (F.col("pos") + length).cast("int").alias("last"))
     # Grams with several contexts, one of them met only once: the edges of repeats.
     edges = scratch.table(contexts.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m"), "edges")
     wanted = contexts.join(edges, "g").select("at.doc_id", "at.nk", F.struct("g", "m", "n", "at.pos").alias("w")).groupBy("doc_id", "nk").agg(F.collect_list("w").alias("wanted"))
