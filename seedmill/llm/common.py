@@ -129,3 +129,23 @@ def map_rows(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
                 yield out
 
     return run
+
+
+def map_shards(fn: Callable[[pa.RecordBatch], pa.RecordBatch], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: fn over the batches of a task, joined until they hold size bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.nbytes
+            if n >= size:
+                yield fn(pa.concat_batches(held))
+                held, n = [], 0
+        if held:
+            yield fn(pa.concat_batches(held))
+
+    return run

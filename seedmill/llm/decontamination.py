@@ -1,6 +1,6 @@
 """Operator 4: benchmark decontamination by an FM-index for each shard of documents.
 
-A shard (an Arrow batch of documents) becomes one sequence of word ids. Its FM-index (suffix array, Burrows-Wheeler
+A shard (a task's documents, in pieces of some ``SHARD_BYTES``) becomes one sequence of word ids. Its FM-index (suffix array, Burrows-Wheeler
 transform, wavelet matrix, sampled suffix positions) answers all windows of the benchmark at once by backward
 search; occurrences are located by walking to sampled positions, and overlapping ones merge into removal spans.
 
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, id_text, map_rows, text_bytes
+from .common import column, id_text, map_shards, text_bytes
 from .words import Pairs, flat_ids, runs, word_offsets, words
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: Documents of a task that share an index. The whole benchmark is searched once for each shard, so small ones cost more.
+SHARD_BYTES = 32 << 20
 SAMPLE = 8
 SPAN = pa.struct([("first", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -178,7 +180,7 @@ class Windows:
 FOUND = {"n_words": "bigint", "items": "array<string>", "spans": "array<struct<first:bigint,words:bigint,start:bigint,end:bigint>>"}
 
 
-def search(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+def search(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """rows with n_words, items (sorted ids of items found) and spans to remove (words and bytes), named with prefix."""
     spark = rows.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
@@ -190,13 +192,13 @@ def search(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()], window))
-        out = out.mapInArrow(map_rows(_searcher(held, text_col, prefix)), schema)
+        out = out.mapInArrow(map_shards(_searcher(held, text_col, prefix), shard_bytes), schema)
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: doc_id, text, n_words, items and spans."""
-    return search(id_text(docs, id_col, text_col), benchmark, window, "text", item_col, item_text_col, block_bytes)
+    return search(id_text(docs, id_col, text_col), benchmark, window, "text", item_col, item_text_col, block_bytes, shard_bytes=shard_bytes)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seedmill.llm import decontamination, exact, langid, licenses, lines, packing, simhash, suffixes, token_files, tokens, toxicity
-from seedmill.llm.common import Scratch
+from seedmill.llm.common import Scratch, map_shards
 from seedmill.llm.components import components
 from seedmill.llm.tokens import encoder
 
@@ -218,8 +218,13 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(WORD, (t or "").translate(LOWER))
-    for window, size in ((10, 1 << 20), (4, 60)):
-        got = {r.doc_id: r for r in decontamination.find(docs, bench, window, block_bytes=size).collect()}
+    for window, size, shard in ((10, 1 << 20, 1 << 20), (4, 60, 300)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        try:
+            got = {r.doc_id: r for r in decontamination.find(docs, bench, window, block_bytes=size, shard_bytes=shard).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(texts)
         for k, t in enumerate(texts):
             w, hit, found = words(t), set(), set()
             for i, x in items:
@@ -238,6 +243,13 @@ def test_decontamination(spark):
     assert decontamination.clean(docs, bench).columns == docs.columns
 
 
+def test_map_shards():
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(range(a, a + n), pa.int64())}) for a, n in ((0, 3), (3, 0), (3, 5), (8, 1), (9, 2))]
+    got = [b.column(0).to_pylist() for b in map_shards(lambda b: b, 40)(iter(batches))]
+    assert got == [[0, 1, 2, 3, 4, 5, 6, 7], [8, 9, 10]]
+    assert list(map_shards(lambda b: b, 40)(iter(batches[1:2]))) == []
+
+
 def test_windows_stay_small():
     """A block's arrays stay within a small multiple of its bytes, on the driver and when sent."""
     import pickle
