@@ -17,11 +17,14 @@ import tempfile
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.scopes import facts
+
 
 @dataclass(frozen=True)
 class Retry:
@@ -254,7 +257,7 @@ def parse_report(text: str) -> dict[str, int]:
 
 @dataclass(frozen=True)
 class Checker:
-    """Type checks in batches; the stand-in counts one error for code that doesn't parse."""
+    """Type checks in batches; this one counts one error for code that doesn't parse."""
 
     batch: int = 250
 
@@ -282,3 +285,44 @@ class Checker:
                     yield pd.DataFrame({digest: part[digest], "errors": pd.array(errors, "Int64"), "status": status})
 
         return rows.select(code, digest).mapInPandas(run, f"{digest} string, errors long, status string")
+
+
+@dataclass(frozen=True)
+class ScopeChecker(Checker):
+    """Counts names that nothing binds and calls that don't fit a function of the same text."""
+
+    def check(self, codes: list[str]) -> list[int]:
+        return [len(facts(code)["problems"]) for code in codes]
+
+
+@dataclass(frozen=True)
+class ProcessChecker(Checker):
+    """A checker that is a program: a batch's texts become files of a folder, their names its arguments, its output the report.
+
+    A batch that takes longer than ``seconds`` is killed with all its children and has null errors; so has one whose program
+    can't be run. Files that the report doesn't name have no errors.
+    """
+
+    command: tuple[str, ...] = ()
+    seconds: float = 120.0
+
+    def check(self, codes: list[str]) -> list[int]:
+        names = [f"{hashlib.sha1(c.encode('utf-8', 'surrogatepass')).hexdigest()}.py" for c in codes]
+        with tempfile.TemporaryDirectory() as folder:
+            for name, code in dict(zip(names, codes, strict=True)).items():
+                with open(os.path.join(folder, name), "w", encoding="utf-8", errors="surrogatepass", newline="") as f:
+                    f.write(code)
+            # The stand-in is a module of this package, wherever executors have it.
+            root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+            command = self.command or (sys.executable, "-m", "seedmill.backends.name_check")
+            child = subprocess.Popen([*command, *dict.fromkeys(names)], cwd=folder, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, start_new_session=True, env=os.environ | {"PYTHONPATH": os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])})
+            try:
+                said = child.communicate(timeout=self.seconds)[0]
+            except subprocess.TimeoutExpired:
+                raise TimeoutError(f"the check took over {self.seconds:g} s") from None
+            finally:
+                with suppress(ProcessLookupError):
+                    os.killpg(child.pid, signal.SIGKILL)
+                child.wait()
+        errors = {os.path.basename(path): n for path, n in parse_report(said).items()}
+        return [errors.get(name, 0) for name in names]

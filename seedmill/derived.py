@@ -27,6 +27,24 @@ CODE = (
     f"@cache\ndef outer_{{id}}(x):\n    {Q3}Doc {{id}}.{Q3}\n    def inner(y):\n        return y\n    return inner(x)\n\nasync def second_{{id}}(x):\n    {Q3}More.{Q3}\n    return x",
 )
 
+#: Modules by doc_id % 14, for what depends on places and scopes: imports, unbound names, misfit calls, line ends of all kinds.
+MODULES = (
+    f"import math\n\ndef area_{{id}}(r):\n    {Q3}Area.{Q3}\n    return math.pi * r",
+    "from collections import Counter\n\ndef count_{id}(xs):\n    return Counter(xs)",
+    "def shift_{id}(x):\n    return x + offset_{id}",
+    "def pair_{id}(a, b):\n    return a + b\n\nprint(pair_{id}(1))",
+    "def tally_{id}(xs):\n    return Counter(xs)",
+    f"def root_{{id}}(x):\n    {Q3}Root.{Q3}\n    return math.sqrt(x)",
+    f"X = {{id}}\n\x0c\ndef feed_{{id}}(x):\n    {Q3}Feed.{Q3}\n    return x\n\x0c\ndef next_{{id}}(x):\n    {Q3}Next.{Q3}\n    return x\n",
+    f"import os\r\n\r\ndef crlf_{{id}}(x):\r\n    {Q3}Doc.{Q3}\r\n    return os.sep + x\r\n",
+    f"LINE = 'a\u2028b'\ndef wide_{{id}}(x):\n    {Q3}Doc é\x0b{{id}}.{Q3}\n    return LINE + x",
+    f"def cr_{{id}}(x):\r    {Q3}Doc.{Q3}\r    return x\r\rdef cs_{{id}}(x):\r    {Q3}Doc.{Q3}\r    return cr_{{id}}(x, x)",
+    "from __future__ import annotations\n\ndef late_{id}(x):\n    return math.floor(Counter(x))",
+    "def broken_{id}(:\n",
+    "from typing import Counter\n\ndef typed_{id}(xs):\n    return Counter(xs)",
+    "from collections import Counter, deque\n\ndef both_{id}(xs):\n    return deque(Counter(xs))",
+)
+
 #: Responses by doc_id % 13.
 _GOOD = "[Reasoning]\nThink {id}.\n\n[Implementation]\n{f}python\n# add\ndef f(x):\n    # one\n    return x + {id}\n{f}\n\n[Explanation]\nIt adds {id}.\n\n[Tests]\n"
 RESPONSES = (
@@ -48,7 +66,7 @@ RESPONSES = (
 
 def _sql(template: str, key: str) -> str:
     """A template as a concatenation of plain literals."""
-    holes = {"{id}": f"CAST({key} AS STRING)", "{many}": "repeat('    x = x' || chr(10), 150)", "{pad}": f"repeat(' ', CAST({key} % 5 AS INT))", "\n": "chr(10)", "'": "chr(39)"}
+    holes = {"{id}": f"CAST({key} AS STRING)", "{many}": "repeat('    x = x' || chr(10), 150)", "{pad}": f"repeat(' ', CAST({key} % 5 AS INT))", "\n": "chr(10)", "\r": "chr(13)", "'": "chr(39)"}
     parts, at, plain = [], 0, ""
     while at < len(template):
         for hole, sql in holes.items():
@@ -71,11 +89,13 @@ def case(templates: dict[int, str] | tuple[str, ...], key: str = "doc_id", n: in
 
 
 CODE_SQL = case(CODE)
+MODULE_SQL = case(MODULES)
 RESPONSE_SQL = case(RESPONSES)
 INSTRUCTION_SQL = "'Write item ' || CAST(doc_id % 97 AS STRING) || CASE WHEN doc_id % 4 = 0 THEN ' with a test' ELSE '' END"
 
 #: Common table expressions for DuckDB.
 CODE_CTE = f"code AS (SELECT doc_id, {CODE_SQL} AS content FROM documents)"
+MODULE_CTE = f"modules AS (SELECT doc_id, {MODULE_SQL} AS content FROM documents)"
 RESPONSE_CTE = f"resp AS (SELECT doc_id AS id, {INSTRUCTION_SQL} AS instruction, {RESPONSE_SQL} AS response FROM documents)"
 
 
@@ -88,5 +108,9 @@ def code(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", _once(CODE_SQL).alias("content"))
 
 
+def modules(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", _once(MODULE_SQL).alias("content"))
+
+
 def responses(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.expr(INSTRUCTION_SQL).alias("instruction"), _once(RESPONSE_SQL).alias("response"))

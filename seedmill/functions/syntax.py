@@ -3,17 +3,44 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 # Types as objects: UDFs are made at import, when there may be no session to read a type's text.
 FEATURES = StructType([StructField(n, BooleanType()) for n in ("parses", "has_return", "first_statement_is_expr", "first_is_string")] + [StructField(n, StringType()) for n in ("first_text", "first_function", "function_names")])
 
 
+#: Where the parser ends a line; form feeds and Unicode's separators are none.
+LINE_END = re.compile(rb"\r\n|\n|\r")
+#: One string in triple double quotes that holds something.
+DOCSTRING = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))+"""', re.S)
+
+FUNCTION = StructType([StructField("position", IntegerType()), StructField("name", StringType()), StructField("first_byte", LongType()), StructField("last_byte", LongType()), StructField("content", StringType())])
+
+
+class Source:
+    """A text as UTF-8 with the byte at which each line starts, so that the parser's positions become byte offsets."""
+
+    def __init__(self, code: str):
+        self.raw = code.encode("utf-8", "surrogatepass")
+        ends = list(LINE_END.finditer(self.raw))
+        self.starts = [0, *(m.end() for m in ends)]
+        #: Where each line's text ends, without its line end.
+        self.stops = [*(m.start() for m in ends), len(self.raw)]
+
+    def between(self, a: int, b: int) -> str:
+        return self.raw[a:b].decode("utf-8", "surrogatepass")
+
+    def segment(self, node: ast.AST) -> str:
+        return self.between(self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset)
+
+
 def parse(code: str | None) -> ast.Module | None:
     """The tree, or null for text that doesn't compile (or null)."""
     if code is None:
@@ -38,10 +65,6 @@ def _function_names(tree: ast.Module) -> list[str]:
     return found
 
 
-def _segment(code: str, node: ast.AST) -> str:
-    return ast.get_source_segment(code, node) or ""
-
-
 def features(code: str | None) -> dict:
     out: dict = {"parses": False, "has_return": False, "first_statement_is_expr": None, "first_is_string": None, "first_text": None, "first_function": None, "function_names": None}
     tree = parse(code)
@@ -53,7 +76,7 @@ def features(code: str | None) -> dict:
         first = min(functions, key=lambda f: (f.lineno, f.col_offset))
         body = first.body[0]
         is_expr = isinstance(body, ast.Expr)
-        out |= {"first_function": first.name, "first_statement_is_expr": is_expr, "first_is_string": is_expr and isinstance(body.value, ast.Constant) and isinstance(body.value.value, str), "first_text": _segment(code, body.value if is_expr else body)}
+        out |= {"first_function": first.name, "first_statement_is_expr": is_expr, "first_is_string": is_expr and isinstance(body.value, ast.Constant) and isinstance(body.value.value, str), "first_text": Source(code).segment(body.value if is_expr else body)}
     return out
 
 
@@ -72,24 +95,60 @@ def _compiles(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda b: [parse(x) is not None for x in b] if b is not None else None)
 
 
-def documented_functions(code: str | None) -> list[str]:
-    """Source of the top-level functions whose body begins with a plain triple-double-quoted string that isn't empty."""
+def located_functions(code: str | None) -> Iterator[tuple[int, str, int, int, str]]:
+    """FUNCTION of each top-level function whose body begins with one plain triple-double-quoted string that isn't empty.
+
+    A function's text goes from its ``def`` (decorators lie before it) to the end of its last line.
+    """
     tree = parse(code)
     if tree is None:
-        return []
-    lines = code.splitlines(keepends=True)
-    out = []
+        return
+    source, n = Source(code), 0
     for node in tree.body:
         if not isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef) or not isinstance(node.body[0], ast.Expr):
             continue
-        value = node.body[0].value
-        if not (isinstance(value, ast.Constant) and isinstance(value.value, str)):
-            continue
-        text = _segment(code, value)
-        # Decorators lie before node.lineno and are left out.
-        if text.startswith('"""') and text.endswith('"""') and len(text) > 6:
-            out.append("".join(lines[node.lineno - 1 : node.end_lineno]).rstrip("\r\n"))
-    return out
+        first, value = node.body[0], node.body[0].value
+        bare = isinstance(value, ast.Constant) and isinstance(value.value, str) and (first.lineno, first.col_offset) == (value.lineno, value.col_offset)
+        if bare and DOCSTRING.fullmatch(source.segment(value)):
+            a, b = source.starts[node.lineno - 1] + node.col_offset, source.stops[node.end_lineno - 1]
+            yield n, node.name, a, b, source.between(a, b)
+            n += 1
+
+
+def documented_functions(code: str | None) -> list[str]:
+    """The texts of located_functions."""
+    return [content for *_, content in located_functions(code)]
+
+
+def without_imports(code: str | None) -> str | None:
+    """The text without the lines of its top-level import statements (but those of __future__); null where it doesn't parse."""
+    tree = parse(code)
+    if tree is None:
+        return None
+    source = Source(code)
+    gone = [n for n in tree.body if isinstance(n, ast.Import) or isinstance(n, ast.ImportFrom) and n.module != "__future__"]
+    edges = [*source.starts, len(source.raw)]
+    out, at = [], 0
+    for n in gone:
+        out.append(source.between(at, edges[n.lineno - 1]))
+        at = max(at, edges[n.end_lineno])
+    return "".join([*out, source.between(at, len(source.raw))])
+
+
+@F.udtf(returnType=FUNCTION, useArrow=True)
+class _Located:
+    """One row for each documented function of a text."""
+
+    def eval(self, code: str):
+        yield from located_functions(code)
+
+
+def functions_of(files: DataFrame, content: str = "content") -> DataFrame:
+    """files without their text, one row for each documented function: its position, name, byte offsets and text."""
+    # The generated text takes the place of the file's.
+    rest = [F.col(c) for c in files.columns if c != content]
+    source = files.select(*rest, F.col(content).alias("_file"))
+    return source.lateralJoin(_Located(F.col("_file").outer())).drop("_file")
 
 
 def code_features(code: Column) -> Column:

@@ -21,8 +21,9 @@ def split_cached(rows: DataFrame, cache: DataFrame, key: str = "code") -> tuple[
 
 
 def with_verdicts(rows: DataFrame, verdicts: DataFrame, digest: str = "sha1") -> DataFrame:
-    """Rows without errors in the verdicts (digest, errors); rows that no verdict names stay."""
-    return rows.join(verdicts.select(digest, "errors"), digest, "left").filter(F.coalesce("errors", F.lit(0)) == 0).drop("errors")
+    """Rows without errors in the verdicts (digest, errors); rows that no verdict names stay, those of a failed batch (null errors) go."""
+    said = verdicts.select(digest, F.coalesce("errors", F.lit(1)).alias("_errors"))
+    return rows.join(said, digest, "left").filter(F.coalesce("_errors", F.lit(0)) == 0).drop("_errors")
 
 
 def samples(problems: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import filters
+from .counted import Report, keep
 from .position import choose_some, draw, share
 
 
@@ -44,14 +45,15 @@ def assertion_block(tests_block: Column, seed: int, *key: Column) -> Column:
     return F.struct(F.when(only, F.array_join(some, "\n")).otherwise(tests_block).alias("text"), F.when(only, term).otherwise("test case").alias("term"))
 
 
-def sanitize(rows: DataFrame, flags: Flags = Flags(), id_col: str = "id") -> DataFrame:
-    """Rows that pass all checks, with instruction and response rewritten in place; other columns stay."""
+def sanitize(rows: DataFrame, flags: Flags = Flags(), id_col: str = "id", report: Report | None = None) -> DataFrame:
+    """Rows that pass all checks, with instruction and response rewritten in place; other columns stay. A report counts what each check drops."""
     seed, key = flags.seed, F.col(id_col)
     kept = rows.columns
-    df = rows.filter(filters.sections_in_order(F.col("response"))).withColumn("_s", filters.sections(F.col("response")))
+    drop = lambda df, reason, passes: keep(df, report, "sanitize", reason, passes)
+    df = drop(rows, "sections", filters.sections_in_order(F.col("response"))).withColumn("_s", filters.sections(F.col("response")))
     df = df.withColumns({"_impl": T.fenced_blocks(F.col("_s.implementation"), "python"), "_tests": T.fenced_blocks(F.col("_s.tests"), "python")})
-    df = df.filter((F.size("_impl") > 0) & filters.has_one_test_block(F.col("_s.tests")))
-    df = df.withColumn("_t", filters.cut_tests(F.col("_s.tests"))).filter(filters.meaningful_tests(F.col("_t"), F.element_at("_tests", 1)))
+    df = drop(df, "blocks", (F.size("_impl") > 0) & filters.has_one_test_block(F.col("_s.tests")))
+    df = drop(df.withColumn("_t", filters.cut_tests(F.col("_s.tests"))), "tests", filters.meaningful_tests(F.col("_t"), F.element_at("_tests", 1)))
     implementation = F.concat(F.lit(f"{T.FENCE}python\n"), F.array_join("_impl", "\n\n"), F.lit(f"\n{T.FENCE}")) if flags.code_only else F.col("_s.implementation")
     asks_tests = F.contains(F.lower("instruction"), F.lit("test"))
     if flags.smart:
@@ -59,7 +61,7 @@ def sanitize(rows: DataFrame, flags: Flags = Flags(), id_col: str = "id") -> Dat
     else:
         drop_tests, drop_expl, drop_reason = F.lit(flags.no_tests), F.lit(flags.no_explanation), F.lit(flags.no_reasoning)
     if flags.no_incomplete or flags.smart:
-        df = df.filter(filters.is_complete(F.col("response")))
+        df = drop(df, "incomplete", filters.is_complete(F.col("response")))
     named = lambda tag, c: F.concat(F.lit(f"{tag}\n"), c) if flags.raw else c
     parts = [F.when(~drop_reason, named("[Reasoning]", F.col("_s.reasoning"))), named("[Implementation]", implementation), F.when(~drop_expl, named("[Explanation]", F.col("_s.explanation"))), F.when(~drop_tests, named("[Tests]", F.col("_t")))]
     response = F.array_join(F.array_compact(F.array(*parts)), "\n\n")

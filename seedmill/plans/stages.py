@@ -7,25 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..backends.services import Batched, Checker, Completions, Executor, ImportFixer
+from ..backends.services import Batched, Checker, Completions, Executor, ImportFixer, ProcessChecker
 from ..functions import prompts, syntax
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import decontam, dedup, filters, joins, position
+from ..operators import decontam, dedup, filters, imports, joins, position
+from ..operators.counted import Report, keep
 from ..operators.saved import saved
 
 
 def extract(files: DataFrame, content: str = "content") -> DataFrame:
     """Distinct documented top-level functions with ids in the order of their digests."""
-    found = files.select(F.explode(syntax.extract_functions(F.col(content))).alias("content"))
+    found = syntax.functions_of(files.select(content), content).select("content")
     once = saved(found.dropDuplicates(["content"]).withColumn("sha1", F.sha1("content")))
     return position.with_pos(once, "sha1", "content", name="id").select("content", "id")
 
 
-def typed(functions: DataFrame, checker: Checker = Checker(), fixer: ImportFixer | None = ImportFixer()) -> DataFrame:
-    """Functions that return a value and type-check once missing imports are added, with their digest."""
+def typed(functions: DataFrame, checker: Checker = ProcessChecker(), fixer: ImportFixer | None = ImportFixer(), index: DataFrame | None = None) -> DataFrame:
+    """Functions that return a value and type-check once missing imports are added, with their digest.
+
+    Imports come from an index learned from a corpus (``operators.imports``) if one is given, else from the fixer.
+    """
     df = functions.withColumn("_f", syntax.code_features(F.col("content"))).filter("_f.has_return").drop("_f")
-    df = saved((fixer.apply(df) if fixer else df).withColumn("sha1", F.sha1("content")))
+    fixed = imports.add(df, index) if index is not None else fixer.apply(df) if fixer else df
+    df = saved(fixed.withColumn("sha1", F.sha1("content")))
     return joins.with_verdicts(df, checker.apply(df.dropDuplicates(["sha1"])))
 
 
@@ -60,17 +65,18 @@ def seeds(functions: DataFrame) -> DataFrame:
     return functions.withColumnRenamed("content", "seed")
 
 
-def generate(rows: DataFrame, mode: str, fewshots: prompts.Fewshots, backend: Completions, k: int, seed: int = 3407, pos: str = "pos") -> DataFrame:
+def generate(rows: DataFrame, mode: str, fewshots: prompts.Fewshots, backend: Completions, k: int, seed: int = 3407, pos: str = "pos", report: Report | None = None) -> DataFrame:
     """One generation mode over rows with pos: prompt, request, finished choices, parsed output.
 
     Adds prompt and fingerprint (replacing older ones) and concepts, instruction, response, or parsing_result if there is more
-    than one sample. Rows without a finished choice or with an error are left out.
+    than one sample. Rows without a finished choice or with an error are left out, and counted if there is a report.
     """
     language = joins.language_name(F.col("data_dir")) if "data_dir" in rows.columns else F.lit("Python")
     key = F.col(pos)
     given = {"S->C": lambda: F.col("seed"), "I->R": lambda: F.col("instruction"), "C->I": lambda: T.render_properties(prompts.random_property(F.col("concepts"), language, seed, key))}[mode]()
     asked = rows.drop("prompt", "fingerprint").withColumns({"prompt": prompts.request_prompt(fewshots, mode, k, seed, given, key), "seed_value": F.lit(seed) + key})
-    done = saved(backend.apply(asked)).filter("error is null").withColumn("choices", filters.finished(F.col("choices"))).filter(F.size("choices") > 0)
+    answered = keep(backend.apply(asked), report, "generate", "error", F.col("error").isNull())
+    done = saved(keep(answered.withColumn("choices", filters.finished(F.col("choices"))), report, "generate", "unfinished", F.size("choices") > 0))
     first = F.col("choices")[0]["text"]
     parts = (mode, backend.sampling.model, k, seed, *(e.render(mode) for e in fewshots.examples))
     done = done.withColumn("fingerprint", T.fingerprint(*map(F.lit, parts)))
@@ -85,21 +91,31 @@ def generate(rows: DataFrame, mode: str, fewshots: prompts.Fewshots, backend: Co
     return done.drop("choices", "error", "seed_value")
 
 
-def tasks(rows: DataFrame) -> DataFrame:
-    """One row for each response with its compilable code; rows without any are left out."""
+def tasks(rows: DataFrame, report: Report | None = None) -> DataFrame:
+    """One row for each response with its compilable code; responses without any are left out."""
     samples = F.col("parsing_result") if "parsing_result" in rows.columns else F.array(F.struct(F.col("response").alias("response")))
     df = rows.select(*(c for c in rows.columns if c not in ("parsing_result", "response")), F.posexplode(samples).alias("sample_idx", "_r")).withColumn("response", F.col("_r.response")).drop("_r")
-    return df.withColumn("code", F.array_join(syntax.compilable(T.exec_blocks(F.col("response"))), "\n")).filter("code <> ''")
+    df = df.withColumn("code", F.array_join(syntax.compilable(T.exec_blocks(F.col("response"))), "\n"))
+    return keep(df, report, "execute", "uncompilable", F.col("code") != "")
+
 
+def execution_filter(rows: DataFrame, executor: Executor, cache: DataFrame | None = None, report: Report | None = None) -> DataFrame:
+    """Responses whose code runs; code found in the cache (responses of an earlier run) passes without running.
 
-def execution_filter(rows: DataFrame, executor: Executor, cache: DataFrame | None = None) -> DataFrame:
-    """Responses whose code runs; code found in the cache (responses of an earlier run) passes without running."""
-    todo = saved(tasks(rows))
-    cached = None
-    if cache is not None:
-        cached, todo = joins.split_cached(todo, tasks(cache))
-    passed = saved(executor.apply(todo)).filter("passed").drop("passed")
-    out = passed if cached is None else cached.unionByName(passed)
+    A report counts responses without code, cached and active ones, and those that failed.
+    """
+    todo = tasks(rows, report)
+    if cache is None:
+        todo = todo.withColumn("_cached", F.lit(False))
+    else:
+        hits = tasks(cache).select("code").distinct().withColumn("_hit", F.lit(True))
+        todo = todo.join(hits, "code", "left").withColumn("_cached", F.col("_hit").isNotNull()).drop("_hit")
+    if report:
+        todo = report.count(todo, "execute", cached=F.col("_cached"), active=~F.col("_cached"))
+    todo = saved(todo)
+    cached, active = todo.filter("_cached").drop("_cached"), todo.filter("not _cached").drop("_cached")
+    passed = saved(keep(executor.apply(active), report, "execute", "failed", F.col("passed")).drop("passed"))
+    out = cached.unionByName(passed) if cache is not None else passed
     return out.drop("code", "sample_idx")
 
 
@@ -108,7 +124,8 @@ def clean(rows: DataFrame, seed: int = 0, id_col: str = "id", by_names: bool = F
     df = rows.withColumns({"_i": T.ws_key(F.col("instruction")), "_r": T.ws_key(F.col("response"))})
     keys = [F.col("_i"), F.col("_r")]
     if by_names:
-        df = saved(df.withColumn("_n", syntax.code_features(T.fenced_blocks(F.col("response"), "python")[0])["function_names"]))
+        # The first fenced block, whatever its tag; a response without one is left out, as one whose code does not parse.
+        df = saved(df.withColumn("_n", syntax.code_features(F.get(T.fenced_blocks(F.col("response")), F.lit(0)))["function_names"]))
         keys.append(F.col("_n"))
     kept = dedup.greedy(df, keys, [position.draw(seed, F.col(id_col))], id_col)
     return rows.join(kept, id_col, "left_semi")

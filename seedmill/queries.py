@@ -12,13 +12,15 @@ from . import derived
 from .functions import prompts, syntax
 from .functions import text as T
 from .functions import tokens as K
-from .operators import decontam, dedup, filters, joins, position, sanitize
+from .operators import decontam, dedup, filters, imports, joins, position, sanitize
+from .operators.counted import Report
+from .operators.saved import saved
 from .plans import stages
 from .streaming import resumable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-C, R = f"WITH {derived.CODE_CTE}", f"WITH {derived.RESPONSE_CTE}"
+C, R, M = f"WITH {derived.CODE_CTE}", f"WITH {derived.RESPONSE_CTE}", f"WITH {derived.MODULE_CTE}"
 
 
 def query(sql: str | None = None):
@@ -689,3 +691,120 @@ def import_fixes(spark, sf_dir):
 
     rows = code(spark, sf_dir).withColumn("content", F.when(F.expr("doc_id % 12 = 6"), F.col("content")).otherwise("x = math.pi"))
     return ImportFixer().apply(rows)
+
+
+# Places and scopes of code: extraction by offsets, type checks, imports.
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.modules(docs(spark, sf_dir))
+
+
+def _def(name: str, doc: str, body: str, end: str = "\n", arg: str = "x") -> str:
+    return f"def {name}_{{id}}({arg}):{end}    {derived.Q3}{doc}{derived.Q3}{end}    return {body}"
+
+
+#: The documented functions of derived.MODULES: (variant, position) -> (name, text).
+_PLACED = {
+    (0, 0): ("area_{id}", _def("area", "Area.", "math.pi * r", arg="r")),
+    (5, 0): ("root_{id}", _def("root", "Root.", "math.sqrt(x)")),
+    (6, 0): ("feed_{id}", _def("feed", "Feed.", "x")),
+    (6, 1): ("next_{id}", _def("next", "Next.", "x")),
+    (7, 0): ("crlf_{id}", _def("crlf", "Doc.", "os.sep + x", "\r\n")),
+    (8, 0): ("wide_{id}", _def("wide", "Doc é\x0b{id}.", "LINE + x")),
+    (9, 0): ("cr_{id}", _def("cr", "Doc.", "x", "\r")),
+    (9, 1): ("cs_{id}", _def("cs", "Doc.", "cr_{id}(x, x)", "\r")),
+}
+
+
+@query(M + ", f AS (" + " UNION ALL ".join(f"SELECT doc_id, content, {p} AS position, {derived._sql(name, 'doc_id')} AS name, {derived._sql(text, 'doc_id')} AS f FROM modules WHERE doc_id % 14 = {v}" for (v, p), (name, text) in _PLACED.items()) + ") SELECT doc_id, position, name, strlen(split_part(content, f, 1)) AS first_byte, strlen(split_part(content, f, 1)) + strlen(f) AS last_byte, f AS content FROM f")
+def extract_offsets(spark, sf_dir):
+    """Every documented function with its place, by a table function; line ends of all kinds, form feeds and separators."""
+    return syntax.functions_of(modules(spark, sf_dir))
+
+
+@query("SELECT doc_id, CAST(([0, 0, 1, 1, 1, 1, 0, 0, 0, 1, 2, 1, 0, 0])[1 + doc_id % 14] AS BIGINT) AS errors FROM documents")
+def type_errors(spark, sf_dir):
+    """Errors of every module by a checker program: unbound names and misfit calls of code that parses."""
+    from .backends.services import ProcessChecker
+
+    rows = modules(spark, sf_dir).withColumn("sha1", F.sha1("content"))
+    return rows.join(ProcessChecker().apply(rows.dropDuplicates(["sha1"])), "sha1").select("doc_id", "errors")
+
+
+#: derived.MODULES once imports are inferred.
+_IMPORTED = dict(enumerate(derived.MODULES)) | {
+    4: "from collections import Counter\n\n" + derived.MODULES[4],
+    5: "import math\n\n" + derived.MODULES[5],
+    10: derived.MODULES[10].replace("annotations\n", "annotations\nfrom collections import Counter\nimport math\n"),
+}
+
+
+@query(f"SELECT doc_id, {derived.case(_IMPORTED, n=14)} AS content FROM documents")
+def import_inference(spark, sf_dir):
+    """Modules with the imports that an index of all modules knows for their unbound names."""
+    rows = modules(spark, sf_dir)
+    return imports.add(rows, imports.learn(rows))
+
+
+@query("""WITH n AS (SELECT doc_id % 14 AS v, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 1),
+    s AS (SELECT unnest(['import math', 'import os', 'from collections import deque', 'from collections import Counter', 'from collections import Counter', 'from collections import Counter', 'from typing import Counter']) AS statement,
+                 unnest([0, 7, 13, 1, 13, 12, 12]) AS v, unnest([1, 1, 1, 1, 1, 0, 1]) AS there, unnest([1, 1, 1, 1, 1, 1, 0]) AS inferred)
+    SELECT statement, CAST(sum(n * there) AS BIGINT) AS there, CAST(sum(n * inferred) AS BIGINT) AS inferred, CAST(sum(n * there * inferred) AS BIGINT) AS "right" FROM s JOIN n USING (v) GROUP BY statement""")
+def import_precision(spark, sf_dir):
+    """What an index of four fifths of the modules recovers of the other fifth's imports."""
+    rows = modules(spark, sf_dir)
+    return imports.precision(rows.filter("doc_id % 5 = 0"), imports.learn(rows.filter("doc_id % 5 <> 0")))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 14 NOT IN (2, 3, 9, 11)")
+def typed_functions(spark, sf_dir):
+    """Modules that return a value and type-check once inferred imports are added."""
+    rows = modules(spark, sf_dir)
+    return stages.typed(rows, index=imports.learn(rows)).select("doc_id")
+
+
+# Cleaning by names, and counters of a run.
+
+
+_NAMED = "CASE WHEN id % 11 = 0 THEN 'No block ' || id WHEN id % 11 = 1 THEN replace({r}, '```python', '```') ELSE {r} END"
+_RENAMED = "replace(response, 'def f(', 'def f_' || CAST(id % 23 AS STRING) || '(')"
+
+
+@query(f"""WITH RECURSIVE {derived.RESPONSE_CTE}, n AS (SELECT id, instruction, {_NAMED.format(r=_RENAMED)} AS response, CASE WHEN id % 13 IN (4, 6, 7, 9) THEN '' ELSE 'f_' || id % 23 END AS names FROM resp),
+    k AS (SELECT id, [regexp_replace(instruction, '{_WS}', '', 'g'), regexp_replace(response, '{_WS}', '', 'g'), names] AS keys, row_number() OVER (ORDER BY CAST('0x' || md5('0|' || id)[1:13] AS BIGINT), id) AS r FROM n WHERE id % 11 <> 0),
+    g AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS seen, NULL::BIGINT AS id UNION ALL
+          SELECT k.r, CASE WHEN list_has_any(g.seen, k.keys) THEN g.seen ELSE list_concat(g.seen, k.keys) END, CASE WHEN list_has_any(g.seen, k.keys) THEN NULL ELSE k.id END FROM g JOIN k ON k.r = g.r + 1)
+    SELECT id FROM g WHERE id IS NOT NULL""")
+def clean_by_names(spark, sf_dir):
+    """Greedy dedup that also tells responses apart by the function names of their first block, whatever its tag; those without a block go."""
+    rows = responses(spark, sf_dir)
+    return stages.clean(rows.withColumn("response", F.expr(_NAMED.format(r=_RENAMED))), by_names=True).select("id")
+
+
+def _answers(prompt, seed, sampling):
+    """A model that fails for some seeds and is cut off for others."""
+    if seed % 7 == 0:
+        raise ValueError("no answer")
+    return [("length" if seed % 5 == 0 else "stop", "loops, sums")]
+
+
+@query(R + r""", x AS (SELECT id, array_to_string(list_filter(regexp_extract_all(response, '(?ms)^```python[ ]*\n(.*?)^```', 1), lambda x: NOT contains(x, '/ note')), chr(10)) AS code FROM resp),
+    t AS (SELECT *, code IN (SELECT code FROM x WHERE id % 5 = 0) AS cached FROM x WHERE code <> ''),
+    s AS (SELECT id % 13 AS v FROM resp), g AS (SELECT id + 3 AS seed FROM resp)
+    SELECT 'execute' AS stage, 'uncompilable' AS reason, (SELECT count(*) FROM x) AS rows_in, (SELECT count(*) FROM x WHERE code = '') AS n
+    UNION ALL SELECT 'execute', 'cached', count(*), count(*) FILTER (cached) FROM t UNION ALL SELECT 'execute', 'active', count(*), count(*) FILTER (NOT cached) FROM t
+    UNION ALL SELECT 'execute', 'failed', count(*), count(*) FILTER (contains(code, 'f(3)')) FROM t WHERE NOT cached
+    UNION ALL SELECT 'sanitize', 'sections', count(*), count(*) FILTER (v IN (4, 5, 7)) FROM s UNION ALL SELECT 'sanitize', 'blocks', count(*), count(*) FILTER (v IN (3, 8, 9)) FROM s WHERE v NOT IN (4, 5, 7)
+    UNION ALL SELECT 'sanitize', 'tests', count(*), count(*) FILTER (v IN (2, 11)) FROM s WHERE v IN (0, 1, 2, 6, 10, 11, 12) UNION ALL SELECT 'sanitize', 'incomplete', count(*), count(*) FILTER (v = 6) FROM s WHERE v IN (0, 1, 6, 10, 12)
+    UNION ALL SELECT 'generate', 'error', count(*), count(*) FILTER (seed % 7 = 0) FROM g UNION ALL SELECT 'generate', 'unfinished', count(*), count(*) FILTER (seed % 5 = 0) FROM g WHERE seed % 7 <> 0""")
+def observed_counters(spark, sf_dir):
+    """What execution, sanitizing and generation drop and why, counted in the runs that write their rows."""
+    from .backends.services import Completions, Executor, Retry
+
+    rows, report = responses(spark, sf_dir), Report()
+    saved(stages.execution_filter(rows, Executor(run=lambda code: "f(3)" not in code, at_once=1), rows.filter("id % 5 = 0"), report))
+    saved(sanitize.sanitize(rows, sanitize.Flags(no_tests=True, no_incomplete=True), report=report))
+    asked = rows.select(F.col("id").alias("pos"), F.col("response").alias("seed"))
+    stages.generate(asked, "S->C", _FEWSHOTS, Completions(_answers, retry=Retry(1)), 2, 3, report=report)
+    return report.table(spark)
