@@ -9,11 +9,11 @@ above a count that falls from pass to pass (the most frequent pairs first), and
 no pair reaches it: passes over arrays instead of one priority-queue step for each pair. Rules are stored with their expansion lengths, so a binary
 search over summed lengths finds any position.
 
-Scale: documents are dealt by ranges of doc_id (one shuffle of the texts), every task streams its range and holds
-one shard. A range's tokens before it are known from one sum for each range; nothing else goes to the driver.
+Scale: documents are dealt by ranges of doc_id (one shuffle of the texts; many rows of one doc_id span ranges), every task
+streams its range and holds one shard. A range's tokens before it are known from one sum for each range; nothing else goes to the driver.
 
 Defined results: null text is empty (only the end id); null doc_ids come first; equal doc_ids are kept as rows of
-their own, ordered by text; an empty table gives no rows; other columns are not read.
+their own, ordered by their texts' hash; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -173,8 +173,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
         if held:
             yield close()
 
-    ranged = id_text(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ranged.mapInArrow(run, SHARD).write.mode("overwrite").parquet(path)
+    # Ranges go on by the text's hash and by row, so that many rows of one doc_id, even equal ones, span ranges.
+    rows = id_text(docs, id_col, text_col).withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    order = (F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order[:2], "text")
+    ranged.select("doc_id", "text").mapInArrow(run, SHARD).write.mode("overwrite").parquet(path)
 
 
 def _starts(shards: DataFrame) -> DataFrame:
