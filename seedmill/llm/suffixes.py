@@ -266,9 +266,16 @@ def _cut_contexts(length: int):
         low, high = max(0, p + length - len(body)), min(reach, p)
         return [xxhash.xxh3_64_intdigest(body[p - a : p - b + length], seed=(g ^ a) & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for a, b in parts if max(a, low) <= min(b, high)]
 
+    done: tuple[int, int] | None = None
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal done
         out: list[list] = [[] for _ in range(9)]
         for doc, nk, raw, wanted in zip(column(batch, "doc_id").to_pylist(), column(batch, "nk").to_pylist(), text_bytes(batch), column(batch, "wanted").to_pylist(), strict=True):
+            # Equal rows follow each other out of the join; the first one's contexts are all that is wanted.
+            if (doc, nk) == done:
+                continue
+            done = doc, nk
             for w in wanted:
                 p = w["pos"]
                 lo = max(0, p - reach)
