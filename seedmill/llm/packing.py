@@ -131,8 +131,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows: int = ROWS, scratch:
         n = todo.count()
         parts = max(-(-n // rows), min(shuffle_partitions(spark), -(-n // 5_000)) if k == 0 else 1, 1)
         last = k > 0 and parts == 1 or k == 7
-        keys = [F.col(c) for c in ("doc_id", "piece") if c in schema.names]
-        dealt = todo.repartition(1) if parts == 1 else todo.repartition(parts, F.xxhash64(*keys, F.lit(k)))
+        # Dealt in turn, whatever the rows' ids: no partition holds more than its share.
+        dealt = todo.repartition(parts)
         packed = scratch.table(dealt.mapInArrow(run_round(k, last), out_schema), f"round{k}")
         done.append(packed.filter("sequence_id >= 0"))
         if last:
