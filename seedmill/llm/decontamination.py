@@ -189,11 +189,11 @@ def search(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
     empty = {"n_words": F.lit(0), "items": F.array(), "spans": F.array()}
     out = rows.withColumns({prefix + k: empty[k].cast(t) for k, t in FOUND.items()})
     schema = out.schema
+    held = []
     for k in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()], window))
-        out = out.mapInArrow(map_shards(_searcher(held, text_col, prefix), shard_bytes), schema)
-    return out
+        held.append(spark.sparkContext.broadcast(Windows([tuple(r) for r in block.collect()], window)))
+    return out.mapInArrow(map_shards(_searcher(held, text_col, prefix), shard_bytes), schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -210,19 +210,30 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     return found.filter(F.size(f"{prefix}spans") == 0).drop(*(prefix + k for k in FOUND))
 
 
-def _searcher(held, text_col: str, prefix: str):
+def _in_turn(held: list) -> Iterator[Windows]:
+    """The blocks, one in memory at a time; a single one stays for the worker's next shards."""
+    for block in held:
+        yield block.value
+        # Without its value a broadcast is read again from its file; one that came without a file keeps it.
+        if len(held) > 1 and getattr(block, "_path", None):
+            block.__dict__.pop("_value", None)
+
+
+def _searcher(held: list, text_col: str, prefix: str):
+    """Searches a shard for all blocks, one after the other in the same worker."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        windows: Windows = held.value
         texts = text_bytes(batch, text_col)
-        ids, counts = flat_ids(texts, windows.vocab.get)
-        ends = np.cumsum(counts)
-        where, size, names = windows.hits(ids, ends)
         items, spans = column(batch, f"{prefix}items").to_pylist(), column(batch, f"{prefix}spans").to_pylist()
-        if len(where):
-            of = np.searchsorted(ends, where, "right")
-            order = np.argsort(of, kind="stable")
-            for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-                _merge(int(of[mine[0]]), mine, where, size, names, ends, counts, texts, items, spans)
+        for windows in _in_turn(held):
+            ids, counts = flat_ids(texts, windows.vocab.get)
+            ends = np.cumsum(counts)
+            where, size, names = windows.hits(ids, ends)
+            if len(where):
+                of = np.searchsorted(ends, where, "right")
+                order = np.argsort(of, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                    _merge(int(of[mine[0]]), mine, where, size, names, ends, counts, texts, items, spans)
         arrays = {f"{prefix}n_words": pa.array(counts), f"{prefix}items": pa.array(items, pa.list_(pa.string())), f"{prefix}spans": pa.array(spans, pa.list_(SPAN))}
         return pa.RecordBatch.from_arrays([arrays.get(f.name, column(batch, f.name)) for f in batch.schema], [f.name for f in batch.schema])
 
