@@ -9,7 +9,7 @@ the least hashes, whatever their length and however many there are; of a long on
 from a hashed offset. The last ``DICT_BYTES`` of the slices become the dictionary that is broadcast.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and count as rejected; ties go to the language
-with more labelled rows, then by name; without any labelled text all are ``und``; rows without a language and empty texts
+with more labelled rows, then by name; without any labelled text all are ``und``; of more than ``MOST_LANGUAGES`` languages those with the most labelled rows are learned; rows without a language and empty texts
 teach nothing; a row repeated under one id is drawn once; repeated rows are judged one by one; empty tables give no rows; other columns are not read.
 """
 
@@ -28,6 +28,8 @@ from .words import LOWER
 
 #: Texts sampled for each language, bytes of its dictionary, and of a text encoded at once.
 SAMPLE_DOCS, DICT_BYTES, CHUNK, LEVEL = 300, 64 << 10, 512, 6
+#: A model learns at most this many languages, those with the most labelled rows: every text is encoded once for each.
+MOST_LANGUAGES = 200
 #: Range of the draw of texts.
 DRAWS = 1 << 40
 #: Shorter texts are encoded as three lines of themselves: alone they would often be stored as they are, a tie.
@@ -58,24 +60,24 @@ def has_letter(raw: bytes) -> bool:
     return bool(_ASCII_LETTER.search(raw)) or not raw.isascii() and any(c.isalpha() for c in raw.decode())
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> Model:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, most: int = MOST_LANGUAGES) -> Model:
     """A model from the labelled rows for which train holds."""
     rows = docs.filter(train).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     row = F.xxhash64("doc_id", "text", F.lit(7))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.octet_length("text") > 0, row)).alias("distinct")).collect()
-    counts = {r.lang: r.n for r in found}
-    # The draw passes about one and a half times the rows wanted, so that the least draws are all among them.
-    shares = [(F.lit(r.lang), F.lit(min(1.0, 1.5 * sample_docs / max(r.distinct, 1)))) for r in found]
-    if not shares:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.when(F.octet_length("text") > 0, row)).alias("distinct")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not found:
         return Model((), ())
-    share = F.create_map(*(x for pair in shares for x in pair))[F.col("lang")]
+    # The draw passes about one and a half times the rows wanted, so that the least draws are all among them; one row for each language.
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1.0, 1.5 * sample_docs / max(r.distinct, 1))) for r in found], rows.select("lang", F.lit(0.0).alias("share")).schema))
     raw, bound = F.col("text").cast("binary"), F.lit(dict_bytes // 16)
     offset = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.greatest(F.octet_length("text") - bound, F.lit(0)) + 1).cast("int")
-    drawn = rows.withColumn("draw", F.pmod(row, F.lit(DRAWS))).filter((F.octet_length("text") > 0) & (F.col("draw") < share * DRAWS))
-    held = drawn.select("lang", "draw", F.substring(raw, offset + 1, bound).alias("piece")).distinct().collect()
+    drawn = rows.join(shares, "lang").withColumn("draw", F.pmod(row, F.lit(DRAWS))).filter((F.octet_length("text") > 0) & (F.col("draw") < F.col("share") * DRAWS))
+    pieces: dict[str, list[tuple[int, bytes]]] = {}
+    for r in drawn.select("lang", "draw", F.substring(raw, offset + 1, bound).alias("piece")).distinct().collect():
+        pieces.setdefault(r.lang, []).append((r.draw, bytes(r.piece)))
     names, contents = [], []
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        mine = sorted((r.draw, bytes(r.piece)) for r in held if r.lang == lang)[:sample_docs]
+    for lang in (r.lang for r in found):
+        mine = sorted(pieces.get(lang, []))[:sample_docs]
         # A slice may begin or end within a character.
         content = b"\n".join(t.decode(errors="ignore").encode().translate(LOWER) for _, t in mine)[-dict_bytes:]
         if content:
