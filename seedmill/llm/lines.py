@@ -3,12 +3,13 @@
 Hashes of long enough line keys are dealt by ranges of (hash, document, position), with that order inside each
 range, largest document first. A task streams its range: the first document of a hash keeps its lines, the next ones
 wait until enough documents hold the line, then all but the first's are dropped. A hash cut by a range's edge (a very
-common line spans many ranges) passes its rows on; they are at most two hashes for each range, and are counted by a
-partial aggregate and joined with a table of that proven size.
+common line, or one on very many rows of one id, spans ranges) passes its rows on, and so does one of which too many rows
+wait; these are counted by partial aggregates and joined with the counts.
 
 What comes back is, for each document that loses lines, a zlib-compressed bitmap (bit set: keep), not text.
 
-Scale: only (hash, doc_id, row's key, position) of lines is shuffled, 36 bytes each; no hash must fit a task. Applying the bitmaps
+Scale: only (hash, doc_id, row's key, position) of lines is shuffled, 36 bytes each; neither a hash nor a document must fit a task,
+which holds ``HELD`` rows at most. Applying the bitmaps
 joins them to the documents by doc_id.
 
 Defined results: null or empty text is one empty line; rows without doc_id keep all lines and count for nothing; rows of
@@ -32,6 +33,8 @@ from .common import Scratch, column, id_text, map_rows, shuffle_partitions, text
 from .words import LOWER
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
+#: Rows of a hash that wait in a task until enough documents hold it; if there are more, all its rows are passed on.
+HELD = 2_000
 SPACE = b" \t\n\r\x0b\x0c"
 DROP, EDGE, COUNT = 0, 1, 2
 
@@ -66,6 +69,7 @@ class _Run:
     def __init__(self, key: tuple[int, int], first: bool):
         self.key, self.first = key, first
         self.docs, self.now, self.top = 0, None, None
+        self.passed_on = first
         self.held: list[tuple[int, int, int, int]] = []
 
     def add(self, doc: int, nk: int, pos: int, least_docs: int, out: list[tuple]) -> None:
@@ -74,11 +78,13 @@ class _Run:
             self.now = doc
             self.docs += 1
             self.top = doc if self.top is None else self.top
-        if self.first:
+        if self.passed_on:
             out.append((EDGE, *self.key, doc, nk, pos, int(opens)))
             return
         if self.docs < least_docs:
             self.held.append((doc, nk, pos, int(opens)))
+            if len(self.held) > HELD:
+                self._pass_on(out)
             return
         if self.held:
             out += [(DROP, *self.key, d, k, p, 0) for d, k, p, _ in self.held if d != self.top]
@@ -86,11 +92,16 @@ class _Run:
         if doc != self.top:
             out.append((DROP, *self.key, doc, nk, pos, 0))
 
+    def _pass_on(self, out: list[tuple]) -> None:
+        out += [(EDGE, *self.key, *row) for row in self.held]
+        self.held, self.passed_on = [], True
+
     def end(self, last: bool, out: list[tuple]) -> None:
-        if not last or self.first:
+        if not last or self.passed_on:
             return
-        out += [(EDGE, *self.key, *row) for row in self.held]
-        if not self.held:
+        if self.held:
+            self._pass_on(out)
+        else:
             out.append((COUNT, *self.key, self.top, 0, 0, self.docs))
 
 
@@ -139,12 +150,14 @@ def bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = L
     scratch = scratch or Scratch(spark, "lines")
     keyed = scratch.table(line_keys(id_text(docs, id_col, text_col), least_chars), "keys")
     order = (F.col("hi"), F.col("lo"), F.col("doc_id").desc(), F.col("nk"), F.col("pos"))
-    ranged = keyed.repartitionByRange(shuffle_partitions(spark), *order[:3]).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     found = scratch.table(ranged.mapInArrow(stream(least_docs), STREAM), "found")
     scratch.drop("keys")
-    edges = found.filter(F.col("kind") != DROP).groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("top"))
-    # At most two hashes for each range.
-    late = found.filter(F.col("kind") == EDGE).join(F.broadcast(edges.filter(F.col("docs") >= least_docs)), ["hi", "lo"]).filter("doc_id <> top")
+    # A document on both sides of an edge counts once.
+    docs_of = found.filter(F.col("kind") != DROP).groupBy("hi", "lo", "doc_id").agg(F.max("n").alias("n"))
+    edges = docs_of.groupBy("hi", "lo").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("top")).filter(F.col("docs") >= least_docs)
+    # Two hashes for each range, and one for HELD rows of few documents: how to join them is left to Spark.
+    late = found.filter(F.col("kind") == EDGE).join(edges, ["hi", "lo"]).filter("doc_id <> top")
     drops = found.filter(F.col("kind") == DROP).select("doc_id", "nk", "pos").unionByName(late.select("doc_id", "nk", "pos"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
