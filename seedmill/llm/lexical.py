@@ -27,6 +27,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,17 @@ def _shard(batch: pa.RecordBatch, n_docs: int, n_terms: int) -> pa.RecordBatch |
     return pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in values), pa.array([levels], pa.list_(pa.binary()))], [c.split()[0] for c in INDEX.split(", ")])
 
 
+def _sliced(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in slices of about size bytes of text: long texts make large batches."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column(batch, "text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        # A copy: a slice would count the whole batch's bytes as its own.
+        yield pa.concat_batches([batch.slice(at, to - at)]) if to - at == batch.num_rows else batch.take(pa.array(range(at, to)))
+        at = to
+
+
 class Index:
     """The written shards of an index, with the counts that its impacts rest on."""
 
@@ -106,7 +118,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     n_docs, n_terms = totals(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (x for x in map_shards(lambda b: _shard(b, n_docs, n_terms), shard_bytes)(batches) if x is not None)
+        small = (part for batch in batches for part in _sliced(batch, shard_bytes))
+        yield from (x for x in map_shards(lambda b: _shard(b, n_docs, n_terms), shard_bytes)(small) if x is not None)
 
     return Index(scratch.table(rows.mapInArrow(run, INDEX), "index"), n_docs, n_terms, scratch)
 
