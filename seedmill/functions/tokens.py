@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -59,11 +60,22 @@ class Tokenizer:
         return self.id_of(self.pad or self.eos)
 
     def encode(self, text: Column) -> Column:
-        def make():
+        """Ids of each text, a batch of rows at a time."""
+
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            # Spark's tasks already use the cores.
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             tokenizer = self.load()
-            return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+            for s in texts:
+                held = iter(tokenizer.encode_batch_fast(s.dropna().tolist(), add_special_tokens=False))
+                yield pd.Series([None if t is None else next(held).ids for t in s], dtype=object)
+
+        return encode(text)
 
-        return encoder(make)(text)
+    def count(self, text: Column) -> Column:
+        """Tokens of each text; null for null."""
+        return F.when(text.isNotNull(), F.size(self.encode(text)))
 
     def decode(self, ids: Column, skip_special: bool = True) -> Column:
         def make():

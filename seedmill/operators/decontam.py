@@ -7,9 +7,10 @@ from functools import reduce
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from ..functions import text as T
 from .filters import GENERIC_SOLUTIONS
@@ -75,8 +76,8 @@ def _automaton(texts: list[str]) -> ahocorasick.Automaton:
     return out
 
 
-def held_strings(texts: list[str], first_only: bool = False) -> Callable[[Column], Column]:
-    """An Arrow UDF: the numbers of the strings (a measured block) that a text holds; null for null. first_only: at most one."""
+def held_strings(texts: list[str]) -> Callable[[Column], Column]:
+    """An Arrow UDF: the numbers of the strings (a measured block) that a text holds; null for null."""
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -89,8 +90,6 @@ def held_strings(texts: list[str], first_only: bool = False) -> Callable[[Column
             for end, (size, numbers) in known.iter(text):
                 for k in numbers:
                     if k not in found and text.startswith(texts[k], end - size + 1):
-                        if first_only:
-                            return [k]
                         found.add(k)
             return sorted(found)
 
@@ -100,12 +99,39 @@ def held_strings(texts: list[str], first_only: bool = False) -> Callable[[Column
     return find
 
 
+def _in_turn(held: list[Broadcast]) -> Iterator[list[str]]:
+    """The blocks, one in memory at a time; a single one stays for the worker's next batches."""
+    for block in held:
+        yield block.value
+        # Without its value a broadcast is read again from its file; one that came without a file keeps it.
+        if len(held) > 1 and getattr(block, "_path", None):
+            block.__dict__.pop("_value", None)
+
+
+def holds_any(held: list[Broadcast]) -> Callable[[Column], Column]:
+    """An Arrow UDF: whether a text holds a string of any block; the blocks take turns in one worker. False for null."""
+
+    @F.pandas_udf(BooleanType())
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept = None
+        for s in batches:
+            found = [False] * len(s)
+            for texts in _in_turn(held):
+                known = kept or (_automaton(texts) if texts else None)
+                kept = known if len(held) == 1 else None
+                for k, text in enumerate(s):
+                    if known is not None and text is not None and not found[k]:
+                        found[k] = any(text.startswith(texts[n], end - size + 1) for end, (size, numbers) in known.iter(text) for n in numbers)
+            yield pd.Series(found)
+
+    return find
+
+
 def decontaminate(rows: DataFrame, benchmark: DataFrame, column: str = "content", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows that hold no benchmark string (case-sensitive): one scan with an automaton for each block of strings."""
-    for block in _blocks(benchmark, block_bytes):
-        texts = sorted(r.text for r in block.collect())  # at most block_bytes
-        rows = rows.filter(F.coalesce(F.size(held_strings(texts, True)(F.col(column))), F.lit(0)) <= 0)
-    return rows
+    """The rows that hold no benchmark string (case-sensitive): one scan, with an automaton for each block of strings in turn."""
+    context = rows.sparkSession.sparkContext
+    held = [context.broadcast(sorted(r.text for r in block.collect())) for block in _blocks(benchmark, block_bytes)]  # at most block_bytes each
+    return rows.filter(~holds_any(held)(F.col(column)))
 
 
 def contaminated_pairs(rows: DataFrame, benchmark: DataFrame, column: str = "content", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -82,6 +82,13 @@ def signatures(rows: DataFrame, text: str, id_col: str, permutations: int = 32,
     return hashed.groupBy(id_col).agg(*least).select(id_col, F.array(*(f"m{k}" for k in range(permutations))).alias("sig"))
 
 
+def set_signatures(sets: DataFrame, permutations: int) -> DataFrame:
+    """(id, sig) from sets (id, s) of 64-bit hashes, by their upper 31 bits; texts are not split again."""
+    hashed = sets.select("id", F.explode("s").alias("x")).select("id", F.shiftrightunsigned("x", 33).alias("h"))
+    least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{k}") for k, (a, b) in enumerate(coefficients(permutations))]
+    return hashed.groupBy("id").agg(*least).select("id", F.array(*(f"m{k}" for k in range(permutations))).alias("sig"))
+
+
 def banding(threshold: float, recall: float = 0.98, permutations: int = 64) -> tuple[int, int]:
     """(bands, rows per band): the most rows under which a pair at the threshold shares a band with at least this probability."""
     for r in range(permutations, 0, -1):
@@ -141,7 +148,7 @@ def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size:
         bands, rows_per_band = banding(threshold)
     keyed, once = distinct_texts(rows, text, id_col)
     sets = saved(hashed_shingles(once, text, size))
-    held = saved(banded(signatures(once, text, "rep", bands * rows_per_band, size), "rep", bands, rows_per_band))
+    held = saved(banded(set_signatures(sets, bands * rows_per_band), "id", bands, rows_per_band))
     similar = lambda pairs: saved(jaccard(pairs, sets).filter(F.col("similarity") >= threshold).select("a", "b"))
     links = similar(candidates(held))
     roots = components(links)

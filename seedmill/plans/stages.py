@@ -133,10 +133,16 @@ def clean(rows: DataFrame, seed: int = 0, id_col: str = "id", by_names: bool = F
 
 def training(rows: DataFrame, most: int = 1216, prompt: str = "instruction", response: str = "response", tokenizer: K.Tokenizer | None = None) -> DataFrame:
     """Supervised examples of all rows, by a tokenizer's ids (without one: by the toy of word digests)."""
+    examples = supervised(rows, most, prompt, response, tokenizer)
+    return examples.select("input_ids", "labels", "exceeding_length")
+
+
+def supervised(rows: DataFrame, most: int = 1216, prompt: str = "instruction", response: str = "response", tokenizer: K.Tokenizer | None = None) -> DataFrame:
+    """rows with input_ids, labels and exceeding_length; each text is encoded once, for cap, frame and collation alike."""
     encode = tokenizer.encode if tokenizer else K.word_ids
     marks = {"bos": tokenizer.id_of(tokenizer.bos), "eos": tokenizer.id_of(tokenizer.eos)} if tokenizer else {}
-    asked = rows.select(encode(prompts.instruction_prompt(F.col(prompt))).alias("p"), encode(F.col(response)).alias("r"))
-    return asked.select(K.supervised(F.col("p"), F.col("r"), most, **marks).alias("e")).select("e.*")
+    ids = rows.withColumns({"_p": encode(prompts.instruction_prompt(F.col(prompt))), "_r": encode(F.col(response))})
+    return ids.withColumn("_e", K.supervised(F.col("_p"), F.col("_r"), most, **marks)).select(*rows.columns, "_e.*")
 
 
 def pass_at_k(n: str, c: str, k: int):

@@ -808,3 +808,63 @@ def observed_counters(spark, sf_dir):
     asked = rows.select(F.col("id").alias("pos"), F.col("response").alias("seed"))
     stages.generate(asked, "S->C", _FEWSHOTS, Completions(_answers, retry=Retry(1)), 2, 3, report=report)
     return report.table(spark)
+
+
+# Generation with stop strings, and training rows of a real vocabulary.
+
+_STOPS = ("[Tests]", "\n\n[Exp", "# one", "zz")
+
+
+def _echo(prompt, seed, sampling):
+    """A model that gives its prompt back, three characters at a time."""
+    return (prompt[k : k + 3] for k in range(0, len(prompt), 3))
+
+
+@query(R + f""", g AS (SELECT id, response, least(200 - len(response), 40) AS room FROM resp),
+    t AS (SELECT id, room, response[1:3 * room] AS t, 3 * room < len(response) AS more FROM g WHERE room > 0),
+    s AS (SELECT *, list_min([{', '.join(f"CASE WHEN strpos(t, {derived._sql(x, 'id')}) > 0 THEN strpos(t, {derived._sql(x, 'id')}) + {len(x) - 1} END" for x in _STOPS)}]) AS stop FROM t),
+    f AS (SELECT *, CASE WHEN stop IS NULL THEN 0 {' '.join(f"WHEN ends_with(t[1:stop], {derived._sql(x, 'id')}) THEN {len(x)}" for x in _STOPS)} END AS size FROM s)
+    SELECT id, CASE WHEN stop IS NOT NULL THEN 'stop' WHEN more THEN 'length' ELSE 'eos_token' END AS reason, CASE WHEN stop IS NULL THEN t ELSE t[1:stop - size] END AS text FROM f
+    UNION ALL SELECT id, 'the prompt fills the context', NULL FROM g WHERE room <= 0""")
+def generation_stops(spark, sf_dir):
+    """Answers cut at the first stop string, also one that spans pieces, and never beyond the context; a letter is a token here."""
+    from .backends.generation import Generator
+    from .backends.services import Sampling
+
+    rows = responses(spark, sf_dir).select("id", F.col("response").alias("prompt"), F.col("id").alias("seed_value"))
+    done = Generator(_echo, F.length, 200, Sampling(max_tokens=40, stop=_STOPS)).apply(rows)
+    return done.select("id", F.coalesce(F.col("choices")[0]["finish_reason"], F.col("error")).alias("reason"), F.col("choices")[0]["text"].alias("text"))
+
+
+def vocabulary() -> K.Tokenizer:
+    """A public vocabulary whose file all executors have."""
+    import public_tokenizers
+
+    return K.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"), eos="<|endoftext|>")
+
+
+@query()
+def sft_vocabulary(spark, sf_dir):
+    """Supervised rows of all responses by a vocabulary's ids."""
+    return stages.supervised(responses(spark, sf_dir), 100, tokenizer=vocabulary()).select("id", "input_ids", "labels", "exceeding_length")
+
+
+@query()
+def collate_vocabulary(spark, sf_dir):
+    """The same, padded to the longest of their batch of eight."""
+    examples = stages.supervised(responses(spark, sf_dir), 100, tokenizer=vocabulary())
+    return K.collate(examples.select("id", F.floor(F.col("id") / 8).alias("batch"), "input_ids", "labels"), "batch", vocabulary().pad_id)
+
+
+@query()
+def judge_vocabulary(spark, sf_dir):
+    """The judge stage with a cap in a vocabulary's tokens."""
+    from .backends.services import Batched
+
+    return stages.judged(code(spark, sf_dir), list(_JUDGED), Batched(), vocabulary().count, 240, 5, "content", "doc_id").select("doc_id")
+
+
+@query(ORACLES["near_dup_clusters"].replace(">= 0.8", ">= 0.5"))
+def near_dup_clusters_half(spark, sf_dir):
+    """Near-duplicate classes at the lower threshold."""
+    return dedup.near(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id", 0.5)

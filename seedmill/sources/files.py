@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,19 @@ def write_chunk(rows: DataFrame, path: str, chunk: int) -> None:
 
 
 def write_after_cached(cached: DataFrame, new: DataFrame, path: str) -> None:
-    """A sink that begins anew with the cached rows and then appends the new ones."""
-    write_jsonl(cached, path)
-    write_jsonl(new, path, append=True)
+    """A sink that begins anew with the cached rows and then the new ones.
+
+    Both are written beside the target before it is touched, so they may be read from the target itself. A reader between the two
+    renames finds nothing; ``commits.Table`` has no such moment.
+    """
+    spark, beside = cached.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    write_jsonl(cached, beside)
+    write_jsonl(new, beside, append=True)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{beside} can't be renamed to {path}")
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.commits import Table
 from ..sources.files import write_chunk
 
 
@@ -21,23 +22,30 @@ def guard(spark: SparkSession, out: str, fingerprint: str, start: int, ignore_fi
     """Writes a run's fingerprint and start index beside its output; a run that resumes with others is an error."""
     path = f"{out}/_manifest"  # readers pass over names that begin with an underscore
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        spark.createDataFrame([(fingerprint, start)], "fingerprint string, start long").coalesce(1).write.json(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    held = spark.read.schema("fingerprint string, start long").json(path).first() if there else None
+    if held is None:  # also after a run that was killed before its row was written
+        spark.createDataFrame([(fingerprint, start)], "fingerprint string, start long").coalesce(1).write.mode("overwrite").json(path)
         return
-    held = spark.read.schema("fingerprint string, start long").json(path).first()
     if held.fingerprint != fingerprint and not ignore_fingerprint:
         raise ValueError(f"the output was made with fingerprint {held.fingerprint}, not {fingerprint}")
     if held.start != start:
         raise ValueError(f"the output begins at {held.start}, not {start}")
 
 
-def run(spark: SparkSession, source: str, schema: str, stage: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 32, pause: float = 0.0) -> StreamingQuery:
-    """Apply stage to every micro-batch of new files and write its rows; before each batch but the first, pause that many seconds."""
+def run(spark: SparkSession, source: str, schema: str, stage: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_batch: int = 32, pause: float = 0.0, table: Table | None = None) -> StreamingQuery:
+    """Apply stage to every micro-batch of new files and write its rows; before each batch but the first, pause that many seconds.
+
+    With a table, batches become its chunks by commits: readers see whole batches only, and a repeated one takes its own place.
+    """
 
     def work(df: DataFrame, k: int) -> None:
         if k and pause:
             time.sleep(pause)
-        write_chunk(stage(df), out, k)
+        if table:
+            table.write(stage(df), chunk=k)
+        else:
+            write_chunk(stage(df), out, k)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
