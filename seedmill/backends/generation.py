@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import new_tokens
+from ..functions.tokens import context_size, new_tokens
 from .services import COMPLETION, Completions, Sampling
 
 
@@ -78,20 +78,21 @@ def assemble(pieces: Iterable[str], stops: Stops, most: int) -> tuple[str, str]:
 class Generator:
     """A local model in the place of a completion service: pieces gives a prompt's continuation, token by token.
 
-    count gives a prompt's tokens. A prompt that fills the context, or the most tokens that prompt and answer may have
+    count gives a prompt's tokens; context is a number of tokens or a model family, by its infilling marks. A prompt that fills the context, or the most tokens that prompt and answer may have
     together, gives an error; no answer goes beyond either.
     """
 
     pieces: Callable[[str, int, Sampling], Iterable[str]]
     count: Callable[[Column], Column]
-    context: int
+    context: int | str
     sampling: Sampling = Sampling()
     most: int | None = None
 
     def apply(self, rows: DataFrame, prompt: str = "prompt", seed: str = "seed_value") -> DataFrame:
         """rows with choices and error."""
         used = F.coalesce(self.count(F.col(prompt)), F.lit(0))
-        asked = rows.withColumn("_room", new_tokens(self.context, used, self.sampling.max_tokens, self.most))
+        context = context_size(self.context) if isinstance(self.context, str) else self.context
+        asked = rows.withColumn("_room", new_tokens(context, used, self.sampling.max_tokens, self.most))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", choices {COMPLETION}, error string"
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,11 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder; it is deleted as saved tables are."""
+    path = f"{shared_dir(spark)}/seedmill/saved-{uuid.uuid4().hex}"
+    _OPEN[path] = spark
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once and written as Parquet; its lineage ends there, and later reads take only the columns they need."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seedmill/saved-{uuid.uuid4().hex}"
-    _OPEN[path] = spark
+    path = scratch_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

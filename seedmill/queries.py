@@ -14,8 +14,9 @@ from .functions import text as T
 from .functions import tokens as K
 from .operators import decontam, dedup, filters, imports, joins, position, sanitize
 from .operators.counted import Report
-from .operators.saved import saved
+from .operators.saved import saved, scratch_path
 from .plans import stages
+from .sources import commits, files
 from .streaming import resumable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -868,3 +869,83 @@ def judge_vocabulary(spark, sf_dir):
 def near_dup_clusters_half(spark, sf_dir):
     """Near-duplicate classes at the lower threshold."""
     return dedup.near(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id", 0.5)
+
+
+# Prompts of every mode, code-only responses, executed rows, files there and back.
+
+
+def _fewshot_sql(mode: str, given: str) -> str:
+    """The prompt of a mode: two drawn examples and the open slot around given, SQL for a text."""
+    shown = {k: e.render(mode) for k, e in enumerate(_FEWSHOTS.valid(mode))}
+    drawn = ", ".join(f"{{'d': CAST('0x' || md5('5|' || doc_id || '|fewshots|{k}')[1:13] AS BIGINT), 'i': {k}, 't': {derived._sql(t, 'doc_id')}}}" for k, t in shown.items())
+    before, after = prompts.PREFIXES[mode]
+    head = derived._sql(f"{_FEWSHOTS.systems[mode]}\n\n", "doc_id")
+    slot = f"{derived._sql(f'## Example 3{chr(10)}{before}', 'doc_id')} || {given} || {derived._sql(after.rstrip(), 'doc_id')}"
+    body = f"array_to_string(list_transform(list_sort([{drawn}])[1:2], lambda s, k: '## Example ' || k || chr(10) || s.t), chr(10) || chr(10))"
+    return f"SELECT doc_id, '{mode}' AS mode, {head} || {body} || chr(10) || chr(10) || {slot} AS prompt FROM documents"
+
+
+_PROPERTY_SQL = "'category: x' || chr(10) || 'language: ' || lang || chr(10) || 'concepts: a, b' || chr(10) || 'difficulty: hard'"
+
+
+@query(" UNION ALL ".join(_fewshot_sql(mode, given) for mode, given in (("S->C", "source"), ("I->R", "source"), ("C->I", _PROPERTY_SQL))))
+def fewshot_modes(spark, sf_dir):
+    """Requests of all three modes; an example without a solution serves no response request."""
+    d = docs(spark, sf_dir)
+    p = F.struct(F.lit("x").alias("category"), F.col("lang").alias("language"), F.array(F.lit("a"), F.lit("b")).alias("concepts"), F.lit("hard").alias("difficulty"))
+    given = {"S->C": F.col("source"), "I->R": F.col("source"), "C->I": T.render_properties(p)}
+    parts = [d.select("doc_id", F.lit(mode).alias("mode"), prompts.request_prompt(_FEWSHOTS, mode, 2, 5, g, F.col("doc_id")).alias("prompt")) for mode, g in given.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_AROUND = "Then prose.\n\n{f}python\ny = 1\n{f}\n\n[Explanation]"
+# A variant whose implementation is words alone gets its block from what is added.
+_CODE_ONLY = {v: "\n\n".join((_KEPT[v][0], _KEPT[v][1].removesuffix("\n{f}") + "\n\ny = 1\n{f}", _KEPT[v][2], _KEPT[v][3])) for v in _KEPT}
+_CODE_ONLY[9] = "Think.\n\n{f}python\ny = 1\n{f}\n\nNone {id}.\n\n{f}python\nassert True\n{f}"
+
+
+@query(R + f" SELECT id, {derived.case(_CODE_ONLY, 'id', 13)} AS response FROM resp WHERE id % 13 IN ({', '.join(map(str, sorted(_CODE_ONLY)))})")
+def sanitize_code_only(spark, sf_dir):
+    """Implementations of two blocks with prose between them become one block."""
+    more = F.expr(derived._sql(_AROUND.replace("{f}", derived.FENCE), "id"))
+    rows = responses(spark, sf_dir).withColumn("response", F.replace("response", F.lit("[Explanation]"), more))
+    return sanitize.sanitize(rows, sanitize.Flags(code_only=True)).select("id", "response")
+
+
+@query(R + r""", x AS (SELECT id, array_to_string(list_filter(regexp_extract_all(response, '(?ms)^```python[ ]*\n(.*?)^```', 1), lambda x: NOT contains(x, '/ note')), chr(10)) AS code FROM resp)
+    SELECT id FROM x WHERE code <> '' AND (code IN (SELECT code FROM x WHERE id % 5 = 0) OR NOT contains(code, 'f(3)'))""")
+def execution_stage(spark, sf_dir):
+    """Responses that pass: code of an earlier run's responses by the cache, other code by a stand-in that judges its text."""
+    from .backends.services import Executor
+
+    rows = responses(spark, sf_dir)
+    return stages.execution_filter(rows, Executor(run=lambda code: "f(3)" not in code, at_once=1), rows.filter("id % 5 = 0")).select("id")
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang, CAST(NULL AS VARCHAR) AS nothing FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    """Documents as JSON lines, and back under a schema in strict mode; keys with null values stay."""
+    path = scratch_path(spark)
+    files.write_jsonl(docs(spark, sf_dir).select("doc_id", "text", "lang", F.lit(None).cast("string").alias("nothing")), path)
+    back = files.read_jsonl(spark, path, "doc_id long, text string, lang string, nothing string")
+    return back.select("doc_id", F.md5("text").alias("digest"), "lang", "nothing")
+
+
+@query("SELECT item_id, text || chr(10) AS text FROM benchmark")
+def whole_text_files(spark, sf_dir):
+    """Each benchmark item as a file of its own, read as whole texts."""
+    path = scratch_path(spark)
+    bench(spark, sf_dir).select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    found = files.read_whole_texts(spark, f"{path}/item_id=*/part-*")
+    return found.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "text")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE 'first' END AS run FROM documents")
+def committed_chunks(spark, sf_dir):
+    """Three chunks by commits, of which one is repeated and takes its own place."""
+    table = commits.Table(spark, scratch_path(spark))
+    rows = docs(spark, sf_dir).select("doc_id", F.lit("first").alias("run"))
+    for k in range(3):
+        table.write(rows.filter(F.col("doc_id") % 3 == k), chunk=k)
+    table.write(rows.filter("doc_id % 3 = 0").withColumn("run", F.lit("again")), chunk=0)
+    return table.read("doc_id long, run string")
