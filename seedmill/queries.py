@@ -311,8 +311,10 @@ def instruction_format(spark, sf_dir):
     return responses(spark, sf_dir).select("id", prompts.instruction_prompt(F.col("instruction"), F.col("response")).alias("prompt"))
 
 
-_EXAMPLES = tuple(prompts.Example("c", "Python", ("loops", "sums"), "easy", f"snippet {k}", f"instruction {k}", "solution" if k else None, f"response {k}") for k in range(3))
-_FEWSHOTS = prompts.Fewshots({"I->R": "Respond.", "C->I": "Instruct.", "S->C": "List concepts."}, _EXAMPLES)
+#: A few-shot file; its first example has no solution.
+_FEWSHOT_FILE = "### System: I->R\nRespond.\n\n### System: C->I\nInstruct.\n\n### System: S->C\nList concepts.\n\n" + "\n\n".join(
+    f"### Example {k + 1}\n[Code]\nsnippet {k}\n\n[Property]\ncategory: c\nlanguage: Python\nconcepts: loops, sums\ndifficulty: easy\n\n[Instruction]\ninstruction {k}\n\n[Solution]\n{'solution' if k else ''}\n\n[Response]\nresponse {k}" for k in range(3))
+_FEWSHOTS = prompts.parse_fewshots(_FEWSHOT_FILE)
 
 
 @query("SELECT doc_id, 'List concepts.' || chr(10) || chr(10) || array_to_string(list_transform(list_sort([{'d': CAST('0x' || md5('5|' || doc_id || '|fewshots|' || i)[1:13] AS BIGINT), 'i': i} FOR i IN [0, 1, 2]])[1:2], lambda s, k: '## Example ' || k || chr(10) || '### Snippet' || chr(10) || 'snippet ' || s.i || chr(10) || chr(10) || '### Concepts' || chr(10) || 'loops, sums'), chr(10) || chr(10)) || chr(10) || chr(10) || '## Example 3' || chr(10) || '### Snippet' || chr(10) || source || chr(10) || chr(10) || '### Concepts' AS prompt FROM documents")
@@ -949,3 +951,33 @@ def committed_chunks(spark, sf_dir):
         table.write(rows.filter(F.col("doc_id") % 3 == k), chunk=k)
     table.write(rows.filter("doc_id % 3 = 0").withColumn("run", F.lit("again")), chunk=0)
     return table.read("doc_id long, run string")
+
+
+@query(M + r", l AS (SELECT doc_id, content, regexp_split_to_array(content, '\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]') AS x FROM modules) SELECT doc_id, array_to_string(CASE WHEN x[len(x)] = '' THEN x[1:len(x) - 1] ELSE x END, '|') AS lines FROM l")
+def module_lines(spark, sf_dir):
+    """Lines at line ends of all kinds."""
+    return modules(spark, sf_dir).select("doc_id", F.array_join(T.splitlines(F.col("content")), "|").alias("lines"))
+
+
+@query("SELECT name, text, count(*) AS n FROM (SELECT ['humaneval-', 'humaneval-', 'mbpp-'][1 + item_id % 3] || ['cpp', 'py', 'ts'][1 + item_id // 3 % 3] || CASE WHEN item_id % 3 = 1 THEN '-remove' ELSE '' END AS name, trim(text) AS text FROM benchmark) GROUP BY name, text")
+def multi_language_sources(spark, sf_dir):
+    """The sets of the multi-language benchmark, each a table of its own under one root; sets that are not there are empty."""
+    item = F.col("item_id")
+    lang = F.element_at(F.array(*map(F.lit, ("cpp", "py", "ts"))), (1 + F.floor(item / 3) % 3).cast("int"))
+    name = F.concat(F.when(item % 3 == 2, "mbpp-").otherwise("humaneval-"), lang, F.when(item % 3 == 1, "-remove").otherwise(""))
+    path = scratch_path(spark)
+    bench(spark, sf_dir).select(name.alias("set"), F.col("text").alias("prompt")).write.partitionBy("set").parquet(path)
+    return decontam.multi_language(files.table_reader(spark, path + "/set={name}", "prompt string")).groupBy("name", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE len(string_split(text, chr(10))) <= 20")
+def resumable_stream(spark, sf_dir):
+    """Documents as JSON files through the resumable stream into committed chunks; a second run finds nothing new."""
+    source, out = scratch_path(spark), commits.Table(spark, scratch_path(spark))
+    files.write_jsonl(docs(spark, sf_dir).select("doc_id", "text").repartition(5), source)
+    out.guard("abc12", 0)
+    check = scratch_path(spark)
+    stage = lambda df: df.filter(filters.few_lines(F.col("text"), 20)).select("doc_id", F.length("text").cast("long").alias("n"))
+    for _ in range(2):
+        resumable.run(spark, source, "doc_id long, text string", stage, out.path, check, 2, table=out).awaitTermination()
+    return out.read("doc_id long, n long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def table_reader(spark: SparkSession, pattern: str, schema: str) -> Callable[[str], DataFrame]:
+    """A reader of named Parquet tables: a name takes the place of ``{name}`` in the pattern; a name without a table is an empty one."""
+
+    def read(name: str) -> DataFrame:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern.format(name=name))
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(schema).parquet(str(path)) if there else spark.createDataFrame([], schema)
+
+    return read
+
+
 def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = rows.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
