@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,7 +17,7 @@ from ..functions import text as T
 from .filters import GENERIC_SOLUTIONS
 
 #: Bytes of benchmark strings that are broadcast at once, and characters of each that the automaton holds (the rest is compared).
-BLOCK_BYTES, HEAD = 8 << 20, 48
+BLOCK_BYTES, WINDOW = 8 << 20, 48
 
 # Languages, source sets and variations of the multi-language benchmark, and the pair of the last two that doesn't exist.
 LANGUAGES = ("cpp", "cs", "d", "go", "java", "jl", "js", "lua", "php", "pl", "py", "r", "rb", "rkt", "rs", "scala", "sh", "swift", "ts")
@@ -65,17 +66,32 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 
 def _automaton(texts: list[str]) -> ahocorasick.Automaton:
-    """Heads of the strings, each with the numbers of those that begin with it."""
-    held: dict[str, list[int]] = {}
-    for k, t in enumerate(texts):
-        held.setdefault(t[:HEAD], []).append(k)
+    """A window of each string, with the numbers of the strings that are known by it and where it stands in them.
+
+    Of a string's first, middle and last window the one that fewest strings share is taken: many begin alike.
+    """
+    starts = [sorted({0, max(0, len(t) - WINDOW) // 2, max(0, len(t) - WINDOW)}) for t in texts]
+    shared = Counter(t[a : a + WINDOW] for t, of in zip(texts, starts, strict=True) for a in of)
+    held: dict[str, list[tuple[int, int]]] = {}
+    for k, (t, of) in enumerate(zip(texts, starts, strict=True)):
+        a = min(of, key=lambda a: shared[t[a : a + WINDOW]])  # noqa: B023
+        held.setdefault(t[a : a + WINDOW], []).append((k, a))
     out = ahocorasick.Automaton()
-    for head, numbers in held.items():
-        out.add_word(head, (len(head), numbers))
+    for window, numbers in held.items():
+        out.add_word(window, (len(window), numbers))
     out.make_automaton()
     return out
 
 
+def _occurs(text: str, texts: list[str], known: ahocorasick.Automaton) -> Iterator[int]:
+    """Numbers of the strings that a text holds, once for each place."""
+    for end, (size, numbers) in known.iter(text):
+        for k, a in numbers:
+            begin = end - size + 1 - a
+            if begin >= 0 and text.startswith(texts[k], begin):
+                yield k
+
+
 def held_strings(texts: list[str]) -> Callable[[Column], Column]:
     """An Arrow UDF: the numbers of the strings (a measured block) that a text holds; null for null."""
 
@@ -86,12 +102,7 @@ def held_strings(texts: list[str]) -> Callable[[Column], Column]:
         def one(text: str | None) -> list[int] | None:
             if text is None or known is None:
                 return None if text is None else []
-            found: set[int] = set()
-            for end, (size, numbers) in known.iter(text):
-                for k in numbers:
-                    if k not in found and text.startswith(texts[k], end - size + 1):
-                        found.add(k)
-            return sorted(found)
+            return sorted(set(_occurs(text, texts, known)))
 
         for s in batches:
             yield s.map(one, na_action=None)
@@ -121,7 +132,7 @@ def holds_any(held: list[Broadcast]) -> Callable[[Column], Column]:
                 kept = known if len(held) == 1 else None
                 for k, text in enumerate(s):
                     if known is not None and text is not None and not found[k]:
-                        found[k] = any(text.startswith(texts[n], end - size + 1) for end, (size, numbers) in known.iter(text) for n in numbers)
+                        found[k] = next(_occurs(text, texts, known), None) is not None
             yield pd.Series(found)
 
     return find

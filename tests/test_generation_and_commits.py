@@ -254,6 +254,19 @@ def test_signatures_of_saved_sets(spark):
     assert got == {k: [min((up(x) * a + b) % dedup.PRIME for x in (5, -7, 2**62)) for a, b in dedup.coefficients(8)] for k in (1, 2)}
 
 
+def test_strings_that_begin_alike(spark):
+    """Hundreds of strings with one head, or one head and tail: all are found, and few are compared at a hit."""
+    head, tail = "def solution(values): " * 4, " return the same result at the end" * 3
+    bench = [head + f"case {k}" for k in range(300)] + [head + f"middle part number {k} of this very text" + tail for k in range(300)] + ["short", head]
+    rng = random.Random(4)
+    texts = [f"x{rng.choice(bench)}y {rng.choice(bench)[1:]}" for _ in range(200)] + [head[:-1], "shor", bench[5][1:]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, content string").repartition(2)
+    pairs = decontam.contaminated_pairs(df, spark.createDataFrame([(b,) for b in bench], "text string"))
+    want = {(k, b) for k, t in enumerate(texts) for b in bench if b in t}
+    assert {(r.id, r.bench_text) for r in pairs.collect()} == want and pairs.count() == len(want)
+    assert max(len(numbers) for _, numbers in decontam._automaton(bench).values()) <= 2
+
+
 def test_blocks_of_a_benchmark_take_turns(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcd") for _ in range(3))
