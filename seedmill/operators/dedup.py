@@ -109,13 +109,21 @@ def candidates(held: DataFrame) -> DataFrame:
     return held.join(first, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def crossing(held: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a band but no class (node, root); bands with one class only, however large, are passed over."""
+#: Members of a band that are compared pair by pair; those of larger ones are joined on rare shingles.
+HOT = 1_000
+
+
+def crossing(held: DataFrame, classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) that share a band but no class (node, root); members, as id and root, of the bands that are too large for that).
+
+    Bands with one class only, however large, are passed over.
+    """
     known = held.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "band", F.coalesce("root", "id").alias("root"))
-    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    some = saved(known.join(mixed, "band", "left_semi"))
-    left, right = some.select(F.col("id").alias("a"), "band", F.col("root").alias("ra")), some.select(F.col("id").alias("b"), "band", F.col("root").alias("rb"))
-    return left.join(right, "band").filter("a < b and ra <> rb").select("a", "b").distinct()
+    mixed = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high").select("band", "k")
+    some = saved(known.join(mixed, "band"))
+    small = some.filter(F.col("k") <= hot)
+    left, right = small.select(F.col("id").alias("a"), "band", F.col("root").alias("ra")), small.select(F.col("id").alias("b"), "band", F.col("root").alias("rb"))
+    return left.join(right, "band").filter("a < b and ra <> rb").select("a", "b").distinct(), some.filter(F.col("k") > hot).select("id", "root").distinct()
 
 
 def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,13 +144,14 @@ def hashed_shingles(once: DataFrame, text: str, size: int) -> DataFrame:
     return once.select(F.col("rep").alias("id"), F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
 
 
-def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size: int = 5, bands: int | None = None, rows_per_band: int | None = None) -> DataFrame:
+def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size: int = 5, bands: int | None = None, rows_per_band: int | None = None, hot: int = HOT) -> DataFrame:
     """(id, component): near-duplicate classes by verified candidates.
 
     Without a given banding, it follows from the threshold (recall of 0.98 for a pair right at it). Equal texts are one
     member from the start. Each band's members are first compared to its least one only; the links found make classes,
     and a second pass compares those pairs of a band that lie in different classes. So a large group of near copies
-    costs one comparison for each member and band, and no link between classes is lost.
+    costs one comparison for each member and band, and no link between classes is lost. Bands that more than ``hot`` members of several
+    classes share are not compared pair by pair: their members are joined exactly, on shingles that several classes hold.
     """
     if bands is None or rows_per_band is None:
         bands, rows_per_band = banding(threshold)
@@ -152,7 +161,13 @@ def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size:
     similar = lambda pairs: saved(jaccard(pairs, sets).filter(F.col("similarity") >= threshold).select("a", "b"))
     links = similar(candidates(held))
     roots = components(links)
-    more = similar(crossing(held, roots))
+    pairs, members = crossing(held, roots, hot)
+    more = similar(pairs)
+    members = saved(members)
+    if members.limit(1).count():
+        # A band of many dissimilar texts: pairs that are no match never meet.
+        some = saved(sets.join(members, "id"))
+        more = more.unionByName(saved(similar_sets(some.select("id", "s"), threshold, members).select("a", "b")))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     classes = once.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
@@ -166,14 +181,24 @@ def similar_pairs(rows: DataFrame, text: str, id_col: str, threshold: float = 0.
     pairs meet on rare shingles, and a shingle that most texts hold brings none together.
     """
     _, once = distinct_texts(rows, text, id_col)
-    sets = saved(hashed_shingles(once, text, size))
+    return similar_sets(saved(hashed_shingles(once, text, size)), threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float, classes: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) of sets (id, s) at the threshold or above; with classes (id, root) only of sets in different ones."""
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
     rare = each.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1")
     # Shingles of one text only come first in every order, and can't be shared.
     ordered = each.join(rare, "x").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("o"))
     prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) - (F.col("n") - F.size("o"))
     first = saved(ordered.select("id", F.explode(F.slice("o", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("o")).select("id", "o.x"))
-    pairs = first.select(F.col("id").alias("a"), "x").join(first.select(F.col("id").alias("b"), "x"), "x").filter("a < b").select("a", "b").distinct()
+    if classes is None:
+        pairs = first.select(F.col("id").alias("a"), "x").join(first.select(F.col("id").alias("b"), "x"), "x").filter("a < b").select("a", "b").distinct()
+    else:
+        of = first.join(classes, "id")
+        across = of.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("x")
+        of = saved(of.join(across, "x", "left_semi"))
+        pairs = of.select(F.col("id").alias("a"), "x", F.col("root").alias("ra")).join(of.select(F.col("id").alias("b"), "x", F.col("root").alias("rb")), "x").filter("a < b and ra <> rb").select("a", "b").distinct()
     return jaccard(pairs, sets).filter(F.col("similarity") >= threshold)
 
 

@@ -280,3 +280,33 @@ def test_blocks_of_a_benchmark_take_turns(spark):
         assert ids(out) == want
         plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert len(re.findall("ArrowEvalPython", plan)) == 1
+
+
+def test_large_bands_are_joined_exactly(spark, monkeypatch):
+    """Texts that all share bands: the exact join on rare shingles gives the classes that comparing every pair gives."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(40)]
+    rows = []
+    for family in range(12):
+        own = [f"f{family}x{k}" for k in range(30)]
+        for _ in range(6):
+            words = common + own
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(40, 70)] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    joined = []
+    exact = dedup.similar_sets
+    monkeypatch.setattr(dedup, "similar_sets", lambda *a: joined.append(1) or exact(*a))
+    # One row a band: everything meets everything.
+    one, other = ({r.id: r.component for r in dedup.near(df, "text", "id", 0.6, bands=40, rows_per_band=1, hot=hot).collect()} for hot in (1000, 3))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    root = dict(zip(sets, sets, strict=True))
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert joined == [1]
+    assert one == root and 12 <= len(set(root.values())) < 40
+    assert other == root
