@@ -51,6 +51,8 @@ class Memo:
 
     def add(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         """Takes different words in as far as they are new and there is room."""
+        if len(self.number) >= self.most:
+            return
         keep = [k for k, w in enumerate(words) if len(w) <= LONG and w not in self.number][: self.most - len(self.number)]
         if not keep:
             return
@@ -103,9 +105,12 @@ class WordEncoder:
         fresh = [names[k] for k in np.flatnonzero(number < 0).tolist()]
         ids, size = self._plain(fresh)
         self.memo.add(fresh, ids, size)
-        marks = [w[len(b) :] for w, b in zip(words.take(pa.array(plain)).to_pylist(), bare.take(pa.array(plain)).to_pylist(), strict=True)]
-        kinds = {m: k for k, m in enumerate(dict.fromkeys(marks))}
-        mark_ids, mark_size = self._each(list(kinds))
+        # Most words close without a mark: kind 0.
+        length = pc.binary_length(bare).to_numpy()[plain]
+        marked = np.flatnonzero(pc.binary_length(words).to_numpy()[plain] > length)
+        marks = [w[n:] for w, n in zip(words.cast(pa.binary()).take(pa.array(plain[marked])).to_pylist(), length[marked].tolist(), strict=True)]
+        kinds = {m: k for k, m in enumerate(dict.fromkeys([b"", *marks]))}
+        mark_ids, mark_size = self._each([m.decode() for m in kinds])
         rest = np.setdiff1d(np.arange(len(words)), plain)
         rest_ids, rest_size = self._each(words.take(pa.array(rest)).to_pylist())
         # Each word is two stretches of one array: of letters and of marks, or of all its ids and of nothing.
@@ -118,7 +123,8 @@ class WordEncoder:
         start, count = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
         of = lows.indices.to_numpy()
         start[plain, 0], count[plain, 0] = low_start[of], low_size[of]
-        kind = np.fromiter(map(kinds.__getitem__, marks), np.int64, len(marks))
+        kind = np.zeros(len(plain), np.int64)
+        kind[marked] = [kinds[m] for m in marks]
         start[plain, 1], count[plain, 1] = (at[2] + np.cumsum(mark_size) - mark_size)[kind], mark_size[kind]
         start[rest, 0], count[rest, 0] = at[3] + np.cumsum(rest_size) - rest_size, rest_size
         return ragged(flat, start.ravel(), count.ravel()), count.sum(1)
