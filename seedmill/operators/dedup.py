@@ -140,8 +140,13 @@ def distinct_texts(rows: DataFrame, text: str, id_col: str) -> tuple[DataFrame,
 
 
 def hashed_shingles(once: DataFrame, text: str, size: int) -> DataFrame:
-    """(id, s): 64-bit hashes of each distinct text's shingles."""
-    return once.select(F.col("rep").alias("id"), F.transform(shingles(F.col(text), size), lambda x: F.xxhash64(x)).alias("s"))
+    """(id, s): 64-bit hashes of each distinct text's shingles, made of their words' hashes, so that no shingle is built as a text."""
+    words = F.filter(F.split(F.lower(text), "[ \\n]+", -1), lambda w: w != "")
+    hashed = once.select(F.col("rep").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    n = F.size("h")
+    shifted = F.arrays_zip(*(F.slice("h", k + 1, F.greatest(n - size + 1, F.lit(0))).alias(f"w{k}") for k in range(size)))
+    joined = F.transform(shifted, lambda x: F.xxhash64(*(x[f"w{k}"] for k in range(size))))
+    return hashed.select("id", F.when(n == 0, F.array().cast("array<long>")).when(n < size, F.array(F.xxhash64("h"))).otherwise(F.array_distinct(joined)).alias("s"))
 
 
 def near(rows: DataFrame, text: str, id_col: str, threshold: float = 0.8, size: int = 5, bands: int | None = None, rows_per_band: int | None = None, hot: int = HOT) -> DataFrame:
