@@ -99,10 +99,10 @@ def tasks(rows: DataFrame, report: Report | None = None) -> DataFrame:
     return keep(df, report, "execute", "uncompilable", F.col("code") != "")
 
 
-def execution_filter(rows: DataFrame, executor: Executor, cache: DataFrame | None = None, report: Report | None = None) -> DataFrame:
+def execution_filter(rows: DataFrame, executor: Executor, cache: DataFrame | None = None, report: Report | None = None, samples: bool = False) -> DataFrame:
     """Responses whose code runs; code found in the cache (responses of an earlier run) passes without running.
 
-    A report counts responses without code, cached and active ones, and those that failed.
+    With samples, sample_idx stays, which tells a row's responses apart. A report counts responses without code, cached and active ones, and those that failed.
     """
     todo = tasks(rows, report)
     if cache is None:
@@ -116,7 +116,7 @@ def execution_filter(rows: DataFrame, executor: Executor, cache: DataFrame | Non
     cached, active = todo.filter("_cached").drop("_cached"), todo.filter("not _cached").drop("_cached")
     passed = saved(keep(executor.apply(active), report, "execute", "failed", F.col("passed")).drop("passed"))
     out = cached.unionByName(passed) if cache is not None else passed
-    return out.drop("code", "sample_idx")
+    return out.drop("code") if samples else out.drop("code", "sample_idx")
 
 
 def clean(rows: DataFrame, seed: int = 0, id_col: str = "id", by_names: bool = False) -> DataFrame:
