@@ -40,6 +40,22 @@ def solutions(rows: DataFrame, column: str = "solutions") -> DataFrame:
     return rows.filter(F.col(column) != "").select(F.explode(F.from_json(column, "array<string>")).alias("text"))
 
 
+#: What stands before the solution in prompts that are files; the first one that a text holds counts.
+SOLUTION_MARKS = ("SOLUTION START", "BEGIN SOLUTION")
+
+
+def prompt_files(texts: DataFrame, column: str = "text", strict: bool = True) -> DataFrame:
+    """(name, text) of prompts that are whole files (``files.read_whole_texts``), up to the mark of their solution.
+
+    A text must hold its mark once. One that doesn't is an error if strict, else it is left out; so are null texts.
+    """
+    c = F.col(column)
+    times = reduce(lambda other, m: F.when(F.contains(c, F.lit(m)), T.count_of(c, m)).otherwise(other), reversed(SOLUTION_MARKS), F.lit(0))
+    once = F.coalesce(times == 1, F.lit(False))
+    kept = once if not strict else F.when(c.isNull() | once, c.isNotNull()).otherwise(F.raise_error(F.lit("a prompt without one mark of its solution")).cast("boolean"))
+    return named("prompt_files", texts.filter(kept).select(T.cut_at(c, *SOLUTION_MARKS).alias("prompt")), "prompt", False)
+
+
 def multi_language(read: Callable[[str], DataFrame], column: str = "prompt") -> DataFrame:
     """The union of the multi-language benchmark's sets: read takes ``source-language`` and a variation's suffix."""
     names = [f"{source}-{lang}{v}" for lang in LANGUAGES for source in SOURCE_SETS for v in VARIATIONS if (source, v) != ABSENT]

@@ -1097,3 +1097,58 @@ def chain_evaluate(spark, sf_dir):
     problems = bench(spark, sf_dir).select(stages.humaneval_problem(F.col("text"), F.col("item_id")).alias("p")).select("p.*")
     found = chains.evaluate(problems, 10, 3, Completions(), Executor(run=lambda code: hashlib.md5(code.encode()).hexdigest()[0] < "6", at_once=1))
     return found.select("id", "n", "c", F.round("pass_at_k", 6).alias("p"))
+
+
+# Further sources and sinks.
+
+
+@query("SELECT 'prompt_files' AS name, CASE WHEN item_id % 3 = 2 THEN text || ' BEGIN' || chr(10) ELSE text || chr(10) END AS text FROM benchmark")
+def prompt_file_sets(spark, sf_dir):
+    """A benchmark of one file a prompt, in folders of its own, as a set: each up to its solution's mark."""
+    path = scratch_path(spark)
+    item = F.col("item_id")
+    marked = F.concat("text", F.when(item % 3 == 0, F.lit("\nSOLUTION START\nx = 1")).when(item % 3 == 1, F.lit("\nBEGIN SOLUTION\nx = 1")).otherwise(F.lit(" BEGIN\nSOLUTION START\nBEGIN SOLUTION")))
+    bench(spark, sf_dir).select(item.alias("q"), marked.alias("text")).repartition("q").write.partitionBy("q").text(path)
+    found = files.read_whole_texts(spark, f"{path}/q=*/part-*")
+    return decontam.prompt_files(found)
+
+
+@query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
+def table_round_trip(spark, sf_dir):
+    """Documents as a table in folders by language (null is one too) and back, three columns of it."""
+    path = scratch_path(spark)
+    files.write_table(docs(spark, sf_dir), path, ["lang"])
+    return files.read_table(spark, path, ["doc_id", "lang", "text"]).select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS cached FROM documents")
+def cached_rows_first(spark, sf_dir):
+    """A sink that begins anew with its own rows of before, and then new ones."""
+    path, schema = scratch_path(spark), "doc_id long, cached boolean"
+    rows = docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 3 == 0).alias("cached"))
+    files.write_jsonl(rows.filter("cached"), path)
+    files.write_after_cached(files.read_jsonl(spark, path, schema), rows.filter("NOT cached"), path)
+    return files.read_jsonl(spark, path, schema)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 1 THEN source END AS source FROM documents")
+def input_union(spark, sf_dir):
+    """Two inputs of different keys as one table, in one scan."""
+    d, paths = docs(spark, sf_dir), [scratch_path(spark), scratch_path(spark)]
+    for k, column in enumerate(("lang", "source")):
+        files.write_jsonl(d.filter(F.col("doc_id") % 2 == k).select("doc_id", column), paths[k])
+    return files.read_jsonl(spark, paths, "doc_id long, lang string, source string")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents")
+def file_positions(spark, sf_dir):
+    """Positions of JSON lines in the order of files and of lines within them."""
+    path = scratch_path(spark)
+    files.write_jsonl(docs(spark, sf_dir).select("doc_id").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), path)
+    return files.read_jsonl_with_pos(spark, path, "doc_id long").select("doc_id", "pos")
+
+
+@query("SELECT event_type, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, count(*) AS n FROM events GROUP BY 1, 2")
+def event_timestamps(spark, sf_dir):
+    """Times as parts of file names."""
+    return table(spark, sf_dir, "events").groupBy("event_type", T.timestamp(F.col("ts")).alias("stamp")).agg(F.count("*").alias("n"))

@@ -310,3 +310,17 @@ def test_large_bands_are_joined_exactly(spark, monkeypatch):
     assert joined == [1]
     assert one == root and 12 <= len(set(root.values())) < 40
     assert other == root
+
+
+def test_prompt_files_need_one_mark(spark):
+    from pyspark.errors import PySparkException
+
+    from seedmill.operators import decontam
+
+    texts = ["a\nSOLUTION START\nb", "c\nBEGIN SOLUTION\nd", "e BEGIN SOLUTION\nSOLUTION START", None, "SOLUTION START", "none", "SOLUTION START SOLUTION START", "BEGIN SOLUTION\nBEGIN SOLUTION"]
+    df = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "text string, name int")
+    assert sorted(r.text for r in decontam.prompt_files(df.filter("name < 5")).collect()) == ["a\n", "c\n", "e BEGIN SOLUTION\n"]
+    assert sorted(r.text for r in decontam.prompt_files(df, strict=False).collect()) == ["a\n", "c\n", "e BEGIN SOLUTION\n"]
+    for bad in (5, 6, 7):
+        with pytest.raises(PySparkException, match="without one mark"):
+            decontam.prompt_files(df.filter(f"name = {bad}")).collect()
