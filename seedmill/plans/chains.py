@@ -22,7 +22,7 @@ from ..functions import prompts
 from ..functions import text as T
 from ..operators import dedup, imports, joins, position, sanitize
 from ..operators.counted import Report
-from ..operators.saved import released, saved
+from ..operators.saved import released, saved, scratch_path
 from ..sources.commits import Table
 from . import stages
 
@@ -81,6 +81,17 @@ class Mode:
         return out
 
 
+def by_chunk(rows: DataFrame, number: Column, chunks: Sequence[int]) -> Callable[[int], DataFrame]:
+    """Reads a chunk's rows out of a table with a folder for each of the chunks (one number for each is broadcast)."""
+    spark, path, name = rows.sparkSession, scratch_path(rows.sparkSession), "_chunk"
+    while name in rows.columns:
+        name = "_" + name
+    wanted = spark.createDataFrame([(k,) for k in chunks], f"{name} long")
+    dealt = rows.withColumn(name, number).join(F.broadcast(wanted), name, "left_semi").repartitionByRange(name, "pos")
+    dealt.write.partitionBy(name).parquet(path)
+    return lambda k: spark.read.schema(rows.schema).parquet(f"{path}/{name}={k}")
+
+
 def run_mode(rows: DataFrame, mode: Mode, fewshots: prompts.Fewshots, table: Table, chunk: int = 100_000, start: int = 0, n: int | None = None, seed: int = 3407, retry: bool = False, report: Report | None = None) -> DataFrame:
     """One mode over the positions start .. start + n of rows (with pos), in chunks of positions that the table commits one by one.
 
@@ -91,13 +102,19 @@ def run_mode(rows: DataFrame, mode: Mode, fewshots: prompts.Fewshots, table: Tab
     todo = position.take(rows, start, n)
     table.guard(mode.fingerprint(fewshots, seed), start)
     schema = mode.schema(rows)
-    ask = lambda some: stages.generate(some, mode.name, fewshots, mode.backend, mode.shots, seed, report=report)
-    ends = todo.agg(F.min("pos").alias("first"), F.max("pos").alias("last")).first()
+    # A chunk's rows lie in few files; their requests are spread over all cores.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    ask = lambda some: stages.generate(some.repartition(cores, "pos"), mode.name, fewshots, mode.backend, mode.shots, seed, report=report)
     done = {f["chunk"] for f in table.state()[1]["files"]}
-    for k in range(ends["first"] // chunk, ends["last"] // chunk + 1) if ends["first"] is not None else ():
-        if k not in done:
-            with released():
-                table.write(ask(todo.filter((F.col("pos") >= k * chunk) & (F.col("pos") < (k + 1) * chunk))), chunk=k)
+    number = position.chunk(F.col("pos"), chunk)
+    left = sorted(k for (k,) in todo.select(number).distinct().collect() if k not in done)
+    if left:
+        with released():
+            # Dealt out by chunk once, so that a chunk reads its own folder and not all rows.
+            parts = by_chunk(todo, number, left)
+            for k in left:
+                with released():
+                    table.write(ask(parts(k)), chunk=k)
     if retry:
         with released():
             missing = saved(position.resume(todo, table.read(schema), "pos"))
