@@ -141,7 +141,7 @@ def instruct(seeds: DataFrame, order: Sequence[str], fewshots: prompts.Fewshots,
 def curate(rows: DataFrame, executor: Executor, cache: DataFrame | None = None, flags: sanitize.Flags = sanitize.Flags(smart=True), id_col: str = "id", report: Report | None = None) -> DataFrame:
     """Responses that run, sanitized with all sections, cleaned of copies, and sanitized again by the flags.
 
-    Adds sample_id, the row's id and the sample's number: several samples of one row may pass, and cleaning tells them apart.
+    Adds (or replaces) sample_id, the row's id and the sample's number: several samples of one row may pass, and cleaning tells them apart.
     """
     ran = stages.execution_filter(rows, executor, cache, report, samples=True)
     named = ran.withColumn("sample_id", F.concat_ws("-", F.col(id_col).cast("string"), "sample_idx")).drop("sample_idx")

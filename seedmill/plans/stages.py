@@ -92,9 +92,9 @@ def generate(rows: DataFrame, mode: str, fewshots: prompts.Fewshots, backend: Co
 
 
 def tasks(rows: DataFrame, report: Report | None = None) -> DataFrame:
-    """One row for each response with its compilable code; responses without any are left out."""
+    """One row for each response with its compilable code and its number, sample_idx; responses without any are left out."""
     samples = F.col("parsing_result") if "parsing_result" in rows.columns else F.array(F.struct(F.col("response").alias("response")))
-    df = rows.select(*(c for c in rows.columns if c not in ("parsing_result", "response")), F.posexplode(samples).alias("sample_idx", "_r")).withColumn("response", F.col("_r.response")).drop("_r")
+    df = rows.select(*(c for c in rows.columns if c not in ("parsing_result", "response", "sample_idx")), F.posexplode(samples).alias("sample_idx", "_r")).withColumn("response", F.col("_r.response")).drop("_r")
     df = df.withColumn("code", F.array_join(syntax.compilable(T.exec_blocks(F.col("response"))), "\n"))
     return keep(df, report, "execute", "uncompilable", F.col("code") != "")
 

@@ -142,6 +142,13 @@ def test_of_several_passing_samples_one_stays(spark):
     assert set(by) == want
 
 
+def test_curate_takes_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "Add", response(1), 7, "old"), (None, "Sub", response(2), 8, "old"), (3, None, response(3), 9, "old"), (4, "Mul", None, 9, "old")], "id long, instruction string, response string, sample_idx int, sample_id string")
+    got = chains.curate(df, Executor(run=lambda code: True, at_once=1), flags=sanitize.Flags(no_tests=True)).collect()
+    # Without an id the sample's number alone is its name; without an instruction a row has no key to be cleaned by.
+    assert sorted((r.sample_id, r.instruction) for r in got) == [("0", "Sub"), ("1-0", "Add")]
+
+
 def test_curate_of_nothing(spark):
     df = spark.createDataFrame([], "id long, instruction string, response string, extra int")
     got = chains.curate(df, Executor(run=lambda code: True, at_once=1))
