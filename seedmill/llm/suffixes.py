@@ -42,7 +42,7 @@ from .common import Scratch, column, id_text, map_rows, shuffle_partitions, text
 
 LENGTH = 400
 #: Contexts of one gram that go to one task; bytes that are sorted at once; bytes of a long text that are hashed at once.
-HOT, SORT_BYTES, PIECE = 300, 1 << 20, 1 << 20
+HOT, SORT_BYTES, PIECE = 300, 1 << 18, 1 << 20
 #: Never part of UTF-8.
 END = 0xFF
 
