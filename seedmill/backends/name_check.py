@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import sys
 
-from ..functions.scopes import facts
+from ..functions.names import facts
 
 
 def report(paths: list[str]) -> str:

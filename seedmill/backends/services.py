@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.scopes import facts
+from ..functions.names import facts
 
 
 @dataclass(frozen=True)

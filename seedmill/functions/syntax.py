@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,47 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from .source import Source, parse
+
 # Types as objects: UDFs are made at import, when there may be no session to read a type's text.
 FEATURES = StructType([StructField(n, BooleanType()) for n in ("parses", "has_return", "first_statement_is_expr", "first_is_string")] + [StructField(n, StringType()) for n in ("first_text", "first_function", "function_names")])
 
 
-#: Where the parser ends a line; form feeds and Unicode's separators are none.
-LINE_END = re.compile(rb"\r\n|\n|\r")
 #: One string in triple double quotes that holds something.
 DOCSTRING = re.compile(r'"""(?:[^"\\]|\\.|"(?!""))+"""', re.S)
 
 FUNCTION = StructType([StructField("position", IntegerType()), StructField("name", StringType()), StructField("first_byte", LongType()), StructField("last_byte", LongType()), StructField("content", StringType())])
 
 
-class Source:
-    """A text as UTF-8 with the byte at which each line starts, so that the parser's positions become byte offsets."""
-
-    def __init__(self, code: str):
-        self.raw = code.encode("utf-8", "surrogatepass")
-        ends = list(LINE_END.finditer(self.raw))
-        self.starts = [0, *(m.end() for m in ends)]
-        #: Where each line's text ends, without its line end.
-        self.stops = [*(m.start() for m in ends), len(self.raw)]
-
-    def between(self, a: int, b: int) -> str:
-        return self.raw[a:b].decode("utf-8", "surrogatepass")
-
-    def segment(self, node: ast.AST) -> str:
-        return self.between(self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset)
-
-
-def parse(code: str | None) -> ast.Module | None:
-    """The tree, or null for text that doesn't compile (or null)."""
-    if code is None:
-        return None
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            return ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-
-
 def _function_names(tree: ast.Module) -> list[str]:
     """Names of all function definitions, nested ones after the one that holds them."""
     found: list[str] = []

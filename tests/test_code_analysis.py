@@ -1,6 +1,8 @@
 """Extraction by offsets, scope analysis, type checks by a program, import inference, and counters of a run."""
 
 import ast
+import os
+import subprocess
 import sys
 import textwrap
 
@@ -11,9 +13,11 @@ from seedmill.backends import name_check, services
 from seedmill.functions import scopes, syntax
 from seedmill.operators import imports, joins, sanitize
 from seedmill.operators.counted import Report
-from seedmill.operators.saved import saved
+from seedmill.operators.saved import saved, spread
 from seedmill.plans import stages
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 DOC = '"""Doc."""'
 
 
@@ -210,3 +214,15 @@ def test_clean_by_names_takes_responses_without_a_block(spark):
     df = spark.createDataFrame(rows, "id long, instruction string, response string")
     got = {r.id for r in stages.clean(df, by_names=True).collect()}
     assert len(got & {1, 2}) == 1 and got - {1, 2} == {5, 6}
+
+
+def test_the_checker_program_loads_no_engine():
+    """Each batch is a process of its own; one that loads Spark and pandas takes longer to start than to check."""
+    said = subprocess.run([sys.executable, "-c", "import sys, seedmill.backends.name_check; print([m for m in ('pyspark', 'pandas') if m in sys.modules])"], capture_output=True, text=True, cwd=ROOT, check=True).stdout
+    assert said.strip() == "[]"
+
+
+def test_work_that_costs_more_than_its_bytes_is_spread(spark):
+    rows = spark.range(100).withColumn("content", F.concat(F.lit("x = "), F.col("id"))).select("content").distinct()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread(rows, "content").groupBy(F.spark_partition_id()).count().count() == n
