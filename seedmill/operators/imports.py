@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import scopes, syntax
-from .saved import saved
+from .saved import saved, spread
 
 
 def learn(files: DataFrame, content: str = "content", least: int = 2, share: float = 0.5) -> DataFrame:
@@ -26,7 +26,7 @@ def learn(files: DataFrame, content: str = "content", least: int = 2, share: flo
 
 def infer(files: DataFrame, index: DataFrame, content: str = "content") -> DataFrame:
     """content, statements (sorted), head for each distinct text with unbound names that the index knows."""
-    facts = saved(files.select(content).filter(F.col(content).isNotNull()).distinct().withColumn("_f", scopes.scope_facts(F.col(content))).filter(F.size("_f.undefined") > 0).select(F.sha1(content).alias("_sha"), content, "_f.undefined", "_f.head"))
+    facts = saved(spread(files.select(content).filter(F.col(content).isNotNull()).distinct(), content).withColumn("_f", scopes.scope_facts(F.col(content))).filter(F.size("_f.undefined") > 0).select(F.sha1(content).alias("_sha"), content, "_f.undefined", "_f.head"))
     found = facts.select("_sha", F.explode("undefined").alias("name")).join(index.select("name", "statement"), "name")
     lists = found.groupBy("_sha").agg(F.array_sort(F.collect_set("statement")).alias("statements"))
     return facts.join(lists, "_sha").select(content, "statements", "head")
@@ -60,7 +60,7 @@ def precision(files: DataFrame, index: DataFrame, content: str = "content") -> D
 
     files must be none of those that the index was learned from; files with unbound names of their own tell nothing and are left out.
     """
-    known = files.select(content).distinct().withColumn("_f", scopes.scope_facts(F.col(content))).filter(F.col("_f.parses") & (F.size("_f.undefined") == 0))
+    known = spread(files.select(content).distinct(), content).withColumn("_f", scopes.scope_facts(F.col(content))).filter(F.col("_f.parses") & (F.size("_f.undefined") == 0))
     bare = saved(known.select(F.transform("_f.imports", lambda i: i["statement"]).alias("had"), without_imports(F.col(content)).alias("_bare")).filter("_bare is not null"))
     found = infer(bare.select(F.col("_bare").alias(content)), index, content).select(F.sha1(content).alias("_key"), "statements")
     both = bare.withColumn("_key", F.sha1("_bare")).join(found, "_key", "left")

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import decontam, dedup, filters, imports, joins, position
 from ..operators.counted import Report, keep
-from ..operators.saved import saved
+from ..operators.saved import saved, spread
 
 
 def extract(files: DataFrame, content: str = "content") -> DataFrame:
@@ -31,7 +31,7 @@ def typed(functions: DataFrame, checker: Checker = ProcessChecker(), fixer: Impo
     df = functions.withColumn("_f", syntax.code_features(F.col("content"))).filter("_f.has_return").drop("_f")
     fixed = imports.add(df, index) if index is not None else fixer.apply(df) if fixer else df
     df = saved(fixed.withColumn("sha1", F.sha1("content")))
-    return joins.with_verdicts(df, checker.apply(df.dropDuplicates(["sha1"])))
+    return joins.with_verdicts(df, checker.apply(spread(df.dropDuplicates(["sha1"]), "sha1")))
 
 
 def static_filters(functions: DataFrame, benchmark: DataFrame, content: str = "content") -> DataFrame:
