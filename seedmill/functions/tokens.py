@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def decoder(make: Callable[[], Callable[[list[int]], str]]) -> Callable[[Column]
     return decode
 
 
+#: Characters that are encoded at once.
+PIECE = 1 << 18
+
+
+@cache
+def _loaded(path: str):
+    """A file's tokenizer, once in each process, however many columns it encodes."""
+    from tokenizers import Tokenizer as Library
+
+    return Library.from_file(path)
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """A tokenizer from a file of the tokenizers library, which all executors must see; without a pad token, the end token pads."""
@@ -48,9 +62,7 @@ class Tokenizer:
     pad: str | None = None
 
     def load(self):
-        from tokenizers import Tokenizer as Library
-
-        return Library.from_file(self.path)
+        return _loaded(self.path)
 
     def id_of(self, name: str | None) -> int | None:
         return None if name is None else self.load().token_to_id(name)
@@ -60,22 +72,41 @@ class Tokenizer:
         return self.id_of(self.pad or self.eos)
 
     def encode(self, text: Column) -> Column:
-        """Ids of each text, a batch of rows at a time."""
+        """Ids of each text, a piece of a batch at a time."""
 
         @F.pandas_udf(ArrayType(IntegerType()))
         def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            # Spark's tasks already use the cores.
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            tokenizer = self.load()
             for s in texts:
-                held = iter(tokenizer.encode_batch_fast(s.dropna().tolist(), add_special_tokens=False))
-                yield pd.Series([None if t is None else next(held).ids for t in s], dtype=object)
+                yield pd.Series([None if e is None else np.array(e.ids, np.int32) for e in self._encodings(s)], dtype=object)
 
         return encode(text)
 
     def count(self, text: Column) -> Column:
-        """Tokens of each text; null for null."""
-        return F.when(text.isNotNull(), F.size(self.encode(text)))
+        """Tokens of each text; null for null. Ids are counted where they are made."""
+
+        @F.pandas_udf(IntegerType())
+        def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in texts:
+                yield pd.Series([None if e is None else len(e) for e in self._encodings(s)], dtype="Int32")
+
+        return count(text)
+
+    def _encodings(self, texts: pd.Series) -> Iterator:
+        """An encoding (null for null) of each text; the library's encodings take many times the texts' memory, so few are held."""
+        # Spark's tasks already use the cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tokenizer = _loaded(self.path)
+        at, values = 0, texts.tolist()
+        while at < len(values):
+            end, held = at, 0
+            while end < len(values) and (end == at or held + len(values[end] or "") <= PIECE):
+                held += len(values[end] or "")
+                end += 1
+            part = values[at:end]
+            found = iter(tokenizer.encode_batch_fast([t for t in part if t is not None], add_special_tokens=False))
+            for t in part:
+                yield None if t is None else next(found)
+            at = end
 
     def decode(self, ids: Column, skip_special: bool = True) -> Column:
         def make():

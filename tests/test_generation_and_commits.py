@@ -324,3 +324,26 @@ def test_prompt_files_need_one_mark(spark):
     for bad in (5, 6, 7):
         with pytest.raises(PySparkException, match="without one mark"):
             decontam.prompt_files(df.filter(f"name = {bad}")).collect()
+
+
+def test_encodings_of_a_batch_are_not_held_together(monkeypatch):
+    """A batch of long texts is encoded a piece at a time, in order, by one tokenizer for each process."""
+    import pandas as pd
+
+    from seedmill import queries
+    from seedmill.functions import tokens as K
+
+    vocabulary, sizes = queries.vocabulary(), []
+    plain = vocabulary.load()
+
+    class Watched:
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(sum(map(len, texts)))
+            return plain.encode_batch_fast(texts, **how)
+
+    texts = [f"def f_{k}(x): return {k}\n" * 50 if k % 7 else None for k in range(1_000)] + ["", "long " * K.PIECE]
+    want = [None if t is None else plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert vocabulary.load() is vocabulary.load()
+    monkeypatch.setattr(K, "_loaded", lambda path: Watched())
+    assert [None if e is None else e.ids for e in vocabulary._encodings(pd.Series(texts, dtype=object))] == want
+    assert len(sizes) > 3 and max(sizes[:-1]) <= K.PIECE
