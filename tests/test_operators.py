@@ -346,3 +346,15 @@ def test_saved_tables_are_released(spark):
         assert saved.saved(spark.range(3)).count() == 3 and len(saved._OPEN) == len(before) + 1
         raise RuntimeError
     assert set(saved._OPEN) == before
+
+
+def test_signatures_are_made_where_rows_are(spark):
+    """Neither shingles nor hashes are shuffled, and the values are those of the MD5 of each shingle."""
+    from hashlib import md5
+
+    rows = spark.createDataFrame([(1, "A b  c\nd e f"), (2, "x\ty Z"), (3, " \n"), (4, None)], "id long, text string")
+    sigs = dedup.signatures(rows, "text", "id", 3)
+    assert "Exchange" not in sigs._jdf.queryExecution().toString()
+    want = {1: ["a b c d e", "b c d e f"], 2: ["x\ty z"]}
+    least = lambda texts: [min((int(md5(t.encode()).hexdigest()[:7], 16) * a + b) % dedup.PRIME for t in texts) for a, b in dedup.coefficients(3)]
+    assert {r.id: list(r.sig) for r in sigs.collect()} == {k: least(t) for k, t in want.items()}
