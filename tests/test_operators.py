@@ -358,3 +358,15 @@ def test_signatures_are_made_where_rows_are(spark):
     want = {1: ["a b c d e", "b c d e f"], 2: ["x\ty z"]}
     least = lambda texts: [min((int(md5(t.encode()).hexdigest()[:7], 16) * a + b) % dedup.PRIME for t in texts) for a, b in dedup.coefficients(3)]
     assert {r.id: list(r.sig) for r in sigs.collect()} == {k: least(t) for k, t in want.items()}
+
+
+def test_near_dedup_loses_no_link(spark):
+    """Pairs right at the threshold, of which bands alone miss some; null texts are copies of each other."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:20], f"v{k}", *base[21:]]))]
+    df = spark.createDataFrame([*rows, (900, None), (901, None), (902, "")], "id long, text string").repartition(3)
+    got = {r.id: r.component for r in dedup.near(df, "text", "id").collect()}
+    assert got == {k: k - k % 2 for k in range(800)} | {900: 900, 901: 900, 902: 902}
