@@ -370,3 +370,43 @@ def test_near_dedup_loses_no_link(spark):
     df = spark.createDataFrame([*rows, (900, None), (901, None), (902, "")], "id long, text string").repartition(3)
     got = {r.id: r.component for r in dedup.near(df, "text", "id").collect()}
     assert got == {k: k - k % 2 for k in range(800)} | {900: 900, 901: 900, 902: 902}
+
+
+@pytest.mark.parametrize(("often", "side"), [(3, 4), (dedup.OFTEN, dedup.SIDE)])
+def test_pairs_of_families(spark, monkeypatch, often, side):
+    """Families of near copies, short texts around common lines, junk: all pairs as by brute force; those of a family never meet one by one."""
+    rng = random.Random(3)
+    words, texts = [f"w{k}" for k in range(400)], ["", None, "a", "b a", "x" * 300 + " y z", "x" * 299 + "z y z"]
+    for size, n in ((80, 150), (40, 20), (20, 20)):
+        base = rng.choices(words, k=size)
+        for _ in range(n):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randrange(size)] = rng.choice(words)
+            texts.append(" ".join(t))
+    lines = [[f"l{i}x{k}" for k in range(10)] for i in range(3)]
+    texts += [" ".join([*rng.choices(words[:30], k=rng.randint(0, 8)), *rng.choice(lines), *rng.choices(words[:30], k=rng.randint(0, 6))]) for _ in range(90)]
+    texts += [" ".join(rng.choices(words[:3], k=rng.randint(1, 9))) for _ in range(30)]
+    rng.shuffle(texts)
+    least = {t: i for i, t in reversed(list(enumerate(texts))) if t}
+    plain = {i: {" ".join(w[j : j + 3]) for j in range(max(len(w) - 2, 1))} for t, i in least.items() for w in [t.split()]}
+    shared = {(a, b): len(plain[a] & plain[b]) / len(plain[a] | plain[b]) for a in plain for b in plain if a < b}
+    want = {pair: s for pair, s in shared.items() if s >= 0.5}
+    one_by_one, whole = [], dedup.paired
+    monkeypatch.setattr(dedup, "paired", lambda pairs, *rest: (one_by_one.append(pairs.count()), whole(pairs, *rest))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    sets = dedup.hashed_shingles(dedup.distinct_texts(df, "text", "id")[1], "text", 3)
+    got = dedup.similar_sets(sets, 0.5, often=often, side=side).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == want
+    assert len(want) > 6_000 and one_by_one[0] < 500
+    classes = {i: rng.choice([i, 0, 1]) for i in plain}
+    got = dedup.similar_sets(sets, 0.5, spark.createDataFrame(list(classes.items()), "id long, root long"), often, side).collect()
+    assert {(r.a, r.b): r.similarity for r in got} == {(a, b): s for (a, b), s in want.items() if classes[a] != classes[b]}
+    # Texts that go on in the next batch.
+    held = {r.id: (r.n, list(r.o)) for r in dedup.shareable(sets, 0.5).collect()}
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.id: (r.n, list(r.o)) for r in dedup.shareable(sets, 0.5).collect()} == held
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
